@@ -6,17 +6,34 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrystone.llm import token_counts
-from quarrystone.llm.base import table
+from quarrystone.llm import decontaminate, language, packing, token_counts
+from quarrystone.llm.base import fold, table
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.TOKENIZER), 512)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs))
+    found = language.identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold() % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts,)}
+    return {f.__name__: f for f in (op3_token_counts, op5_language_id, op6_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
