@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import decontaminate, language, packing, token_counts
+from quarrystone.llm import decontaminate, language, packing, pii, token_counts
 from quarrystone.llm.base import fold, table
 
 
@@ -28,12 +28,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_language_id, op6_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op3_token_counts, op5_language_id, op6_decontamination, op8_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
