@@ -1,0 +1,29 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrystone.llm.base import written
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node reachable from each node of an edge.  Each round is written to the
+    shared folder; rounds grow with the logarithm of the longest path."""
+    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    while True:
+        before = _print(e)
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        e = written(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        if _print(e) == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _print(e: DataFrame) -> tuple:
+    r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    return r[0], r[1]

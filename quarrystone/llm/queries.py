@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import decontaminate, language, packing, pii, token_counts
+from quarrystone.llm import decontaminate, language, minhash, packing, pii, token_counts
 from quarrystone.llm.base import fold, table
 
 
@@ -28,6 +28,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -37,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_language_id, op6_decontamination, op8_pii, op10_packing)}
+    return {f.__name__: f for f in (op3_token_counts, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
