@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import decontaminate, language, minhash, packing, pii, token_counts
+from quarrystone.llm import decontaminate, language, minhash, packing, pii, token_counts, topk
 from quarrystone.llm.base import fold, table
 
 
@@ -36,12 +36,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op10_packing)}
+    return {f.__name__: f for f in (op3_token_counts, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op9_exact_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
