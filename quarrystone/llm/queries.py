@@ -8,10 +8,21 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import decontaminate, language, minhash, packing, pii, token_counts, topk
+from quarrystone.llm import decontaminate, language, minhash, packing, pii, secrets, token_counts, topk, toxicity
 from quarrystone.llm.base import fold, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(fold() % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents"), secrets.new_ledger(spark)))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.TOKENIZER), 512)
 
@@ -46,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op9_exact_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_token_counts, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op9_exact_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
