@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import decontaminate, language, minhash, packing, pii, secrets, token_counts, topk, toxicity
+from quarrystone.llm import decontaminate, language, minhash, packing, pii, secrets, substrings, token_counts, topk, toxicity
 from quarrystone.llm.base import fold, table
 
 
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.TOKENIZER), 512)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(language.training_rows(docs))
@@ -57,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_token_counts, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op9_exact_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op9_exact_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
