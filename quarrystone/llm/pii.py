@@ -120,9 +120,8 @@ def disclosures(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
     n_e = at.groupBy(F.col("x.v").alias("entity")).agg(F.count_distinct("hash").alias("n_e")).where(F.col("n_e") >= SUPPORT)
     n_te = near.groupBy("entity", "term").agg(F.count_distinct("hash").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     pairs = written(n_te.join(n_e, "entity"), "pairs")
-    asked = pairs.select("term").distinct()
     said = docs.select(F.explode(F.array_distinct(F.split(F.lower(readable(text)), r"[^\p{L}]+"))).alias("term"))
-    n_t = said.where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_t")).join(asked, "term", "left_semi")
+    n_t = said.where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n"))
     return (
         pairs.join(n_t, "term")
