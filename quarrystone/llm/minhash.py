@@ -8,10 +8,12 @@ Skip merging: lists of one member can't collide and are left out; a set with few
 has no partner.  Prefix: of its k lists a set keeps the k - LEAST_MATCHES + 1 shortest (in one order for all);
 two sets with enough collisions share one of them, so the longest lists - common passages - are never walked.
 
-Only components are asked for, so lists aren't expanded into pairs: in each round a list's members are held
-against one hub, those of a component with the hub already need no check, and lists within one component are
-done.  What is still apart after the rounds of hubs is compared with all members of its lists outside its own
-component.  Candidates are filtered by size and signature collisions and confirmed on the full sets.
+Only components are asked for, so lists aren't expanded into pairs.  Each list's members are held against one
+hub, the set whose lists are the longest: the middle of a group of near copies.  Sets about as similar to a hub
+as `NEAR` form a pool.  Inside a pool that isn't linked throughout, blocks of at most `BLOCK_SETS` sets are
+compared by counting shared shingles in an inverted index, and only the links that join something leave the task.
+Sets of different pools that share a prefix list are compared by size and signature.  Links are confirmed on
+the full sets.
 
 Defined cases: exact copies are one set and meet by its hash, however many; null, empty and blank texts have no
 shingles (n_shingles 0) and are linked with nothing; fewer words than a shingle make one shingle; null ids have a
@@ -33,7 +35,8 @@ WORDS = 5
 SIMILARITY = 75  # per cent
 COORDINATES = 48
 LEAST_MATCHES = 22
-HUB_ROUNDS = 3
+NEAR = 40  # per cent
+BLOCK_SETS = 512
 #: Odd multipliers and offsets of the coordinates' hash functions, from a fixed seed.
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,7 +132,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     own = Window.partitionBy("doc")
     ranked = posted.join(shared, "list").withColumn("k", F.count("*").over(own)).where(F.col("k") >= LEAST_MATCHES)
     ranked = ranked.withColumn("at", F.row_number().over(own.orderBy("size", "list")))
-    prefix = written(ranked.where(F.col("at") <= F.col("k") - LEAST_MATCHES + 1).select("list", "doc"), "prefix")
+    ranked = ranked.withColumn("fame", F.sum(F.ln("size")).over(own))
+    prefix = written(ranked.where(F.col("at") <= F.col("k") - LEAST_MATCHES + 1).select("list", "doc", "fame"), "prefix")
     held = prefix.select("doc").distinct()
     full = written(
         held.join(sets.select(F.col("rep").alias("doc"), "n", "sig"), "doc").join(
@@ -146,43 +150,99 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def _linked(prefix: DataFrame, full: DataFrame) -> DataFrame:
     """(node, component) of the sets that are linked with another."""
-    nodes = written(full.select(F.col("doc").alias("node"), F.col("doc").alias("component")), "components")
-    for turn in range(HUB_ROUNDS + 1):
-        members = prefix.join(nodes.withColumnRenamed("node", "doc"), "doc")
-        order = F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "component")
-        lists = members.groupBy("list").agg(F.min(order).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        lists = lists.select("list", F.col("hub.doc").alias("hub"), F.col("hub.component").alias("hub_component"))
-        apart = members.join(lists, "list")
-        if turn < HUB_ROUNDS:
-            pairs = apart.where("component <> hub_component").select("doc", F.col("hub").alias("other"))
-        else:
-            rest = apart.where("component <> hub_component").select("list", "doc", "component")
-            others = apart.select("list", F.col("doc").alias("other"), F.col("component").alias("of_other"))
-            pairs = rest.join(others, "list").where("component <> of_other").select("doc", "other")
-        links = written(_confirmed(pairs.distinct(), full), "links")
-        if links.isEmpty():
-            continue
-        at = nodes.withColumnRenamed("node", "doc")
-        edges = links.join(at, "doc").select("other", F.col("component").alias("a")).join(at.withColumnRenamed("doc", "other"), "other").select("a", F.col("component").alias("b"))
-        merged = components(edges).withColumnRenamed("component", "to")
-        nodes = written(nodes.join(merged, nodes["component"] == merged["node"], "left").select(nodes["node"], F.coalesce("to", "component").alias("component")), "components")
-    return nodes
-
-
-def _similar(inter: Column, na: Column, nb: Column) -> Column:
-    return 100 * inter >= SIMILARITY * (na + nb - inter)
-
-
-def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """Pairs (doc, other) whose sets are similar enough: first by size and signature, then on the full sets."""
+    hubs = prefix.groupBy("list").agg(F.max(F.struct("fame", "doc"))["doc"].alias("hub"))
+    stars = prefix.join(hubs, "list").where("doc <> hub").select("doc", F.col("hub").alias("other")).distinct()
+    near = written(_compared(stars, full, NEAR), "near")
+    pools = written(components(near, "doc", "other").withColumnRenamed("component", "pool"), "pools")
+    linked = near.where(_similar(F.col("common"), F.col("na"), F.col("nb"))).select("doc", "other")
+    inside = _inside_pools(pools, linked, full)
+    of = prefix.join(pools.withColumnRenamed("node", "doc"), "doc", "left").select("list", "doc", F.coalesce("pool", "doc").alias("pool"))
+    mixed_lists = of.groupBy("list").agg(F.min("pool").alias("lo"), F.max("pool").alias("hi")).where("lo <> hi").select("list")
+    apart = of.join(mixed_lists, "list").join(full.select("doc", "n", "sig"), "doc")
+    one, two = (apart.select("list", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "pool", "n", "sig"))) for side in "ab")
+    likely = (F.col("pool_a") < F.col("pool_b")) & _similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")) & (_matches("sig_a", "sig_b") >= LEAST_MATCHES)
+    across = one.join(two, (one["list"] == two["list"]) & likely).select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other")).distinct()
+    links = linked.unionByName(inside).unionByName(_compared(across, full, SIMILARITY).select("doc", "other"))
+    return components(links, "doc", "other")
+
+
+def _similar(common: Column, na: Column, nb: Column, percent: int = SIMILARITY) -> Column:
+    return 100 * common >= percent * (na + nb - common)
+
+
+def _matches(a: str, b: str) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+
+
+def _compared(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(doc, other, na, nb, common) of the pairs whose sets are at least so similar: by size and signature first."""
     a = full.select("doc", F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = full.select(F.col("doc").alias("other"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    matches = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    likely = pairs.join(a, "doc").join(b, "other").where(_similar(F.least("na", "nb"), F.col("na"), F.col("nb"))).where(matches >= LEAST_MATCHES).select("doc", "other", "na", "nb")
+    sized = pairs.join(a, "doc").join(b, "other").where(_similar(F.least("na", "nb"), F.col("na"), F.col("nb"), percent))
+    likely = sized.where(_matches("sa", "sb") >= LEAST_MATCHES * percent // SIMILARITY).select("doc", "other", "na", "nb")
     x = full.select("doc", F.col("shingles").alias("x"))
     y = full.select(F.col("doc").alias("other"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return likely.join(x, "doc").join(y, "other").where(_similar(common, F.col("na"), F.col("nb"))).select("doc", "other")
+    out = likely.join(x, "doc").join(y, "other").select("doc", "other", "na", "nb", common.alias("common"))
+    return out.where(_similar(F.col("common"), F.col("na"), F.col("nb"), percent))
+
+
+def forest(ids: list, sets: list[np.ndarray], side: list[bool], parts: list) -> list[tuple[int, int]]:
+    """Links (positions) that join sets of different parts (labels of what is linked already), from comparing
+    each set with all before it by counting shared shingles; if both sides are there, only with the other side's.
+    No more links than sets."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    cuts = np.cumsum([0, *map(len, sets)])
+    # (shingle, set) pairs by shingle: where a shingle is shared, its sets stand next to each other
+    owner = np.repeat(np.arange(len(sets)), np.diff(cuts))
+    by = np.lexsort((owner, codes))
+    starts = np.searchsorted(codes[by], np.arange(codes.max() + 2 if len(codes) else 1))
+    held, sizes, out = owner[by], np.diff(cuts), []
+    sides = np.array(side)
+    two_sides = sides.any() and not sides.all()
+    for i in range(1, len(sets)):
+        mine = codes[cuts[i] : cuts[i + 1]]
+        common = np.bincount(np.concatenate([held[starts[c] : starts[c + 1]] for c in mine]), minlength=len(sets))[:i]
+        linked = np.flatnonzero((100 * common >= SIMILARITY * (sizes[:i] + sizes[i] - common)) & ((sides[:i] != sides[i]) | (not two_sides)))
+        for j in linked:
+            a, b = root(parts[i]), root(parts[int(j)])
+            if a != b:
+                parent[a] = b
+                out.append((i, int(j)))
+    return out
+
+
+def _inside_pools(pools: DataFrame, linked: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (doc, other) inside pools of several parts.  A pool is dealt into blocks; each pair of blocks is a
+    group of its own."""
+    parts = components(linked, "doc", "other").select(F.col("node"), F.col("component").alias("part"))
+    members = written(pools.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "members")
+    open_pools = members.groupBy("pool").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    blocks = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
+    rows = members.join(open_pools, "pool").select("pool", F.col("node").alias("doc"), "part", blocks.alias("blocks"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("pool", "doc", "part", F.least("own", "met").alias("b1"), F.greatest("own", "met").alias("b2"), "own")
+    kind = dict(full.dtypes)["doc"]
+
+    def compare(t):
+        import pyarrow as pa
+
+        first = t.column("b1")[0].as_py()
+        order = np.argsort(t.column("doc").to_numpy(), kind="stable")
+        t = t.take(pa.array(order))
+        ids, sets = t.column("doc").to_pylist(), [np.asarray(v.values) for v in t.column("shingles").combine_chunks()]
+        found = forest(ids, sets, [o != first for o in t.column("own").to_pylist()], t.column("part").to_pylist()) if len(ids) > 1 else []
+        return pa.table({"doc": pa.array([ids[i] for i, _ in found], t.schema.field("doc").type), "other": pa.array([ids[j] for _, j in found], t.schema.field("doc").type)})
+
+    with_sets = rows.join(full.select("doc", "shingles"), "doc")
+    return written(with_sets.groupBy("pool", "b1", "b2").applyInArrow(compare, f"doc {kind}, other {kind}"), "inside")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
