@@ -13,8 +13,10 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -33,7 +35,10 @@ END_ID = 1
 BLOCK_PIECES = 8192
 #: A bin with more free tokens than this share of the capacity is packed again at the second level.
 OPEN_SHARE = 0.01
-WORDS_KEPT = 300_000
+#: Words, and runs of characters without blanks, kept with their ids in a worker.
+WORDS_KEPT = 900_000
+#: Characters that str.split takes for blanks and the vocabulary's splitter doesn't, or the other way round.
+ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")
 
 
 class WordIds:
@@ -47,6 +52,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -59,17 +65,25 @@ class WordIds:
             if SHARED_CLASSES.search(text):
                 return self.whole(text)
             text = unicodedata.normalize("NFC", text)
-        words, known = self.find(text.lower()), self.words
+        if ODD_BLANKS.search(text):
+            return self.joined(self.find(text.lower()), self.words)
+        # No word crosses a blank, so what stands between blanks is looked up as one.
+        return self.joined(text.lower().split(), self.runs)
+
+    def joined(self, keys: list[str], known: dict[str, bytes]) -> bytes:
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[k] for k in keys])
         except KeyError:
-            new = list({w for w in words if w not in known})
+            new = list({k for k in keys if k not in known})
         if len(known) + len(new) > WORDS_KEPT:
             known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            new = list(set(keys))
+        if known is self.runs:
+            known.update((k, self.joined(self.find(k), self.words)) for k in new)
+        else:
+            for k, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[k] = array("I", e.ids).tobytes()
+        return b"".join([known[k] for k in keys])
 
 
 @lru_cache(maxsize=2)
