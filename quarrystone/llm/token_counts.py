@@ -25,8 +25,8 @@ from quarrystone.llm.base import arrow_map
 TOKENIZER = "byte_bpe_50k.json"
 #: Code points on which both engines have the same classes; others go to the library's splitter.
 SHARED_CLASSES = re.compile("[^\x00-ͯḀ-ỿ‐-⁞₠-₿]")
-#: Words kept with their prefix counts in a worker.
-WORDS_KEPT = 400_000
+#: Words, and runs of characters between blanks, kept with their prefix counts in a worker.
+WORDS_KEPT = 900_000
 PAIRS_KEPT = 1_000_000
 #: Bytes of a word's beginning whose state is kept for other words that begin so.
 STEM = 7
@@ -67,10 +67,12 @@ class PrefixCounter:
         self.specials = [x["content"] for x in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
         self.find = regex.compile(PATTERN).findall
+        self.blank_in = regex.compile(r"\s\s").search
         self.blanks = regex.compile(r"\s{2,}(?=\S)").finditer
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.stems: dict[bytes, tuple[list[bytes], list[int]]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -134,7 +136,7 @@ class PrefixCounter:
                     last[end], count[end] = t, count[start] + 1
                     break
         if begin == 1 and n > STEM:
-            if len(self.stems) >= WORDS_KEPT // 8:
+            if len(self.stems) >= WORDS_KEPT // 16:
                 self.stems.clear()
             self.stems[first] = last[: STEM + 1], count[: STEM + 1]
         return count
@@ -160,8 +162,31 @@ class PrefixCounter:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         return self.find(text)
 
+    def run_steps(self, run: str, lead: str = " ") -> bytes | None:
+        """Steps of a blank and the run behind it, from text where single blanks stand between runs; None if what
+        is next to the run, or inside it, makes some prefixes end in other words."""
+        if not run or run[0].isspace() or run[-1].isspace() or self.blank_in(run):
+            return None
+        words = self.find(lead + run)
+        if not CLIPPED.isdisjoint(words):
+            return None
+        known = b"".join([self.steps(w) for w in words])
+        if lead and len(run) <= 64:
+            if len(self.runs) >= WORDS_KEPT:
+                self.runs.clear()
+            self.runs[run] = known
+        return known
+
     def plain(self, text: str) -> np.ndarray:
         """Counts of all prefixes of a text without special strings; [0] is 0."""
+        if text.isascii() or not SHARED_CLASSES.search(text):
+            first, *runs = text.split(" ")
+            known, steps = self.runs, self.run_steps
+            parts = [steps(first, ""), *[known.get(r) or steps(r) for r in runs]]
+            if None not in parts:
+                out = np.zeros(len(text) + 1, np.int32)
+                np.cumsum(np.frombuffer(b"".join(parts), np.int8), dtype=np.int32, out=out[1:])
+                return out
         words = self.split(text)
         known = self.words
         data = b"".join([known.get(w) or self.steps(w) for w in words])
