@@ -7,14 +7,17 @@ the same one.  Texts are their UTF-8 bytes and matches never cross documents.
    equal anchors.  Neighbouring strings with one anchor form a segment: one row for about 35 bytes.  Segments
    whose anchor is nowhere else are done.
 2. Classes.  Segments with equal anchors and equal bytes are a class; all but its first are repeats throughout.
-3. Suffix sort.  If an anchor has several classes, their first segments agree only in part.  The suffixes that
-   start in them are sorted in blocks by a mergesort: prefix polynomial hashes tell in seven halvings how far two
-   suffixes agree, so a comparison takes logarithmic time.  Neighbours that agree in 100 bytes are compared byte
-   by byte; of each group of equal ones the first goes on, the others are repeats.
-4. Blocks meet by two independent hashes of the 100 bytes: all but the first of a group are repeats.
+3. Suffix sort.  If an anchor has several classes, their first segments agree only in part.  What stands right of
+   the anchor, and reversed what stands left of it, is sorted by a mergesort whose comparisons are logarithmic:
+   prefix polynomial hashes tell in a few halvings how far two suffixes agree.  Two strings that begin l bytes
+   before their anchors are equal if they agree l bytes to the left and 100 - l to the right, so runs of the two
+   suffix arrays with long enough common prefixes give the groups of equal strings.  Members are compared with
+   the first of their group byte by byte; they are repeats.
+4. Blocks.  An anchor with more than `BLOCK_CLASSES` classes is dealt into blocks; what is left of them meets by two
+   independent hashes of the 100 bytes, and all but the first of a group are repeats.
 
 Each exchange is an aggregation that is combined before it is shuffled, or a join whose large keys Spark can
-split; no group is ever gathered in one task.
+split; no group beyond a block's size is gathered in one task.
 
 Defined cases: null text counts as empty; texts shorter than 100 bytes lose nothing; copies lose everything but
 in the first; rows with the same id are one document read again, so neither removes from the other; null ids
@@ -36,9 +39,10 @@ from quarrystone.llm.minhash import Powers, mixed
 LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1  # 32-byte strings in a 100-byte string
-#: String starts of a text that are looked at together, and suffixes that are sorted in one block.
+#: String starts of a text that are looked at together; classes of an anchor, and suffixes, that are sorted together.
 CHUNK = 1 << 20
-BLOCK_SUFFIXES = 20_000
+BLOCK_CLASSES = 8_192
+BATCH_SUFFIXES = 16_384
 _PLACE = np.uint64((1 << 24) - 1)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _NO_ID = -(1 << 63)
@@ -61,6 +65,15 @@ def segments(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray,
     if len(data) < LENGTH:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
     parts = []
+    for at, anchor, first, gram, h in _anchors(data, powers):
+        n = np.diff(np.append(first, len(anchor)))
+        shape = ((anchor[first] - first) * 128 + n).astype(np.uint64)
+        parts.append((gram[anchor[first]], mixed(h.of(first, first + n + LENGTH - 1) ^ mixed(shape)), first + at, n))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(data: np.ndarray, powers: Powers):
+    """By chunks: where it begins, the anchor of each string start, the first starts of segments, gram hashes."""
     for at in range(0, len(data) - LENGTH + 1, CHUNK):
         part = data[at : at + CHUNK + LENGTH - 1]
         h = PrefixHash(part, powers)
@@ -73,41 +86,40 @@ def segments(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray,
             width *= 2
         low = np.minimum(low[: len(part) - LENGTH + 1], low[WINDOW - width : WINDOW - width + len(part) - LENGTH + 1])
         anchor = (low & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        n = np.diff(np.append(first, len(anchor)))
-        shape = ((anchor[first] - first) * 128 + n).astype(np.uint64)
-        parts.append((gram[anchor[first]], mixed(h.of(first, first + n + LENGTH - 1) ^ mixed(shape)), first + at, n))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        yield at, anchor, np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), gram, h
 
 
-def agreement(h: PrefixHash, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def agreement(h: PrefixHash, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """How many bytes suffixes a and b have in common, up to most, by halving."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), most)
-    while (low < high).any():
-        mid = (low + high + 1) // 2
-        same = h.of(a, a + mid) == h.of(b, b + mid)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
+    while len(i := np.flatnonzero(low < high)):
+        mid = (low[i] + high[i] + 1) // 2
+        same = h.of(a[i], a[i] + mid) == h.of(b[i], b[i] + mid)
+        low[i], high[i] = np.where(same, mid, low[i]), np.where(same, high[i], mid - 1)
     return low
 
 
-def suffix_sort(data: np.ndarray, starts: np.ndarray, h: PrefixHash, most: int = LENGTH) -> np.ndarray:
-    """starts, ordered by the `most` bytes from each (equal ones stay in order): a mergesort of doubling runs, all
-    comparisons of a level at once.  Every start has `most` bytes behind it."""
-    out, n, run = starts.copy(), len(starts), 1
+def suffix_sort(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, h: PrefixHash) -> np.ndarray:
+    """Positions of starts, ordered by group, then by the strings of their sizes (equal ones stay in order): a
+    mergesort of doubling runs, all comparisons of a level at once."""
+    out, n, run = np.argsort(groups, kind="stable"), len(starts), 1
     while run < n:
         at = np.arange(n)
         pair, right = at // (2 * run) * 2 * run, (at // run) % 2 == 1
-        begin = np.where(right, pair, np.minimum(pair + run, n))
-        end = np.where(right, pair + run, np.minimum(pair + 2 * run, n))
-        low, high = begin.copy(), end.copy()
-        while (open_ := low < high).any():
-            i = np.flatnonzero(open_)
+        low = np.where(right, pair, np.minimum(pair + run, n))
+        begin, high = low.copy(), np.where(right, pair + run, np.minimum(pair + 2 * run, n))
+        while len(i := np.flatnonzero(low < high)):
             mid = (low[i] + high[i]) // 2
-            a, b = out[i], out[mid]
-            same = agreement(h, a, b, most)
-            full = same == most
-            d = data[np.minimum(b + same, len(data) - 1)].astype(np.int16) - data[np.minimum(a + same, len(data) - 1)]
-            before = np.where(full, right[i], d < 0)  # the other run's element comes first
+            x, y = out[i], out[mid]
+            order = np.sign(groups[y] - groups[x])
+            near = np.flatnonzero(order == 0)
+            p, q = x[near], y[near]
+            most = np.minimum(sizes[p], sizes[q])
+            same = agreement(h, starts[p], starts[q], most)
+            last = len(data) - 1
+            bytes_ = data[np.minimum(starts[q] + same, last)].astype(np.int64) - data[np.minimum(starts[p] + same, last)]
+            order[near] = np.where(same < most, np.sign(bytes_), np.sign(sizes[q] - sizes[p]))
+            before = (order < 0) | ((order == 0) & right[i])  # the other run's element comes first
             low[i], high[i] = np.where(before, mid + 1, low[i]), np.where(before, high[i], mid)
         new = np.empty_like(out)
         new[pair + (at - np.where(right, pair + run, pair)) + (low - begin)] = out
@@ -115,18 +127,48 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, h: PrefixHash, most: int =
     return out
 
 
-def equal_groups(data: np.ndarray, starts: np.ndarray, powers: Powers) -> np.ndarray:
-    """For each of starts (in order), the first start with the same 100 bytes."""
-    h = PrefixHash(data, powers)
-    order = suffix_sort(data, starts, h)
+def neighbours(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, h: PrefixHash) -> np.ndarray:
+    """Of each sorted suffix, the bytes in common with the one before; -1 for the first of a group."""
     a, b = order[:-1], order[1:]
-    same = agreement(h, a, b, LENGTH) == LENGTH
-    i = np.flatnonzero(same)
-    span = np.arange(LENGTH)
-    same[i] = (data[a[i][:, None] + span] == data[b[i][:, None] + span]).all(axis=1)
-    group = np.cumsum(np.concatenate(([0], ~same)))
-    first = order[np.concatenate(([0], np.flatnonzero(~same) + 1))][group]
-    return first[np.argsort(order, kind="stable")] if len(starts) else starts
+    same = agreement(h, starts[a], starts[b], np.minimum(sizes[a], sizes[b]))
+    return np.concatenate(([-1], np.where(groups[a] == groups[b], same, -1))).astype(np.int64)
+
+
+def equal_strings(groups: np.ndarray, contexts: list[bytes], left: np.ndarray, n: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, distance, first): strings of elements, beginning `distance` bytes before their anchors, that equal
+    one of element `first` of the same group, the earliest.  Elements come earliest first.  contexts[i] holds n[i]
+    strings, the anchor stands left[i] bytes from its begin."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    long = np.array([len(c) for c in contexts], np.int64)
+    begin = np.cumsum(long) - long
+    anchor = begin + left
+    back = data[::-1]
+    sides = []
+    for text, at, size in ((data, anchor, long - left), (back, len(data) - anchor, left)):
+        h = PrefixHash(text, powers)
+        order = suffix_sort(text, at, size, groups, h)
+        sides.append((order, neighbours(order, at, size, groups, h)))
+    found, few = [], left - n + 1
+    for distance in range(WINDOW):
+        held = np.flatnonzero((few <= distance) & (distance <= left))
+        if len(held) < 2:
+            continue
+        ids = []
+        for (order, common), least in zip(sides, (LENGTH - distance, distance), strict=True):
+            run = np.empty(len(groups), np.int64)
+            run[order] = np.cumsum(common < least)
+            ids.append(run[held])
+        by = np.lexsort((held, *ids))
+        new = np.concatenate(([True], (ids[0][by][1:] != ids[0][by][:-1]) | (ids[1][by][1:] != ids[1][by][:-1])))
+        first = held[by][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = np.flatnonzero(~new)
+        found.append((held[by][later], np.full(len(later), distance), first[later]))
+    e, d, f = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+    ok, span = np.ones(len(e), bool), np.arange(LENGTH)
+    for i in range(0, len(e), 1 << 16):
+        j = slice(i, i + (1 << 16))
+        ok[j] = (data[(anchor[e[j]] - d[j])[:, None] + span] == data[(anchor[f[j]] - d[j])[:, None] + span]).all(axis=1)
+    return e[ok], d[ok], f[ok]
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,62 +195,95 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     classes = written(found.groupBy("anchor", "hash").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("c")), "classes")
     copies = found.join(classes.where("c > 1").select("anchor", "hash", "first"), ["anchor", "hash"]).where("doc <> first.doc or at <> first.at")
     whole = copies.select("doc", F.shiftright("at", 7).alias("start"), F.col("at").bitwiseAND(127).alias("n"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    asked = classes.join(several, "anchor").select("first.doc", "first.at").groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    asked = written(asked, "asked")
+    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
+    blocks = F.ceil(F.col("classes") / BLOCK_CLASSES).cast("int")
+    firsts = classes.join(several, "anchor").select("anchor", "first.doc", "first.at", blocks.alias("blocks"))
+    asked = written(firsts.groupBy("doc").agg(F.collect_list(F.struct("at", "anchor", "blocks")).alias("asked")), "asked")
     _release(spark)
 
-    def sort():
-        powers, twins = Powers(), Powers()
+    def contexts():
+        powers = Powers()
 
         def work(cols):
-            out = [[], [], [], []]
-            block: list[tuple[int, bytes, int, int]] = []
-            held = 0
-
-            def flush():
-                if not block:
-                    return
-                data = np.frombuffer(b"".join(b for _, b, _, _ in block), np.uint8)
-                offs = np.cumsum([0, *(len(b) for _, b, _, _ in block)])[:-1]
-                starts = np.concatenate([o + np.arange(n) for o, (_, _, _, n) in zip(offs, block, strict=True)])
-                ids = np.repeat([d for d, _, _, _ in block], [n for _, _, _, n in block])
-                place = np.concatenate([p + np.arange(n) for _, _, p, n in block])
-                by = np.lexsort((place, ids))  # so that the first of a group is the earliest
-                starts, ids, place = starts[by], ids[by], place[by]
-                first = equal_groups(data, starts, powers)
-                here = first == starts
-                h1 = PrefixHash(data, powers).of(starts, starts + LENGTH)
-                h2 = PrefixHash(data, twins, _SECOND).of(starts, starts + LENGTH)
-                for column, v in zip(out, (ids, place, np.where(here, mixed(h1).view(np.int64), 0), np.where(here, mixed(h2 ^ (h1 >> np.uint64(7))).view(np.int64), 0)), strict=True):
-                    column.append(v)
-                block.clear()
-
-            for d, t, ats in zip(*cols, strict=True):
-                data, seen = (t or "").encode(), -1
-                for at in ats:
-                    p, n = at >> 7, at & 127
-                    if p < seen:  # segments of one text don't overlap; equal rows may repeat
-                        continue
-                    seen = p + n
-                    block.append((d, data[p : p + n + LENGTH - 1], p, n))
-                    held += n
-                    if held >= BLOCK_SUFFIXES:
-                        flush()
-                        held = 0
-            flush()
-            return [np.concatenate(c) if c else [] for c in out]
+            out = [[], [], [], [], [], [], []]
+            for d, t, want in zip(*cols, strict=True):
+                data = np.frombuffer(b := (t or "").encode(), np.uint8)
+                left = dict(zip(*segment_anchors(data, powers), strict=True))
+                for x in want:
+                    p, n = x["at"] >> 7, x["at"] & 127
+                    if p in left:  # not another row's with the same id
+                        for column, v in zip(out, (x["anchor"], x["blocks"], d, p, n, left[p], b[p : p + n + LENGTH - 1]), strict=True):
+                            column.append(v)
+            return out
 
         return work
 
-    texts = docs.join(asked, "doc").select("doc", "text", "at")
-    strings = written(arrow_map(texts, sort, ["doc", "text", "at"], "doc long, start long, h1 long, h2 long"), "strings")
+    texts = docs.join(asked, "doc").select("doc", "text", "asked")
+    rows = arrow_map(texts, contexts, ["doc", "text", "asked"], "anchor long, blocks int, doc long, start long, n long, left long, context binary")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc", "start"), F.col("blocks")).cast("int"))
+    rows = rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "doc", "start")
+    strings = written(rows.mapInArrow(_sorted_blocks, "doc long, start long, n long, h1 long, h2 long"), "strings")
     _release(spark)
-    apart = strings.where("h1 <> 0 or h2 <> 0")
+    apart = strings.where("h1 IS NOT NULL")
     earliest = apart.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    later = apart.join(earliest, ["h1", "h2"]).where("doc <> first.doc or start <> first.start").select("doc", "start")
-    single = strings.where("h1 = 0 and h2 = 0").select("doc", "start").unionByName(later).withColumn("n", F.lit(1).cast("long"))
-    return whole.unionByName(single)
+    later = apart.join(earliest, ["h1", "h2"]).where("doc <> first.doc or start <> first.start").select("doc", "start", "n")
+    return whole.unionByName(strings.where("h1 IS NULL").select("doc", "start", "n")).unionByName(later)
+
+
+def segment_anchors(data: np.ndarray, powers: Powers) -> tuple[list[int], list[int]]:
+    """First starts of the segments, and how far behind each its anchor stands."""
+    starts, lefts = [], []
+    for at, anchor, first, _, _ in _anchors(data, powers):
+        starts += (first + at).tolist()
+        lefts += (anchor[first] - first).tolist()
+    return starts, lefts
+
+
+def _sorted_blocks(batches):
+    """Rows come by anchor and block.  Gives ranges of repeats (h1 null), and of anchors with several blocks also the
+    strings that are the first of their block, with hashes."""
+    import pyarrow as pa
+
+    powers, held, size = Powers(), [], 0
+    names = ("anchor", "block", "blocks", "doc", "start", "n", "left", "context")
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        anchor, block, blocks, doc, start, n, left = (np.array([r[i] for r in rows], np.int64) for i in range(7))
+        by = np.lexsort((start, doc))
+        group = np.unique(np.stack([anchor, block]), axis=1, return_inverse=True)[1].ravel()[by]
+        anchor, block, blocks, doc, start, n, left = (x[by] for x in (anchor, block, blocks, doc, start, n, left))
+        texts = [rows[i][7] for i in by]
+        e, d, f = equal_strings(group, texts, left, n, powers)
+        own = (doc[e] != doc[f]) | (start[e] != start[f])
+        e, d = e[own], d[own]
+        begin = start[e] + left[e] - d
+        by = np.lexsort((begin, e))
+        e2, begin2 = e[by], begin[by]
+        new = np.concatenate(([True], (e2[1:] != e2[:-1]) | (begin2[1:] != begin2[:-1] + 1))) if len(e2) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        out = [(doc[e2[at]], begin2[at], np.diff(np.append(at, len(e2))))]
+        h1s, h2s = [np.zeros(len(at), np.int64)], [np.zeros(len(at), np.int64)]
+        gone = set(zip(e.tolist(), d.tolist(), strict=True))
+        for i in np.flatnonzero(blocks > 1):
+            data = np.frombuffer(texts[i], np.uint8)
+            open_ = np.array([k for k in range(n[i]) if (i, left[i] - k) not in gone], np.int64)
+            one, two = PrefixHash(data, powers).of(open_, open_ + LENGTH), PrefixHash(data, powers, _SECOND).of(open_, open_ + LENGTH)
+            out.append((np.full(len(open_), doc[i]), start[i] + open_, np.ones(len(open_), np.int64)))
+            h1s.append(mixed(one).view(np.int64))
+            h2s.append(mixed(two).view(np.int64))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] + [np.concatenate(h1s), np.concatenate(h2s)]
+        hidden = np.arange(len(columns[0])) < len(at)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.int64(), mask=hidden) for c in columns[3:])], ["doc", "start", "n", "h1", "h2"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+            if size >= BATCH_SUFFIXES and row[:2] != held[-1][:2]:
+                yield solve(held)
+                held, size = [], 0
+            held.append(row)
+            size += 1
+    if held:
+        yield solve(held)
 
 
 def _release(spark) -> None:
