@@ -41,7 +41,7 @@ GRAM = 32
 WINDOW = LENGTH - GRAM + 1  # 32-byte strings in a 100-byte string
 #: String starts of a text that are looked at together; classes of an anchor, and suffixes, that are sorted together.
 CHUNK = 1 << 20
-BLOCK_CLASSES = 8_192
+BLOCK_CLASSES = 65_536  # of about 170 bytes
 BATCH_SUFFIXES = 16_384
 _PLACE = np.uint64((1 << 24) - 1)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
