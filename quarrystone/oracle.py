@@ -77,7 +77,7 @@ scored AS MATERIALIZED (SELECT left_key, right_key, left_name, right_name, name_
   CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS band,
   'tax:' || CASE WHEN tax_eq THEN 'same' WHEN tax_conflict THEN 'conflict' ELSE 'missing' END || '|name>=' || CASE WHEN name_similarity >= 1 THEN '1.0' ELSE '0.' || CAST(floor(name_similarity * 10) AS INT) END
     || '|city:' || CASE WHEN city_eq THEN 'y' ELSE 'n' END || '|phone:' || CASE WHEN phone_eq THEN 'y' ELSE 'n' END || '|domain:' || CASE WHEN domain_eq THEN 'y' ELSE 'n' END AS signature,
-  CASE WHEN tax_eq THEN 'Same tax ID; n' WHEN tax_conflict THEN 'Different valid tax IDs; n' ELSE 'N' END || 'ame similarity ' || printf('%.2f', name_similarity) || CASE WHEN city_eq THEN '; same city' ELSE '; different or missing city' END
+  CASE WHEN tax_eq THEN 'Same tax ID; n' WHEN tax_conflict THEN 'Different valid tax IDs; n' ELSE 'N' END || 'ame similarity ' || printf('%.2f', CAST(round(CAST(name_similarity AS DECIMAL(10, 4)), 2) AS DOUBLE)) || CASE WHEN city_eq THEN '; same city' ELSE '; different or missing city' END
     || CASE WHEN phone_eq THEN '; same phone' ELSE '' END || CASE WHEN domain_eq THEN '; same email domain' ELSE '' END AS explanation FROM p2)"""
 
 _GOLD = f"""sym AS (SELECT left_key AS a, right_key AS b FROM scored WHERE band = 'HIGH' UNION ALL SELECT right_key, left_key FROM scored WHERE band = 'HIGH'),
