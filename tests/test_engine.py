@@ -276,6 +276,53 @@ def test_run_review_and_rerun(spark, made, tmp_path):
     assert e.apply_inbox("pair", inbox) == 1 and e.apply_inbox("pair", inbox) == 0
 
 
+def _land(frame, folder, entity):
+    """Write canonical rows as the sources' own CSV files."""
+    for source in config.SOURCES:
+        own = standardize.source_schema(source, entity)
+        rows = frame.where(F.col("source") == source).select(*[F.col(k).alias(c) for k, c in own.items()]).toPandas()
+        (folder / source).mkdir(parents=True, exist_ok=True)
+        rows.to_csv(folder / source / f"{entity}.csv", index=False)
+
+
+def test_light_run_from_csv_and_review(spark, made, tmp_path):
+    v, i, _, _ = made
+    for name, df in (("vendors", v), ("invoices", i)):
+        _land(df, tmp_path / "landing", name)
+    e = Engine(spark, str(tmp_path), config.LIGHT)
+    truth = v.select("record_key", "true_vendor")
+    first = e.run(truth=truth)
+    assert first["records"] == v.count() + i.count()
+    simulated_review(e, truth)
+    second = e.run(truth=truth)
+    assert second["match_recall"] >= first["match_recall"] and e.store.read("review_queue").count() == 0
+    assert e.train()["trained"] in (True, False)
+
+
+def test_assistant_answers_are_asked_once(spark, made, tmp_path):
+    class Scripted:
+        def complete_json(self, system, prompt, schema):
+            return {"decisions": [{"pair": n, "decision": "same", "confidence": 0.95} for n in range(prompt.count("\n") + 1)]}
+
+    v, i, _, _ = made
+    e = Engine(spark, str(tmp_path), assistant=Scripted())
+    first = e.run(extracts=(v, i))
+    assert first["assistant_calls"] >= 1
+    pairs = e.store.read("silver_match_pairs").where("ai_decision IS NOT NULL")
+    assert pairs.count() and pairs.where("tax_conflict AND band <> 'LOW'").count() == 0 and pairs.where("band = 'HIGH' AND score < 0.8").count() == 0
+    assert e.run(extracts=(v, i))["assistant_calls"] == first["assistant_calls"]
+
+
+def test_bad_batch_raises_alerts_and_ablation_improves(spark, made, tmp_path):
+    v, i, _, _ = made
+    e = Engine(spark, str(tmp_path / "a"))
+    assert "AL01" not in e.run(extracts=(v, i))["alerts"]
+    bad, _ = synth.bad_batch(spark, v, 250)
+    assert {"AL01", "AL06"} <= set(e.run(extracts=(v, i.unionByName(bad)))["alerts"])
+    steps = {r["step"]: r for r in ablation(spark, str(tmp_path / "b"), (v.where("true_vendor < 25"), i.limit(60)), v.where("true_vendor < 25").select("record_key", "true_vendor"))}
+    assert steps["A"]["vendors_exact"] <= steps["B"]["vendors_exact"] <= steps["C"]["vendors_exact"] and steps["D"]["assistant_calls"] > 0
+
+
 # --- the registered queries ---------------------------------------------------------------------------------------
 def test_every_oracle_has_a_query_and_most_queries_an_oracle():
     q, o = queries.queries(), oracle.oracle_sql()
