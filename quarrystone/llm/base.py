@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows that a Python worker looks at together; bounds its memory however large an Arrow batch is.
-SLICE_ROWS = 256
+#: Rows that a Python worker looks at together, and rows of the batches that reach it.
+SLICE_ROWS, BATCH_ROWS = 256, 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel in these batches, on both sides outside the heap: keep them small, unless the session
+    has a number of its own."""
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):  # not on this C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], columns: list[str], schema: str) -> DataFrame:
     """mapInArrow by slices of SLICE_ROWS rows.  make() runs once a task and gives a function from the lists
     of the named columns to the lists of the columns of schema."""
@@ -59,7 +76,9 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list
                 part = batch.slice(at, SLICE_ROWS)
                 out = work([part.column(i).to_pylist() for i in range(len(columns))])
                 yield pa.RecordBatch.from_arrays([pa.array(v, to.field(n).type) for v, n in zip(out, names, strict=True)], schema=to)
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, target)
 
 
@@ -85,5 +104,7 @@ def arrow_filter(df: DataFrame, make: Callable[[], Callable[[list[list]], list[b
                 part = batch.slice(begin, SLICE_ROWS)
                 if any(mask := keep([part.column(i).to_pylist() for i in at])):
                     yield part.filter(pa.array(mask, pa.bool_()))
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
