@@ -190,12 +190,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return work
 
     rows = arrow_map(docs, cut, ["doc", "text"], "anchor long, hash long, doc long, at long")
-    common = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Written, so that both sides of the join are plain exchanges, whose large keys Spark can split.
+    common = written(rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "common")
+    _release(spark)
     found = written(rows.join(common, "anchor"), "segments")
     classes = written(found.groupBy("anchor", "hash").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("c")), "classes")
     copies = found.join(classes.where("c > 1").select("anchor", "hash", "first"), ["anchor", "hash"]).where("doc <> first.doc or at <> first.at")
     whole = copies.select("doc", F.shiftright("at", 7).alias("start"), F.col("at").bitwiseAND(127).alias("n"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
+    several = written(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "several")
     blocks = F.ceil(F.col("classes") / BLOCK_CLASSES).cast("int")
     firsts = classes.join(several, "anchor").select("anchor", "first.doc", "first.at", blocks.alias("blocks"))
     asked = written(firsts.groupBy("doc").agg(F.collect_list(F.struct("at", "anchor", "blocks")).alias("asked")), "asked")
