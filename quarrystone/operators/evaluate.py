@@ -16,15 +16,15 @@ def pairwise(xref: DataFrame, truth: DataFrame) -> DataFrame:
     both = df.groupBy("master_key", "true_vendor").agg(F.count("*").alias("n"))
     by = lambda k: both.groupBy(k).agg(F.sum("n").alias("n"))
     one = both.agg(pairs_of(F.col("n")).alias("correct"))
-    two = by("master_key").agg(pairs_of(F.col("n")).alias("predicted"), F.count("*").alias("golden_records"))
+    two = by("master_key").agg(pairs_of(F.col("n")).alias("predicted"), F.count("*").alias("golden_vendors"))
     three = by("true_vendor").agg(pairs_of(F.col("n")).alias("actual"), F.count("*").alias("true_vendors"))
     out = one.join(F.broadcast(two)).join(F.broadcast(three))  # one row each
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4)).otherwise(1.0)
-    return out.select(share("correct", "predicted").alias("match_precision"), share("correct", "actual").alias("match_recall"), "golden_records", "true_vendors")
+    return out.select(share("correct", "predicted").alias("match_precision"), share("correct", "actual").alias("match_recall"), "golden_vendors", "true_vendors")
 
 
 def exact_vendors(xref: DataFrame, truth: DataFrame) -> DataFrame:
-    """(true_vendor, records): vendors whose records are one golden record that holds no others."""
+    """(true_vendor, records): vendors whose records are one golden vendor that holds no others."""
     df = xref.select("record_key", "master_key").join(truth.select("record_key", "true_vendor"), "record_key")
     both = df.groupBy("master_key", "true_vendor").agg(F.count("*").alias("n"))
     pure = both.groupBy("master_key").agg(F.count("*").alias("c")).where("c = 1").select("master_key")

@@ -62,7 +62,7 @@ def numbered_rows(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def ranked_members(vendors: DataFrame, keys: DataFrame) -> DataFrame:
-    """vendors with master_key and _rank, a struct that orders a golden record's members."""
+    """vendors with master_key and _rank, a struct that orders a golden vendor's members."""
     priority = F.create_map(*[F.lit(x) for kv in config.SOURCE_PRIORITY.items() for x in kv])
     return vendors.join(keys, "record_key").withColumn("_rank", F.struct(F.coalesce(priority[F.col("source_system")], F.lit(99)).alias("p"), F.col("record_key").alias("k")))
 
@@ -103,8 +103,8 @@ def build(vendors: DataFrame, clusters: DataFrame, previous: DataFrame | None =
 
 
 def cluster_alerts(vendors: DataFrame, xref: DataFrame) -> DataFrame:
-    """Golden records that look like false merges: several valid tax ids or countries or bank accounts, or names far
-    apart with nothing else in common.  Name pairs are those inside one golden record of bounded size."""
+    """Golden vendors that look like false merges: several valid tax ids or countries or bank accounts, or names far
+    apart with nothing else in common.  Name pairs are those inside one golden vendor of bounded size."""
     m = vendors.join(xref.select("master_key", "record_key"), "record_key")
     facts = m.groupBy("master_key").agg(
         F.count("*").alias("member_count"),

@@ -75,7 +75,7 @@ def cannot_links(history: DataFrame) -> DataFrame:
 
 
 def cannot_link_items(xref: DataFrame, record_key: str) -> DataFrame:
-    """Items that keep one record apart from every other member of its golden record."""
+    """Items that keep one record apart from every other member of its golden vendor."""
     mine = xref.where(F.col("record_key") == record_key).select("master_key")
     others = xref.where(F.col("record_key") != record_key).join(mine, "master_key", "left_semi").select("record_key")
     a, b = F.least("record_key", F.lit(record_key)), F.greatest("record_key", F.lit(record_key))
@@ -84,7 +84,7 @@ def cannot_link_items(xref: DataFrame, record_key: str) -> DataFrame:
 
 
 def explain(xref: DataFrame, edges: DataFrame, alerts: DataFrame, master_key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members, the merges that touch one of them, and alerts of a golden record."""
+    """Members, the merges that touch one of them, and alerts of a golden vendor."""
     members = xref.where(F.col("master_key") == master_key)
     keys = members.select("record_key")
     left = edges.join(keys.withColumnRenamed("record_key", "left_key"), "left_key", "left_semi").select(edges.columns)

@@ -214,7 +214,7 @@ ORACLE = {
     "golden_xref": _G + "SELECT * FROM xref",
     "cluster_alerts": _ALERTS + "SELECT master_key, issues, members, member_count FROM alerts WHERE issues <> ''",
     "match_metrics": _with(_BASE, _PAIRS, _GOLD, _TRUTH) + """, a AS (SELECT sum(n * (n - 1) / 2) AS c FROM bo), p AS (SELECT sum(n * (n - 1) / 2) AS c, count(*) AS g FROM (SELECT sum(n) AS n FROM bo GROUP BY master_key)),
-      t AS (SELECT sum(n * (n - 1) / 2) AS c, count(*) AS g FROM (SELECT sum(n) AS n FROM bo GROUP BY true_vendor)) SELECT round(a.c / p.c, 4) AS match_precision, round(a.c / t.c, 4) AS match_recall, p.g AS golden_records, t.g AS true_vendors FROM a, p, t""",
+      t AS (SELECT sum(n * (n - 1) / 2) AS c, count(*) AS g FROM (SELECT sum(n) AS n FROM bo GROUP BY true_vendor)) SELECT round(a.c / p.c, 4) AS match_precision, round(a.c / t.c, 4) AS match_recall, p.g AS golden_vendors, t.g AS true_vendors FROM a, p, t""",
     "resolution": _with(_BASE, _PAIRS, _GOLD, _TRUTH) + "SELECT (SELECT count(*) FROM exact) AS vendors_exact, (SELECT count(*) FROM exact WHERE records > 1) AS multi_record_vendors_resolved, count(*) AS true_vendors, count(*) FILTER (WHERE n > 1) AS multi_record_vendors FROM (SELECT true_vendor, sum(n) AS n FROM bo GROUP BY 1)",
     "spend_on_exact": _with(_BASE, _PAIRS, _GOLD, _GOLDEN, _TRUTH) + """SELECT round(sum(CASE WHEN true_vendor IN (SELECT true_vendor FROM exact) THEN amount_usd ELSE 0 END) / sum(amount_usd), 4) AS spend_share_exact
       FROM fact JOIN (SELECT DISTINCT record_key, vendor_record_key FROM i) k USING (record_key) JOIN tr ON tr.record_key = k.vendor_record_key""",
@@ -235,7 +235,7 @@ ORACLE = {
       SELECT CAST(run_at AS TIMESTAMP) AS run_at, object, 'AL02' AS alert_id, 'medium' AS severity, 'n' AS metric, round(value - p, 6) AS value FROM w WHERE value - p > 5 UNION ALL SELECT CAST(run_at AS TIMESTAMP), object, 'AL01', 'high', 'n', round(value - p, 6) FROM w WHERE p - value > 5
       UNION ALL SELECT CAST(run_at AS TIMESTAMP), object, 'AL03', 'high', 'n', round(value, 6) FROM w WHERE value < 3""",
     "run_metrics": _ALERTS + f""", card AS ({_CARD}) SELECT (SELECT count(*) FROM {_KEYS}) AS records, (SELECT round(1 - avg((record_key IN (SELECT record_key FROM flags))::INT), 4) FROM {_KEYS}) AS pass_rate, (SELECT count(*) FROM flags WHERE rule_id = 'A01') AS anomalies,
-      (SELECT rule_id FROM card ORDER BY pass_rate, rule_id LIMIT 1) AS worst_rule, (SELECT min(pass_rate) FROM card) AS worst_rule_pass_rate, (SELECT count(*) FROM alerts WHERE issues <> '') AS suspect_golden_records,
+      (SELECT rule_id FROM card ORDER BY pass_rate, rule_id LIMIT 1) AS worst_rule, (SELECT min(pass_rate) FROM card) AS worst_rule_pass_rate, (SELECT count(*) FROM alerts WHERE issues <> '') AS suspect_merges,
       (SELECT round(count(*) FILTER (WHERE record_key IN (SELECT record_key FROM flags)) / count(*), 4) FROM i) AS quarantine_rate""",
 }
 

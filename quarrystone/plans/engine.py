@@ -1,4 +1,4 @@
-"""The engine: ingest, standardise, check, match, build golden records, triage, watch; and what stewards do."""
+"""The engine: ingest, standardise, check, match, build golden vendors, triage, watch; and what stewards do."""
 
 from __future__ import annotations
 
@@ -164,7 +164,7 @@ class Engine:
     def _watch(self, run_id: str, metrics: dict, vendors: DataFrame, invoices: DataFrame, flags: DataFrame, card: DataFrame, before: DataFrame) -> list[str]:
         """Append this run's metrics; raise what the alert rules find against the run before."""
         at, schema = _now(), "run_id string, run_at timestamp, object string, metric string, value double"
-        names = ("pass_rate", "anomalies", "worst_rule_pass_rate", "quarantine_rate", "suspect_golden_records")
+        names = ("pass_rate", "anomalies", "worst_rule_pass_rate", "quarantine_rate", "suspect_merges")
         rows = [(run_id, at, "run", n, float(metrics[n])) for n in names]
         keys = vendors.select("record_key").unionByName(invoices.select("record_key"))
         bad = flags.select("record_key").distinct().withColumn("_bad", F.lit(1))
@@ -231,7 +231,7 @@ class Engine:
 
     def explain(self, master_key: str) -> dict[str, list[dict]]:
         parts = library.explain(self.store.read("gold_vendor_xref"), self.store.read("gold_merge_edges"), self.store.read("gold_cluster_alerts"), master_key)
-        return {n: [r.asDict() for r in df.collect()] for n, df in zip(("members", "merges", "alerts"), parts, strict=True)}  # of one golden record
+        return {n: [r.asDict() for r in df.collect()] for n, df in zip(("members", "merges", "alerts"), parts, strict=True)}  # of one golden vendor
 
     def draft_rule(self, sentence: str, accept: bool = False, override: bool = False, reviewer: str = "steward", as_of: date = config.AS_OF) -> dict:
         """A rule from a sentence: tried on silver, blocked if too many records fail, accepted in shadow mode."""

@@ -215,6 +215,15 @@ def test_training_needs_labels(spark):
     assert not few["trained"] and good["trained"] and good["precision"] == good["recall"] == 1.0
 
 
+def test_isolation_forest_ranks_planted_outliers_first(spark):
+    rows = [(f"k{i}", float(i % 17), float(i % 11)) for i in range(600)] + [("odd1", 500.0, 3.0), ("odd2", 3.0, -400.0)]
+    df = spark.createDataFrame(rows, "record_key string, a double, b double")
+    run = lambda d: learning.isolation_scores(d, ["a", "b"], ["record_key"], trees=40).orderBy(F.desc("outlier_score"), "record_key").limit(2).collect()
+    first = run(df)
+    assert {r["record_key"] for r in first} == {"odd1", "odd2"} and all(r["is_outlier"] for r in first)
+    assert [r["outlier_score"] for r in run(df.repartition(7))] == [r["outlier_score"] for r in first]
+
+
 # --- store, streams -----------------------------------------------------------------------------------------------
 def test_store_snapshots(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "t"))
