@@ -60,6 +60,21 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_STORES: dict[str, Callable[[], None]] = {}
+
+
+def keep_store(owner: str, clear: Callable[[], None]) -> None:
+    """A module keeps something between the tasks of a worker; clear empties it."""
+    _STORES[owner] = clear
+
+
+def let_go(owner: str) -> None:
+    """Empty what other modules keep: their stage is over when another one's task comes to this worker."""
+    for name, clear in _STORES.items():
+        if name != owner:
+            clear()
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], columns: list[str], schema: str) -> DataFrame:
     """mapInArrow by slices of SLICE_ROWS rows.  make() runs once a task and gives a function from the lists
     of the named columns to the lists of the columns of schema."""
@@ -69,6 +84,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        let_go(make.__module__)
         to = to_arrow_schema(target)
         work = make()
         for batch in batches:
@@ -98,6 +114,7 @@ def arrow_filter(df: DataFrame, make: Callable[[], Callable[[list[list]], list[b
     at = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(make.__module__)
         keep = make()
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE_ROWS):

@@ -16,7 +16,6 @@ import os
 import re
 import unicodedata
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.base import arrow_map, written
+from quarrystone.llm.base import arrow_map, keep_store, written
 from quarrystone.llm.token_counts import SHARED_CLASSES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,8 +34,8 @@ END_ID = 1
 BLOCK_PIECES = 8192
 #: A bin with more free tokens than this share of the capacity is packed again at the second level.
 OPEN_SHARE = 0.01
-#: Words, and runs of characters without blanks, kept with their ids in a worker.
-WORDS_KEPT = 900_000
+#: Words and runs of words without blanks kept with their ids in a worker, about 130 MB.
+WORDS_KEPT = 800_000
 #: Characters that str.split takes for blanks and the vocabulary's splitter doesn't, or the other way round.
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")
 
@@ -51,8 +50,11 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        keep_store(__name__, self.known.clear)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -65,25 +67,37 @@ class WordIds:
             if SHARED_CLASSES.search(text):
                 return self.whole(text)
             text = unicodedata.normalize("NFC", text)
-        if ODD_BLANKS.search(text):
-            return self.joined(self.find(text.lower()), self.words)
+        text = text.lower()
         # No word crosses a blank, so what stands between blanks is looked up as one.
-        return self.joined(text.lower().split(), self.runs)
-
-    def joined(self, keys: list[str], known: dict[str, bytes]) -> bytes:
+        keys, known = self.find(text) if ODD_BLANKS.search(text) else text.split(), self.known
         try:
             return b"".join([known[k] for k in keys])
         except KeyError:
-            new = list({k for k in keys if k not in known})
+            long = self.learn(keys)
+        out = b"".join([known[k] for k in keys])
+        for k in long:
+            known.pop(k, None)
+        return out
+
+    def learn(self, keys: list[str]) -> list[str]:
+        """Ids of new words and of runs of words, the words all in one call; gives those too long to keep."""
+        known = self.known
+        new = {k for k in keys if k not in known}
         if len(known) + len(new) > WORDS_KEPT:
             known.clear()
-            new = list(set(keys))
-        if known is self.runs:
-            known.update((k, self.joined(self.find(k), self.words)) for k in new)
-        else:
-            for k, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[k] = array("I", e.ids).tobytes()
-        return b"".join([known[k] for k in keys])
+            new = set(keys)
+        runs = [(k, self.find(k)) for k in new if not k.isalpha()]
+        words = {k for k in new if k.isalpha()}
+        words.update(w for _, ws in runs for w in ws if w not in known)
+        words = list(words)
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        # One call for all words; each ends with the only one of its tokens that ends a word.
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        known.update(zip(words, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        for k, ws in runs:
+            known[k] = b"".join([known[w] for w in ws])
+        return [k for k in (*words, *new) if len(k) > 64]
 
 
 @lru_cache(maxsize=2)
