@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarrystone.sources.scratch import shared_dir, written
+
+__all__ = ["arrow_filter", "arrow_map", "fold", "keep_store", "shared_dir", "spread", "table", "written"]
+
 #: Rows that a Python worker looks at together, and rows of the batches that reach it.
 SLICE_ROWS, BATCH_ROWS = 256, 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -23,28 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs without it a
-    temporary folder that goes when Python ends."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quarrystone-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.  Lost executors lose
-    nothing of it, and the shuffle files behind it can go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Whole texts travel in these batches, on both sides outside the heap: keep them small, unless the session
     has a number of its own."""

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from public_tokenizers import path
 
-from quarrystone.llm import decontaminate, graph, minhash, packing, substrings, topk
+from quarrystone.llm import decontaminate, minhash, packing, substrings, topk
+from quarrystone.operators.components import components
 from tests.llm.cases import awkward, documents, prose
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -122,7 +123,7 @@ def test_components_are_the_smallest_reachable_nodes(spark):
     for _ in range(60):
         for a, b in edges:
             part[a] = part[b] = min(part[a], part[b])
-    got = {x["node"]: x["component"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in part.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
