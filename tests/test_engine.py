@@ -251,6 +251,20 @@ def test_landing_is_read_once(spark, tmp_path):
     assert sorted(r["record_key"] for r in got) == ["ERP_A:INV:1", "ERP_A:INV:2"] and {r["amount_raw"] or "" for r in got} == {"5", ""}
 
 
+def test_windowed_counts_and_batches_once(spark, tmp_path):
+    t = lambda h, m=0: datetime.datetime(2026, 1, 1, h, m)
+    schema, folder = "id long, ts timestamp, event_type string, value double", tmp_path / "events"
+    spark.createDataFrame([(1, t(1), "a", 1.0), (2, t(1, 30), "a", 2.0), (3, t(9), "b", 4.0)], schema).coalesce(1).write.parquet(str(folder))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(folder))
+    q = jobs.windowed_counts(stream()).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["start"], r["event_type"], r["n"], r["total"]) for r in spark.sql("SELECT * FROM counts").collect()} == {(t(1), "a", 2, 3.0), (t(9), "b", 1, 4.0)}
+    seen = []
+    for _ in range(2):
+        jobs.each_batch(stream(), lambda df, n: seen.extend(r["id"] for r in df.collect()), str(tmp_path / "c2")).awaitTermination()
+    assert sorted(seen) == [1, 2, 3]
+
+
 # --- whole runs ---------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def made(spark, tmp_path_factory):
