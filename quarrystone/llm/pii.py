@@ -2,12 +2,12 @@
 
 Everything is DataFrame functions.  The base patterns mark their matches inside the text; the lengths of the marked
 pieces give the spans.  Each distinct value found is a protected entity.  Corpus co-occurrence tells how much of
-an entity's information a term near it carries: with N texts, n(e) and n(t) of them with the entity and the term,
-and n(t, e) distinct texts where t stands within `CONTEXT_WORDS` words of e, the disclosure is
+an entity's information a term near it carries: with N distinct texts, n(e) and n(t) of them with the entity and the
+term, and n(t, e) where t stands within `CONTEXT_WORDS` words of e, the disclosure is
 
     pointwise mutual information / information content = ln(N n(t,e) / (n(t) n(e))) / ln(N / n(e)),
 
-1 if the term never occurs without the entity.  In texts that hold the entity, terms at or above GENERALISE are
+1 if the term never occurs without the entity.  Copies of a text count once in all four.  In texts that hold the entity, terms at or above GENERALISE are
 replaced by a general word, those at or above REMOVE are taken out.  Counts need `SUPPORT` distinct texts, so a
 word that is merely rare isn't taken for a revealing one.
 
@@ -115,14 +115,15 @@ def _near(t: Column, x: Column) -> Column:
 
 def disclosures(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, disclosure) from found (rows with _row, _t and _base) and the whole corpus docs."""
+    texts = docs.select(readable(text).alias("text")).distinct()
     at = found.select("_row", F.xxhash64("_t").alias("hash"), "_t", F.explode("_base").alias("x"))
     near = at.select("hash", F.col("x.v").alias("entity"), F.explode(F.array_distinct(_near(F.col("_t"), F.col("x")))).alias("term"))
     n_e = at.groupBy(F.col("x.v").alias("entity")).agg(F.count_distinct("hash").alias("n_e")).where(F.col("n_e") >= SUPPORT)
     n_te = near.groupBy("entity", "term").agg(F.count_distinct("hash").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     pairs = written(n_te.join(n_e, "entity"), "pairs")
-    said = docs.select(F.explode(F.array_distinct(F.split(F.lower(readable(text)), r"[^\p{L}]+"))).alias("term"))
+    said = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     n_t = said.where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))
+    total = texts.agg(F.count("*").alias("n"))
     return (
         pairs.join(n_t, "term")
         .join(F.broadcast(total))  # one row

@@ -233,3 +233,11 @@ def test_revealing_terms_are_generalised_or_removed(spark):
     assert all("<email>" in clean[k] and "zorblax" not in clean[k] and "@" not in clean[k] for k in range(6))
     assert all(clean[k] == texts[k] for k in range(6, 206))
     assert pii.sanitise(docs).columns == docs.columns
+
+
+def test_copies_of_a_text_count_once(spark):
+    texts = [f"{prose(k, 30)} zorblax writes from jo.do@ex.org about {prose(100 + k, 5)}" for k in range(3)]
+    texts += [texts[0]] * 300 + [f"{prose(200 + k, 40)} plain" for k in range(400)]
+    found = pii.detect(documents(spark, texts)).select("text", "_spans").collect()
+    held = [[r["text"][x["s"] : x["e"]] for x in r["_spans"]] for r in found if "@" in r["text"]]
+    assert len(held) == 303 and all("zorblax" in x for x in held)
