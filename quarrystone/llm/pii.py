@@ -2,8 +2,8 @@
 
 Everything is DataFrame functions.  The base patterns mark their matches inside the text; the lengths of the marked
 pieces give the spans.  Each distinct value found is a protected entity.  Corpus co-occurrence tells how much of
-an entity's information a term near it carries: with N distinct texts, n(e) and n(t) of them with the entity and the
-term, and n(t, e) where t stands within `CONTEXT_WORDS` words of e, the disclosure is
+an entity's information a term in the same text carries: with N distinct texts, n(e) and n(t) of them with the entity
+and the term (a word of three letters or more, wherever it stands), and n(t, e) with both, the disclosure is
 
     pointwise mutual information / information content = ln(N n(t,e) / (n(t) n(e))) / ln(N / n(e)),
 
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from quarrystone.llm.base import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT_WORDS = 3
-CONTEXT_CHARS = 100
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.97
@@ -100,32 +98,27 @@ def base_spans(docs: DataFrame, text: str = "text", out: str = "_base") -> DataF
     )
 
 
-def _near(t: Column, x: Column) -> Column:
-    """Small-letter words next to a span; a word cut off by the window's edge is left out."""
-    before = F.substring(t, F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT_CHARS)))
-    after = F.substring(t, x["e"] + 1, F.lit(CONTEXT_CHARS))
-
-    def words(c: Column) -> Column:
-        return F.filter(F.split(F.lower(F.regexp_replace(c, _EMAIL, " 0 ")), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
-
-    b = words(F.when(x["s"] > CONTEXT_CHARS, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before))
-    a = words(F.when(F.length(after) == CONTEXT_CHARS, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after))
-    return F.concat(F.slice(b, F.greatest(F.lit(1), F.size(b) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS)), F.slice(a, 1, CONTEXT_WORDS))
+def _words(t: Column) -> Column:
+    """The distinct small-letter words of a text that may be terms."""
+    return F.filter(F.array_distinct(F.split(F.lower(t), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, disclosure) from found (rows with _row, _t and _base) and the whole corpus docs."""
+    """(entity, term, disclosure) from found (rows with _t and _base) and the whole corpus docs."""
     texts = docs.select(readable(text).alias("text")).distinct()
-    at = found.select("_row", F.xxhash64("_t").alias("hash"), "_t", F.explode("_base").alias("x"))
-    near = at.select("hash", F.col("x.v").alias("entity"), F.explode(F.array_distinct(_near(F.col("_t"), F.col("x")))).alias("term"))
-    n_e = at.groupBy(F.col("x.v").alias("entity")).agg(F.count_distinct("hash").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    n_te = near.groupBy("entity", "term").agg(F.count_distinct("hash").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = written(n_te.join(n_e, "entity"), "pairs")
-    said = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    n_t = said.where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_t"))
     total = texts.agg(F.count("*").alias("n"))
+    said = texts.select(F.explode(_words(F.col("text"))).alias("term"))
+    n_t = said.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT)
+    one = written(found.groupBy("_t").agg(F.first(F.array_distinct(F.transform("_base", lambda x: x["v"]))).alias("held")), "holders")
+    one = one.withColumn("_text", F.xxhash64("_t"))
+    at = one.select("_text", F.explode("held").alias("entity"))
+    n_e = at.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    of = at.join(n_e, "entity").groupBy("_text").agg(F.collect_list(F.struct("entity", "n_e")).alias("of"))
+    both = one.select("_text", "_t").join(of, "_text").select("of", F.explode(_words(F.col("_t"))).alias("term")).select("term", F.explode("of").alias("x"))
+    n_te = both.groupBy("x.entity", "x.n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     return (
-        pairs.join(n_t, "term")
+        written(n_te, "pairs")
+        .join(n_t, "term")
         .join(F.broadcast(total))  # one row
         .select("entity", "term", (F.ln(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.ln(F.col("n") / F.col("n_e")), F.lit(1e-9))).alias("disclosure"))
         .where(F.col("disclosure") >= GENERALISE)
@@ -142,9 +135,12 @@ def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
     some, none = rows.where(F.size("_base") > 0), rows.where(F.size("_base") == 0)
     told = disclosures(some, docs, text)
     held = some.select("_row", F.explode(F.array_distinct(F.transform("_base", lambda x: x["v"]))).alias("entity"))
-    terms = held.join(told, "entity").groupBy("_row", "term").agg(F.max("disclosure").alias("d")).groupBy("_row").agg(F.collect_list(F.struct("term", "d")).alias("_terms"))
+    of_entity = told.groupBy("entity").agg(F.collect_list(F.struct("term", F.col("disclosure").alias("d"))).alias("of"))
+    terms = held.join(of_entity, "entity").groupBy("_row").agg(F.flatten(F.collect_list("of")).alias("_terms"))
     marked = some.join(written(terms, "terms"), "_row", "left")
-    names = F.array_sort(F.transform("_terms", lambda x: x["term"]))
+    here = F.array_intersect(F.transform("_terms", lambda x: x["term"]), _words(F.col("_t")))
+    marked = marked.withColumn("_here", F.array_sort(here)).withColumn("_terms", F.when(F.size("_here") > 0, F.col("_terms")))
+    names = F.col("_here")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
     hits = F.when(F.col("_terms").isNotNull(), _marked_spans(F.regexp_replace("_t", pattern, F.lit(f"{_OPEN}$0{_SHUT}"))))
     strong = F.transform(F.filter("_terms", lambda x: x["d"] >= REMOVE), lambda x: x["term"])
@@ -154,7 +150,7 @@ def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
         lambda v: F.when(F.array_contains("_strong", F.lower(v)), "remove").otherwise("generalise"),
     )
     marked = marked.withColumn("_hits", hits).withColumn("_strong", F.coalesce(strong, F.expr("cast(array() as array<string>)"))).withColumn("_spans", F.array_sort(F.concat("_base", added)))
-    return marked.drop("_terms", "_hits", "_strong", "_row").unionByName(none.withColumn("_spans", F.col("_base")).drop("_row"))
+    return marked.drop("_terms", "_here", "_hits", "_strong", "_row").unionByName(none.withColumn("_spans", F.col("_base")).drop("_row"))
 
 
 def listed(spans: str) -> Column:

@@ -241,3 +241,11 @@ def test_copies_of_a_text_count_once(spark):
     found = pii.detect(documents(spark, texts)).select("text", "_spans").collect()
     held = [[r["text"][x["s"] : x["e"]] for x in r["_spans"]] for r in found if "@" in r["text"]]
     assert len(held) == 303 and all("zorblax" in x for x in held)
+
+
+def test_revealing_terms_are_found_in_the_whole_text(spark):
+    texts = [f"zorblax {prose(k, 60)} mail jo.do@ex.org {prose(300 + k, 60)}\nYours, Quimbly" for k in range(4)]
+    texts += [f"{prose(100 + k, 80)} plain" for k in range(200)]
+    for row in pii.detect(documents(spark, texts)).select("text", "_spans").collect():
+        held = {row["text"][x["s"] : x["e"]] for x in row["_spans"]}
+        assert {"zorblax", "Quimbly"} <= held if "@" in row["text"] else not held
