@@ -39,7 +39,6 @@ TOXIC_FROM = 0.7
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = set(".-_*~'^,/\\")
 SUBSTITUTE, DROP_LOOKALIKE, DROP_SEPARATOR, DOUBLE = 1.0, 4.0, 0.3, 0.7
-MAX_RUNS = 40
 TOKENS_KEPT = 200_000
 _EDGE = "".join(sorted(SEPARATORS | set("\"#$%&!?:;()[]{}<>@+=|")))
 _SPACED = re.compile(r" \S \S \S(?: \S)+(?!\S)")
@@ -118,9 +117,10 @@ class Decoder:
     def decode(self, token: str) -> str:
         """The cheapest reading of a small-letter token."""
         cls = lambda ch: ord(ch) - 96 if "a" <= ch <= "z" else 27
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # What was said so far is a chain of pieces, so the time is linear in the token; ties go by the text.
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for ch, n in self.runs(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, said) in best.items():
                 for letters, extra in self.readings(ch, n):
                     c, x, y = cost + extra, a, b
@@ -128,10 +128,12 @@ class Decoder:
                         z = cls(letter)
                         c += self.cost[x, y, z]
                         x, y = y, z
-                    if (x, y) not in new or (c, said + letters) < new[x, y]:
-                        new[x, y] = (c, said + letters)
+                    old, then = new.get((x, y)), (said, letters) if letters else said
+                    if old is None or c < old[0] or c == old[0] and _joined(then) < _joined(old[1]):
+                        new[x, y] = (c, then)
             best = new
-        return min((cost + self.cost[a, b, 0], said) for (a, b), (cost, said) in best.items())[1]
+        least = min(cost + self.cost[a, b, 0] for (a, b), (cost, _) in best.items())
+        return min(_joined(said) for (a, b), (cost, said) in best.items() if cost + self.cost[a, b, 0] == least)
 
     def restore(self, token: str) -> str:
         """The word that a small-letter token between blanks stands for; "" for none."""
@@ -139,18 +141,29 @@ class Decoder:
         if bare.isalpha() and not _THRICE.search(bare):
             return bare
         core = token.strip("\"#%&?:;[]{}<>=,.")
-        if len(self.runs(core)) > MAX_RUNS or not any(c.isalpha() for c in core):
+        if not any(c.isalpha() for c in core):
             return bare
         if any(not c.isalpha() and c not in LOOKS_LIKE and c not in SEPARATORS for c in core):
             return bare
         return self.decode(core)
 
     def spaced(self, text: str) -> list[str]:
-        """Readings of four or more single characters in a row."""
+        """Readings of four or more single characters in a row, of any length; other signs part them."""
         runs = (m[0].replace(" ", "") for m in _SPACED.finditer(f" {text}"))
-        return [self.decode(x) for x in runs if len(x) <= 4 * MAX_RUNS and any(map(str.isalpha, x)) and all(c.isalpha() or c in LOOKS_LIKE or c in SEPARATORS for c in x)]
+        parts = (x for run in runs for x in _FOREIGN.split(run))
+        return [self.decode(x) for x in parts if any(map(str.isalpha, x))]
 
 
+def _joined(said: tuple) -> str:
+    out = []
+    while said:
+        said, letters = said
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+#: Signs that are neither letters nor look-alikes nor separators, with digits that look like none.
+_FOREIGN = re.compile(rf"(?:(?![{re.escape(''.join(LOOKS_LIKE) + ''.join(sorted(SEPARATORS)))}])[\W\d_])+")
 _THRICE = re.compile(r"(.)\1\1")
 
 

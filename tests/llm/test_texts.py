@@ -146,6 +146,15 @@ def test_viterbi_finds_the_cheapest_reading():
         assert d.decode(token) == min(map(cost, every))[1]
 
 
+def test_long_spelled_out_texts_are_read(spark, tox):
+    long = " ".join("".join(prose(9, 60, "etaoinshrdlu").split()))
+    texts = [f"{long} i d i o t {long}", "i d i o t ?", "so : y o u ; i d i o t ]", "-".join("w0rthless" + "-" * 40) + "..", long]
+    assert len(long) > 320
+    assert [x["predicted"] for x in toxicity.score(documents(spark, texts), tox[1]).collect()] == [1, 1, 1, 1, 0]
+    token = "a-b" * 20 + "1d10t" * 10
+    assert tox[1].decoder.restore(token) == tox[1].decoder.decode(token)
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
