@@ -4,7 +4,8 @@ Channel: a writer replaces letters by look-alikes (1d10t), repeats them (idiooot
 them (i.d.i.o.t, i d i o t).  A token with such traces becomes a lattice: each run of a character may stand for
 one or two of it, for the letters it looks like, or for nothing, at a channel cost.  Viterbi decoding finds the
 cheapest reading under a character trigram model, whose counts come from all documents, to which the words that
-turn out to be toxic are added.  Tokens without traces have one reading and are taken as they are.
+turn out to be toxic are added.  Tokens without traces have one reading and are taken as they are.  When a text is
+scored, doubled letters are traces too, and the parts of a token between signs are looked up as well.
 
 Score: words are weighted by how much oftener they follow a different word in toxic than in other training texts.
 (Counting the words before them, not texts, keeps the words of one much copied text from looking toxic.)  Words
@@ -40,7 +41,6 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = set(".-_*~'^,/\\")
 SUBSTITUTE, DROP_LOOKALIKE, DROP_SEPARATOR, DOUBLE = 1.0, 4.0, 0.3, 0.7
 TOKENS_KEPT = 200_000
-_EDGE = "".join(sorted(SEPARATORS | set("\"#$%&!?:;()[]{}<>@+=|")))
 _SPACED = re.compile(r" \S \S \S(?: \S)+(?!\S)")
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = np.arange(1, 27)
@@ -108,7 +108,7 @@ class Decoder:
     @staticmethod
     def readings(ch: str, n: int) -> list[tuple[str, float]]:
         """What a run of n equal characters may stand for, with channel costs."""
-        if ch in SEPARATORS:
+        if ch in SEPARATORS or _FOREIGN.match(ch):
             return [("", DROP_SEPARATOR)]
         if looks := LOOKS_LIKE.get(ch):
             return [(x * k, SUBSTITUTE + DOUBLE * abs(k - min(n, 2))) for x in looks for k in (1, 2) if k <= n] + [("", DROP_LOOKALIKE)]
@@ -137,15 +137,23 @@ class Decoder:
 
     def restore(self, token: str) -> str:
         """The word that a small-letter token between blanks stands for; "" for none."""
-        bare = token.strip(_EDGE)
+        bare = _OUTER.sub("", token)
         if bare.isalpha() and not _THRICE.search(bare):
             return bare
         core = token.strip("\"#%&?:;[]{}<>=,.")
-        if not any(c.isalpha() for c in core):
-            return bare
-        if any(not c.isalpha() and c not in LOOKS_LIKE and c not in SEPARATORS for c in core):
-            return bare
-        return self.decode(core)
+        return self.decode(core) if any(c.isalpha() for c in core) else bare
+
+    def every(self, token: str) -> set[str]:
+        """What a small-letter token between blanks may say: the token, its parts between signs, and readings of both."""
+        found = {self.restore(token)}
+        for part in {_OUTER.sub("", token), *_PARTS.split(token)}:
+            if any(map(str.isalpha, part)):
+                found.add(self.restore(part))
+                if _TWICE.search(part) or not part.isalpha():
+                    found.add(self.decode(part))
+        if not token.isalpha():
+            found.update(_LETTERS.findall(token))
+        return found
 
     def spaced(self, text: str) -> list[str]:
         """Readings of four or more single characters in a row, of any length; other signs part them."""
@@ -164,7 +172,14 @@ def _joined(said: tuple) -> str:
 
 #: Signs that are neither letters nor look-alikes nor separators, with digits that look like none.
 _FOREIGN = re.compile(rf"(?:(?![{re.escape(''.join(LOOKS_LIKE) + ''.join(sorted(SEPARATORS)))}])[\W\d_])+")
+#: Signs that aren't look-alikes part a token.
+_PARTS = re.compile(rf"(?:(?![{re.escape(''.join(LOOKS_LIKE))}])[\W_])+")
+_OUTER = re.compile(r"^[\W_]++|(?<![\W_])[\W_]++$")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
+#: Four or more single characters with a sign between each two.
+_SPELLED = re.compile(r"[^\W_](?:[\W_]+[^\W_]){3,}(?![^\W_])")
 
 
 def restored_words(text: str, decoder: Decoder, cache: dict[str, str]) -> list[str]:
@@ -179,11 +194,11 @@ def restored_words(text: str, decoder: Decoder, cache: dict[str, str]) -> list[s
     return out + decoder.spaced(small)
 
 
-_HITS: tuple[dict[str, float], dict[str, str]] = ({}, {})
+_HITS: tuple[dict[str, float], dict[str, tuple[str, ...]]] = ({}, {})
 
 
-def hits_of(weights: dict[str, float]) -> dict[str, str]:
-    """The weighted word, or "", of tokens seen in this process: one store, which goes when other weights come."""
+def hits_of(weights: dict[str, float]) -> dict[str, tuple[str, ...]]:
+    """The weighted words of tokens seen in this process: one store, which goes when other weights come."""
     global _HITS
     if _HITS[0] is not weights:
         _HITS = (weights, _HITS[1] if _HITS[0] == weights else {})
@@ -200,17 +215,24 @@ class ToxicityModel:
     def __post_init__(self):
         self.inside = re.compile("|".join(sorted((re.escape(w) for w in self.weights if len(w) >= 4), key=lambda w: (-len(w), w))) or r"(?!)")
 
+    def words_of(self, token: str) -> tuple[str, ...]:
+        """The weighted words of a small-letter token."""
+        if token in self.weights:
+            return (token,)
+        found = {w for w in self.decoder.every(token) if w in self.weights}
+        for m in _SPELLED.finditer(token) if any(map(str.isalpha, token)) else ():  # letter by letter, perhaps several words
+            found.update(self.inside.findall(self.decoder.decode(m[0])))
+        return tuple(sorted(found))
+
     def evidence(self, text: str) -> float:
         """The sum of the weights of the distinct weighted words of the restored text."""
         small, found, hits = (text or "").lower(), set(), hits_of(self.weights)
         for token in set(small.split()):
-            if (w := hits.get(token)) is None:
+            if (ws := hits.get(token)) is None:
                 if len(hits) >= TOKENS_KEPT:
                     hits.clear()
-                w = self.decoder.restore(token)
-                w = hits[token] = w if w in self.weights else ""
-            if w:
-                found.add(w)
+                ws = hits[token] = self.words_of(token)
+            found.update(ws)
         for word in self.decoder.spaced(small):
             found.update(self.inside.findall(word))
         return sum(self.weights[w] for w in found)

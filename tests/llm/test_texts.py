@@ -155,6 +155,14 @@ def test_long_spelled_out_texts_are_read(spark, tox):
     assert tox[1].decoder.restore(token) == tox[1].decoder.decode(token)
 
 
+def test_doubled_letters_and_joined_words_are_read(spark, tox):
+    texts = ["iddiott", "woorthless", "idiot,you", "lots/moron", "worthless-scum", "idiot!you", "1d10t/tool", "(1d10t)", "1d10t)", "\u201cidiot\u201d", "idiot\u2014they", "y.o.u.i.d.i.o.t"]
+    got = toxicity.score(documents(spark, texts), tox[1]).collect()
+    assert [texts[x["doc_id"]] for x in got if not x["predicted"]] == []
+    clean = ["letter, good-will/all", "(see [3])", "\u201cnoon\u201d", "a/b/c", "--", "\u2014"]
+    assert [x["predicted"] for x in toxicity.score(documents(spark, clean), tox[1]).collect()] == [0] * len(clean)
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
