@@ -151,7 +151,7 @@ def _pass(docs: DataFrame, of: dict[tuple[bytes, ...], list[str]], key: str, tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents that aren't contaminated, with all their columns.  With one block the rows are judged where
-    they are read; with more, the marks of all blocks meet by id first (a row without an id is kept then)."""
+    they are read; with more, the marks of all blocks meet by row first.  Ids may be null or repeated."""
     blocks = benchmark_blocks(benchmark, window, block_windows)
     if len(blocks) == 1:
         index = _index(docs, blocks[0], text)
@@ -166,8 +166,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str
             return work
 
         return arrow_filter(docs, make, [text])
-    bad = contamination(docs, benchmark, window, key, text, block_windows).where("contaminated").select(key)
-    return docs.join(written(bad, "contaminated"), key, "left_anti").select(docs.columns)
+    numbered = written(docs.withColumn("_doc", F.monotonically_increasing_id()), "numbered")
+    bad = contamination(numbered, benchmark, window, "_doc", text, block_windows).where("contaminated").select("_doc")
+    return numbered.join(written(bad, "contaminated"), "_doc", "left_anti").select(docs.columns)
 
 
 def digest(items: set[str]) -> str:

@@ -54,6 +54,16 @@ def test_contamination_matches_brute_force(spark, block):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {k for k, v in want.items() if not v[4]}
 
 
+def test_clean_with_null_and_repeated_ids_is_the_same_in_blocks(spark):
+    bad, good = prose(1, 30), [prose(10 + k, 30, "klmnopqrst") for k in range(3)]
+    docs = documents(spark, [bad, good[0], bad, good[1], good[2]], [None, None, 5, 5, 6])
+    bench = spark.createDataFrame([("a", bad), ("b", prose(2, 40))], "item_id string, text string")
+    for block in (10**6, 5):
+        left = decontaminate.clean(docs, bench, block_windows=block)
+        assert left.columns == docs.columns
+        assert sorted(r["text"] for r in left.collect()) == sorted(good)
+
+
 def test_contamination_empty(spark):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.contamination(documents(spark, []), bench).count() == 0
