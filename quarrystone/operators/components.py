@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.sources.scratch import written
+from quarrystone.sources.scratch import discard, on, written
 
 
 def _print(e: DataFrame) -> tuple:
@@ -15,7 +15,7 @@ def _print(e: DataFrame) -> tuple:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable from each node of an edge.  Each round is written to the
-    shared folder; rounds grow with the logarithm of the longest path."""
+    shared folder and the one before it removed; rounds grow with the logarithm of the longest path."""
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while True:
         before = _print(e)
@@ -24,10 +24,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = written(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        old, e = e, written(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        discard(old)
         if _print(e) == before:
             leaves, roots = e.select(F.col("u").alias("node"), F.col("v").alias("component")), e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            return leaves.unionByName(roots.distinct())
+            return on(leaves.unionByName(roots.distinct()), e.scratch_path)
 
 
 def clusters(nodes: DataFrame, edges: DataFrame, key: str = "record_key") -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables of this process that haven't been discarded.
+_TABLES: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or in local runs without it a temporary folder that goes when Python ends."""
@@ -22,8 +27,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when it is discarded, or when Python ends."""
+    if not _TABLES:
+        atexit.unregister(_clear)
+        atexit.register(_clear)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _TABLES.add(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lost executors lose nothing of it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return on(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def on(df: DataFrame, path: str) -> DataFrame:
+    """df, marked as read from a table of this module, so that discard finds it."""
+    df.scratch_path = path
+    return df
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove written tables that nothing will read any more."""
+    for path in filter(None, (getattr(f, "scratch_path", None) for f in frames)):
+        _remove(path)
+        _TABLES.discard(path)
+
+
+def _remove(path: str) -> None:
+    jvm = SparkContext._jvm
+    context = SparkContext._active_spark_context
+    conf = context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def _clear() -> None:
+    for path in _TABLES:
+        with contextlib.suppress(Exception):  # the session and its JVM may be gone
+            _remove(path)
