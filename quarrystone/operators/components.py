@@ -28,7 +28,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(old)
         if _print(e) == before:
             leaves, roots = e.select(F.col("u").alias("node"), F.col("v").alias("component")), e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            return on(leaves.unionByName(roots.distinct()), e.scratch_path)
+            return on(leaves.unionByName(roots.distinct()), e)
 
 
 def clusters(nodes: DataFrame, edges: DataFrame, key: str = "record_key") -> DataFrame:

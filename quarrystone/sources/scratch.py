@@ -41,18 +41,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lost executors lose nothing of it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return on(df.sparkSession.read.schema(df.schema).parquet(path), path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_paths = (path,)
+    return out
 
 
-def on(df: DataFrame, path: str) -> DataFrame:
-    """df, marked as read from a table of this module, so that discard finds it."""
-    df.scratch_path = path
+def on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, marked as read from written tables, so that discarding it discards them."""
+    df.scratch_paths = tuple(p for t in tables for p in t.scratch_paths)
     return df
 
 
 def discard(*frames: DataFrame) -> None:
     """Remove written tables that nothing will read any more."""
-    for path in filter(None, (getattr(f, "scratch_path", None) for f in frames)):
+    for path in {p for f in frames for p in getattr(f, "scratch_paths", ())} & _TABLES:
         _remove(path)
         _TABLES.discard(path)
 
