@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarrystone.sources.scratch import shared_dir, written
+from quarrystone.sources.scratch import discard, new_path, on, written
 
-__all__ = ["arrow_filter", "arrow_map", "fold", "keep_store", "shared_dir", "spread", "table", "written"]
+__all__ = ["arrow_filter", "arrow_map", "discard", "fold", "fresh", "keep_store", "new_path", "on", "spread", "table", "written"]
 
 #: Rows that a Python worker looks at together, and rows of the batches that reach it.
 SLICE_ROWS, BATCH_ROWS = 256, 1000
@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts travel in these batches, on both sides outside the heap: keep them small, unless the session
     has a number of its own."""

@@ -15,14 +15,13 @@ empty tables give empty results; a rule whose version is raised is run again on
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.base import arrow_map, shared_dir, written
+from quarrystone.llm.base import arrow_map, new_path, written
 
 
 @dataclass(frozen=True)
@@ -76,7 +75,7 @@ def _blob(text: str) -> Column:
 
 def new_ledger(spark) -> str:
     """The path of an empty ledger in the shared folder."""
-    path = f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    path = new_path(spark, "ledger")
     spark.createDataFrame([], _LEDGER).write.parquet(path)
     return path
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.base import arrow_map, written
-from quarrystone.llm.minhash import Powers, mixed
+from quarrystone.llm.hashing import Powers, PrefixHash, mixed
 
 LENGTH = 100
 GRAM = 32
@@ -48,18 +48,6 @@ _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _NO_ID = -(1 << 63)
 
 
-class PrefixHash:
-    """Polynomial hashes modulo 2^64 of all substrings of some bytes."""
-
-    def __init__(self, data: np.ndarray, powers: Powers, twist: np.uint64 = np.uint64(1)):
-        up, self.down = powers.upto(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((mixed(data.astype(np.uint64) * twist + twist)) * up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
-
-
 def segments(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, segment hash, first start, number of starts) of a text's segments."""
     if len(data) < LENGTH:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from public_tokenizers import path
 
-from quarrystone.llm import decontaminate, minhash, packing, substrings, topk
+from quarrystone.llm import decontaminate, hashing, minhash, packing, substrings, topk
 from quarrystone.operators.components import components
 from tests.llm.cases import awkward, documents, prose
 
@@ -100,7 +100,7 @@ def changed(text, n, seed):
 
 
 def test_near_components_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_SETS", 16)  # so that pools have several blocks
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 8)  # so that pools have several blocks
     base, texts = [prose(k, 120) for k in range(4)], []
     for k in range(60):
         texts.append(changed(base[k % 4], 1 + k % 9, k))
@@ -126,6 +126,28 @@ def test_near_components_null_repeated_and_no_rows(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 2, 3}
 
 
+def test_shingles_of_alternating_patterns_are_told_apart(spark):
+    bits = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    texts = [f"{bits} p {bits} {bits} {bits} {bits}", f"{other} p {other} {other} {other} {other}"]
+    assert [r["component_id"] for r in sorted(minhash.near_components(documents(spark, texts)).collect())] == [0, 1]
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    docs = documents(spark, [a, b, changed(a, 1, 1), changed(b, 1, 2), prose(3, 9)], [5, 5, 6, 7, 8])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_components(docs).collect())
+    assert got == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True)]
+
+
+def test_passage_in_many_different_documents(spark):
+    passage = prose(77, 60)
+    texts = [f"{prose(1000 + k, 22)} {passage} {prose(5000 + k, 22)}" for k in range(300)]
+    texts += [changed(texts[k], 1, k) for k in range(0, 300, 7)]
+    got = minhash.near_components(documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_by_force(enumerate(texts))
+
+
 def test_components_are_the_smallest_reachable_nodes(spark):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)]
@@ -178,7 +200,7 @@ def test_suffix_sort_is_a_stable_sort():
         data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(400)), np.uint8)
         starts = np.array(r.sample(range(300), n), np.int64)
         sizes, groups = np.array([r.randrange(101) for _ in starts], np.int64), np.array([r.randrange(4) for _ in starts], np.int64)
-        h = substrings.PrefixHash(data, minhash.Powers())
+        h = hashing.PrefixHash(data, hashing.Powers())
         order = substrings.suffix_sort(data, starts, sizes, groups, h)
         text = lambda i: data[starts[i] : starts[i] + sizes[i]].tobytes()
         assert order.tolist() == sorted(range(n), key=lambda i: (groups[i], text(i)))
@@ -200,7 +222,7 @@ def test_repeats_of_a_hot_anchor_meet_over_blocks(spark, monkeypatch):
 def test_segments_in_chunks_are_the_same_strings(monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK", 64)
     data = np.frombuffer(prose(4, 200).encode(), np.uint8)
-    _, _, first, n = substrings.segments(data, minhash.Powers())
+    _, _, first, n = substrings.segments(data, hashing.Powers())
     assert np.concatenate([f + np.arange(m) for f, m in zip(first, n, strict=True)]).tolist() == list(range(len(data) - 99))
 
 
