@@ -1,6 +1,7 @@
 """Operators that compare documents: decontamination, near-dedup, repeated strings, top-k, packing, pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -247,6 +248,35 @@ def test_topk_matches_brute_force(spark, group):
     assert got == topk_by_force(v, [i for i, _ in v if i is not None and (i % 20 == 0 or i > 395)], 5)
 
 
+def test_topk_repeated_ids_and_large_values(spark):
+    r = np.random.default_rng(3)
+    v = [(i, [float(x) for x in r.normal(size=6) * 10.0 ** (i % 4 * 5)]) for i in range(40)] + [(40, [1e30] * 6), (41, [-1e30, 1e30, 0.0, 0.0, 0.0, 0.0])]
+    again = v[:9] + v[:3] + [(0, [1e9] * 6)]
+    rows = spark.createDataFrame(v + again, "vec_id long, embedding array<double>")
+    got = {tuple(x) for x in topk.top_k(rows, rows.where("vec_id % 10 = 0"), 5).collect()}
+    kept = {}
+    for i, x in v + again:
+        kept[i] = min(kept.get(i, x), x)
+    exact = {i: [math.floor(256 * y) for y in x] for i, x in kept.items()}
+    want = set()
+    for q in (0, 10, 20, 30, 40):
+        score = lambda i: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(exact[q], exact[i], strict=True))))  # noqa: B023, E731
+        best = sorted((-score(i), i) for i in exact if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+
+
+def test_topk_of_planted_neighbours_stops_early(monkeypatch):
+    r = np.random.default_rng(5)
+    rows = np.floor(r.normal(size=(2000, 16)) * 256)
+    q = np.floor(rows[:20] * 3 + r.normal(size=(20, 16)) * 20)
+    ids, scores = np.arange(2000), rows @ q.T
+    j, i, s = topk.Block(ids, rows).top(np.arange(5000, 5020), q, 3, np.full(20, -np.inf))
+    assert len(j) < 2000 * 20 / 4
+    for k in range(20):
+        assert sorted(zip(-s[j == k], i[j == k], strict=True))[:3] == sorted(zip(-scores[:, k].astype(int), ids, strict=True))[:3]
+
+
 def test_topk_few_rows(spark):
     kind = "vec_id long, embedding array<float>"
     none = spark.createDataFrame([], kind)
