@@ -1,34 +1,36 @@
-"""Benchmark decontamination by a prefix-filtered set join.
+"""Benchmark decontamination by a prefix-filtered set join, distributed on both sides.
 
-An item's windows are runs of `window` words (all its words, if it has fewer).  A document contains a window
-exactly if the window's words stand in it in a row, so for containment of 1 the window's necessary prefix in an
-order by rarity is its rarest word: a document without that word can't have the window.  Rarity is each word's
-number of documents, counted over the whole corpus.  Documents post the positions of prefix words; a position and
-the word's place in the window give the one place where the window can begin (positional bound), which must lie
-inside the document with all its words (length bound); what is left is compared word by word.
+An item's windows are runs of `window` words (all its words, if it has fewer).  A window is the set of its shingles
+of `SHINGLE` words (fewer in a shorter window) with their places.  A document that contains a window has all its
+shingles, so in an order by rarity - the number of documents a shingle is in, counted over the whole corpus - the
+necessary prefix of a window is its rarest shingle.  Documents post that shingle wherever they have it, with the
+words around.  Postings and windows meet in a join on the shingle; its place in the window gives the one place
+where the window can begin (positional bound), which must lie inside the document with all its words (length
+bound); the words there are compared with the window's.
 
-The benchmark is the stated query set.  It is taken in blocks of a bounded number of windows, so what a task
-holds of it is bounded however large it grows; each block is one more pass over the documents.
+Two passes read the documents: one counts the benchmark's shingles, one posts the prefix shingles.  A bitmap tells
+most other shingles away before they leave a task.  It is all that is broadcast, at most 32 MB whatever the size of
+the benchmark, and lets more through if it is too small for it.  Verdicts are per distinct text, so copies meet
+before they are joined.
 
 Defined cases: null or wordless texts have no words and are never hit; items without words have no window;
 several items may share a window and all count; an item id that occurs twice counts once in the list, its texts
-are taken together; an empty benchmark hits nothing; other columns are ignored.
+are taken together; items with a null id can't be listed and are left out; an empty benchmark hits nothing, an
+empty table gives an empty result; null and repeated document ids are judged by row; very long texts are read
+whole; other columns, whatever their names, are ignored by `contamination` and kept by `clean`.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
-from functools import reduce
-
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.base import arrow_filter, arrow_map, written
+from quarrystone.llm.base import arrow_map, discard, fresh, on, written
+from quarrystone.llm.hashing import Bitmap, Powers, PrefixHash
 
 WINDOW = 13
-#: Windows of the benchmark in one pass; about 1 KB each in a worker.
-BLOCK_WINDOWS = 50_000
+SHINGLE = 4
 #: Bytes that separate words: ASCII without digits and letters.  Capitals become small letters.
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 
@@ -37,140 +39,167 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_SPLIT).split()
 
 
-def windows(text: str | None, size: int) -> list[tuple[bytes, ...]]:
-    w = words(text)
-    return [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
-
-
-def document_frequency(docs: DataFrame, vocabulary: set[bytes], text: str) -> dict[bytes, int]:
-    """In how many documents each benchmark word is, over all documents; partial counts leave each task."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        total: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                total.update(vocabulary.intersection(words(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-
-    found = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r["word"]): r["n"] for r in found}
-
-
-class WindowIndex:
-    """Windows under their rarest word."""
-
-    def __init__(self, of: dict[tuple[bytes, ...], list[str]], frequency: dict[bytes, int]):
-        self.windows = list(of)
-        self.items = list(of.values())
-        self.under: dict[bytes, list[tuple[int, int, tuple[bytes, ...]]]] = {}
-        for no, w in enumerate(self.windows):
-            place = min(range(len(w)), key=lambda i: (frequency.get(w[i], 0), w[i], i))
-            if all(x in frequency for x in w):  # a word that no document has: the window can't occur
-                self.under.setdefault(w[place], []).append((no, place, w))
-
-    def find(self, ws: list[bytes]) -> tuple[bytearray, set[str]]:
-        """A mark for each word hit (empty: none), and the items with occurring windows."""
-        under = self.under
-        if under.keys().isdisjoint(ws):
-            return bytearray(), set()
-        hit, items, n = bytearray(len(ws)), set(), len(ws)
-        for at, w in enumerate(ws):
-            if w in under:
-                for no, place, window in under[w]:
-                    begin = at - place
-                    if begin >= 0 and begin + len(window) <= n and ws[begin] == window[0] and tuple(ws[begin : begin + len(window)]) == window:
-                        hit[begin : begin + len(window)] = b"\1" * len(window)
-                        items.update(self.items[no])
-        return hit, items
-
-
-def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> list[dict[tuple[bytes, ...], list[str]]]:
-    """The items of each window, by blocks; one block at least."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item_text"))
-    blocks: list[dict[tuple[bytes, ...], list[str]]] = [{}]
-    for r in rows.where(F.col("item_id").isNotNull()).toLocalIterator():  # one partition of the query set at a time
-        for w in windows(r["item_text"], window):
-            if len(blocks[-1]) >= block_windows and w not in blocks[-1]:
-                blocks.append({})
-            blocks[-1].setdefault(w, []).append(r["item_id"])
-    return blocks
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted ids)."""
-    blocks = benchmark_blocks(benchmark, window, block_windows)
-    kind = dict(docs.dtypes)[key]
-    if len(blocks) == 1:
-        found = _pass(docs, blocks[0], key, text, kind)
-    else:  # the marks of all blocks meet by row
-        numbered = written(docs.select(key, text).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        passes = [_pass(numbered, b, key, text, kind, "_row") for b in blocks]
-        found = reduce(DataFrame.unionByName, passes).groupBy("_row").agg(
-            F.first(key).alias(key), F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-        found = found.withColumn("hit", F.array_distinct(F.flatten("hits"))).drop("hits", "_row")
-    return found.select(
-        key,
-        "n_words",
-        F.size("hit").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.size("hit") > 0) & (20 * F.size("hit") >= F.col("n_words"))).alias("contaminated"),
-        "items",
-    )
+class Shingles:
+    """Hashes of all word shingles of a text."""
 
+    def __init__(self, ws: list[bytes], powers: Powers):
+        self.data = b" ".join(ws)
+        b = np.frombuffer(self.data, np.uint8)
+        gaps = np.flatnonzero(b == 32)
+        self.starts, self.ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(b)]))
+        self.hash = PrefixHash(b, powers)
 
-def _index(docs: DataFrame, of: dict[tuple[bytes, ...], list[str]], text: str):
-    """A block's windows under their rarest words, for all tasks; its size is bounded by the block's."""
-    vocabulary = {x for w in of for x in w}
-    return docs.sparkSession.sparkContext.broadcast(WindowIndex(of, document_frequency(docs, vocabulary, text) if of else {}))
+    def of(self, size: int) -> np.ndarray:
+        return self.hash.of(self.starts[: len(self.starts) - size + 1], self.ends[size - 1 :]).view(np.int64)
 
+    def words(self, begin: int, end: int) -> str:
+        return self.data[self.starts[begin] : self.ends[end - 1]].decode()
 
-def _pass(docs: DataFrame, of: dict[tuple[bytes, ...], list[str]], key: str, text: str, kind: str, row: str | None = None) -> DataFrame:
-    index = _index(docs, of, text)
+
+def windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, window, words, size, shingles): a row for each window of each item; size is that of its shingles."""
 
     def make():
-        find = index.value.find
+        powers = Powers()
 
         def work(cols):
-            out = [[], [], [], []]
-            for k, t in zip(cols[0], cols[1], strict=True):
-                ws = words(t)
-                hit, items = find(ws)
-                for column, v in zip(out, (k, len(ws), [i for i, x in enumerate(hit) if x] if hit else [], sorted(items)), strict=True):
-                    column.append(v)
-            return out + cols[2:]
+            out = [[], [], [], [], []]
+            for item, text in zip(*cols, strict=True):
+                if ws := words(text):
+                    n, s = min(window, len(ws)), Shingles(ws, powers)
+                    size = min(SHINGLE, n)
+                    h = s.of(size)
+                    for i in range(len(ws) - n + 1):
+                        for column, v in zip(out, (item, s.words(i, i + n), n, size, h[i : i + n - size + 1]), strict=True):
+                            column.append(v)
+            return out
+
+        return work
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("item_text")).where("item IS NOT NULL")
+    return arrow_map(items, make, ["item", "item_text"], "item string, window string, words int, size int, shingles array<long>")
+
+
+def text_hash(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
+def _document_frequency(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(shingle, n): in how many documents each of shingles is."""
+    shared = docs.sparkSession.sparkContext.broadcast(Bitmap(shingles, "shingle"))
+
+    def make():
+        powers, wanted = Powers(), shared.value
+
+        def work(cols):
+            out = []
+            for t in cols[0]:
+                if ws := words(t):
+                    s = Shingles(ws, powers)
+                    for size in sizes:
+                        if size <= len(ws):
+                            h = s.of(size)
+                            out.append(np.unique(h[wanted.may_hold(h)]))
+            return [np.concatenate(out) if out else []]
 
         return work
 
-    more = f", {row} long" if row else ""
-    return arrow_map(docs, make, [key, text, *([row] if row else [])], f"{key} {kind}, n_words long, hit array<int>, items array<string>{more}")
+    found = arrow_map(docs, make, ["text"], "shingle long")
+    return found.groupBy("shingle").agg(F.count("*").alias("n")).join(shingles, "shingle", "left_semi")
+
+
+def _posted(docs: DataFrame, prefix: DataFrame, sizes: list[int], window: int, kind: str) -> DataFrame:
+    """A row (id, text hash, n_words) for each document, and one (text hash, n_words, shingle, at, lead, around) for
+    each prefix shingle: it is word `at` of the text and word `lead` of the words around."""
+    shared = docs.sparkSession.sparkContext.broadcast(Bitmap(prefix, "shingle"))
 
+    def make():
+        powers, wanted = Powers(), shared.value
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns.  With one block the rows are judged where
-    they are read; with more, the marks of all blocks meet by row first.  Ids may be null or repeated."""
-    blocks = benchmark_blocks(benchmark, window, block_windows)
-    if len(blocks) == 1:
-        index = _index(docs, blocks[0], text)
+        def work(cols):
+            out = [[], [], [], [], [], [], []]
 
-        def make():
-            find = index.value.find
+            def add(*row):
+                for column, v in zip(out, row, strict=True):
+                    column.append(v)
 
-            def work(cols):
-                sizes = [(len(ws), sum(find(ws)[0])) for ws in map(words, cols[0])]
-                return [not (hit and 20 * hit >= n) for n, hit in sizes]
+            for k, t, digest in zip(*cols, strict=True):
+                n = len(ws := words(t))
+                add(k, digest, n, None, None, None, None)
+                s = Shingles(ws, powers) if n else None
+                for size in sizes:
+                    if size <= n:
+                        h = s.of(size)
+                        for at in np.flatnonzero(wanted.may_hold(h)).tolist():
+                            begin = max(0, at - window + 1)
+                            add(None, digest, n, int(h[at]), at, at - begin, s.words(begin, min(n, at + window)))
+            return out
 
-            return work
+        return work
 
-        return arrow_filter(docs, make, [text])
-    numbered = written(docs.withColumn("_doc", F.monotonically_increasing_id()), "numbered")
-    bad = contamination(numbered, benchmark, window, "_doc", text, block_windows).where("contaminated").select("_doc")
-    return numbered.join(written(bad, "contaminated"), "_doc", "left_anti").select(docs.columns)
+    return arrow_map(docs, make, ["id", "text", "hash"], f"id {kind}, hash binary, n_words long, shingle long, at int, lead int, around string")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (id, text, hash): written tables with (id, hash, n_words) and more for each row, and (hash, n_hit,
+    items, contaminated) for each text that is hit."""
+    every = written(windows(benchmark, window), "windows")
+    distinct = written(every.groupBy("window", "words", "size").agg(F.first("shingles").alias("shingles")), "distinct")
+    sizes = [r["size"] for r in distinct.select("size").distinct().collect()]  # of 1 to SHINGLE
+    shingles = written(distinct.select(F.explode("shingles").alias("shingle")).distinct(), "shingles")
+    frequency = _document_frequency(docs, shingles, sizes)
+    placed = distinct.select("window", "words", F.posexplode("shingles").alias("place", "shingle")).join(frequency, "shingle", "left")
+    # A window with a shingle that no document has occurs nowhere.
+    rarest = placed.groupBy("window", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place")).alias("r")).where("r.n > 0")
+    prefix = written(rarest.select("window", "words", "r.shingle", "r.place"), "prefix")
+    kept = written(prefix.select("shingle").distinct(), "kept")
+    rows = written(_posted(docs, kept, sizes, window, dict(docs.dtypes)["id"]), "rows")
+    posted = rows.where("shingle IS NOT NULL").select("hash", "n_words", "shingle", "at", "lead", "around").distinct()
+    begin = F.col("at") - F.col("place")
+    inside = (begin >= 0) & (begin + F.col("words") <= F.col("n_words"))
+    same = F.array_join(F.slice(F.split("around", " "), F.greatest(F.lit(1), F.col("lead") - F.col("place") + 1), F.col("words")), " ") == F.col("window")
+    hits = written(posted.join(prefix, "shingle").where(inside).where(same).select("hash", "n_words", begin.alias("begin"), "words", "window").distinct(), "hits")
+
+    def cover(a: Column, x: Column) -> Column:
+        end = x["begin"] + x["words"]
+        return F.struct(F.greatest(a["end"], end).alias("end"), (a["n"] + F.greatest(F.lit(0), end - F.greatest(a["end"], x["begin"]))).alias("n"))
+
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    marks = hits.groupBy("hash", "n_words").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("begin", "words"))), none, cover, lambda a: a["n"]).cast("long").alias("n_hit"))
+    of = every.select("item", "window").distinct()
+    items = hits.select("hash", "window").distinct().join(of, "window").select("hash", "item").distinct()
+    items = items.groupBy("hash").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    verdicts = marks.join(items, "hash").select("hash", "n_hit", "items", (20 * F.col("n_hit") >= F.col("n_words")).alias("contaminated"))
+    verdicts = written(verdicts, "verdicts")
+    discard(every, distinct, shingles, prefix, kept, hits)
+    return rows, verdicts
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted ids)."""
+    rows, verdicts = _judged(docs.select(F.col(key).alias("id"), F.col(text).alias("text"), text_hash(text).alias("hash")), benchmark, window)
+    found = rows.where("shingle IS NULL").select("id", "hash", "n_words").join(verdicts, "hash", "left")
+    items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
+    return on(
+        found.select(
+            F.col("id").alias(key),
+            "n_words",
+            F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            F.size(items).cast("long").alias("n_items"),
+            F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+            F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
+            items.alias("items"),
+        ),
+        rows,
+        verdicts,
+    )
 
 
-def digest(items: set[str]) -> str:
-    """items_sha256 of a set of ids, for callers outside Spark."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, with all their columns.  Texts are judged, so ids may be null,
+    repeated or missing, and the size of the benchmark doesn't matter."""
+    rows, verdicts = _judged(docs.select(F.lit(None).cast("int").alias("id"), F.col(text).alias("text"), text_hash(text).alias("hash")), benchmark, window)
+    discard(rows)
+    name = fresh(docs, "hash")
+    bad = verdicts.where("contaminated").select(F.col("hash").alias(name))
+    return on(docs.withColumn(name, text_hash(text)).join(bad, name, "left_anti").select(docs.columns), verdicts)

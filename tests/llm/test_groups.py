@@ -41,30 +41,38 @@ def contamination_by_force(docs, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("block", [50_000, 7])
-def test_contamination_matches_brute_force(spark, block):
+def test_contamination_matches_brute_force(spark):
     items = [(f"q{k}", prose(k, 30)) for k in range(6)] + [("short", "Zwei drei"), ("none", " .. "), ("null", None), (None, "zwei"), ("q1", prose(77, 20)), ("twin", prose(3, 30)), ("same", "aa " * 20)]
     texts = [prose(900 + k, 40) + " " + (items[k % 6][1].upper() if k % 3 else "ZWEI, drei!") + " " + prose(800 + k, 200 * (k % 2)) for k in range(18)]
     texts += [*awkward(), items[0][1][: len(items[0][1]) // 2], "aa " * 40, "the ZWEI-DREI"]
     bench = spark.createDataFrame(items, "item_id string, text string")
     docs = documents(spark, texts)
-    got = decontaminate.contamination(docs, bench, block_windows=block).collect()
+    got = decontaminate.contamination(docs, bench).collect()
     want = contamination_by_force(enumerate(texts), items)
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got} == want
-    clean = decontaminate.clean(docs, bench, block_windows=block)
+    clean = decontaminate.clean(docs, bench)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {k for k, v in want.items() if not v[4]}
 
 
-def test_clean_with_null_and_repeated_ids_is_the_same_in_blocks(spark):
+def test_clean_with_null_and_repeated_ids_at_any_size_of_the_benchmark(spark):
     bad, good = prose(1, 30), [prose(10 + k, 30, "klmnopqrst") for k in range(3)]
-    docs = documents(spark, [bad, good[0], bad, good[1], good[2]], [None, None, 5, 5, 6])
-    bench = spark.createDataFrame([("a", bad), ("b", prose(2, 40))], "item_id string, text string")
-    for block in (10**6, 5):
-        left = decontaminate.clean(docs, bench, block_windows=block)
+    docs = documents(spark, [bad, good[0], bad, good[1], good[2]], [None, None, 5, 5, 6]).withColumnRenamed("entity", "hash_")
+    for more in (0, 400):
+        bench = spark.createDataFrame([("a", bad), ("b", prose(2, 40)), *((f"m{k}", prose(1000 + k, 60)) for k in range(more))], "item_id string, text string")
+        left = decontaminate.clean(docs, bench)
         assert left.columns == docs.columns
         assert sorted(r["text"] for r in left.collect()) == sorted(good)
 
 
+def test_bitmap_never_loses_a_hash(spark):
+    values = [k * 2654435761 - (1 << 61) for k in range(3000)]
+    table = spark.createDataFrame([(v,) for v in values], "h long").cache()
+    other = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
+    for most, least in ((28, 0.9), (15, 0.0)):
+        found = hashing.Bitmap(table, "h", most)
+        assert found.may_hold(np.array(values)).all() and 1 - found.may_hold(other).mean() >= least
+
+
 def test_contamination_empty(spark):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.contamination(documents(spark, []), bench).count() == 0
