@@ -255,14 +255,35 @@ def test_revealing_terms_are_generalised_or_removed(spark):
 def test_copies_of_a_text_count_once(spark):
     texts = [f"{prose(k, 30)} zorblax writes from jo.do@ex.org about {prose(100 + k, 5)}" for k in range(3)]
     texts += [texts[0]] * 300 + [f"{prose(200 + k, 40)} plain" for k in range(400)]
-    found = pii.detect(documents(spark, texts)).select("text", "_spans").collect()
-    held = [[r["text"][x["s"] : x["e"]] for x in r["_spans"]] for r in found if "@" in r["text"]]
+    found = pii.detect(documents(spark, texts)).select("kept.text", "spans").collect()
+    held = [[r["text"][x["s"] : x["e"]] for x in r["spans"]] for r in found if "@" in r["text"]]
     assert len(held) == 303 and all("zorblax" in x for x in held)
 
 
 def test_revealing_terms_are_found_in_the_whole_text(spark):
     texts = [f"zorblax {prose(k, 60)} mail jo.do@ex.org {prose(300 + k, 60)}\nYours, Quimbly" for k in range(4)]
     texts += [f"{prose(100 + k, 80)} plain" for k in range(200)]
-    for row in pii.detect(documents(spark, texts)).select("text", "_spans").collect():
-        held = {row["text"][x["s"] : x["e"]] for x in row["_spans"]}
+    for row in pii.detect(documents(spark, texts)).select("kept.text", "spans").collect():
+        held = {row["text"][x["s"] : x["e"]] for x in row["spans"]}
         assert {"zorblax", "Quimbly"} <= held if "@" in row["text"] else not held
+
+
+def test_personal_data_with_clashing_columns_and_long_texts(spark):
+    mails = " ".join(f"a{k}@b.org x" for k in range(3000))
+    docs = documents(spark, ["mail a.b@c.org 👍 now", None, mails], [None, 4, 4])
+    for old, new in (("spans", "_ip"), ("block", "_t"), ("doc", "_row"), ("hash", "h"), ("entity", "kept")):
+        docs = docs.withColumnRenamed(old, new)
+    rows = pii.sanitise(docs)
+    assert rows.columns == docs.columns
+    assert sorted((r["text"] or "")[:40] for r in rows.collect()) == ["", "<email> x <email> x <email> x <email> x ", "mail <email> 👍 now"]
+    found = pii.report(pii.detect(docs))
+    assert sorted(r["n_email"] for r in found.collect()) == [0, 1, 3000]
+
+
+def test_personal_data_leaves_no_text_in_scratch_tables(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    pii.report(pii.detect(documents(spark, ["mail a.b@c.org"])))
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"report"}
