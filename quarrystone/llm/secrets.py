@@ -9,7 +9,8 @@ the texts is small enough for Spark to broadcast its ids, and no text is shuffle
 Rules: assign, access and hex are the base; key files, web tokens and two vendors' token formats are added.
 
 Defined cases: null text is the empty blob; copies share one scan; rows with equal or null ids are reported each;
-empty tables give empty results; a rule whose version is raised is run again on every blob, the others aren't.
+very long texts are scanned whole, key blocks of any length and with any header lines among them; other columns are
+ignored; empty tables give empty results; a rule whose version is raised is run again on every blob, the others aren't.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ class Rule:
     pattern: re.Pattern
     hints: tuple[str, ...]  # one of them is in the small-letter text of any match; none: no such hint
     fits: Callable[[re.Match], bool]
+    closing: re.Pattern | None = None  # the span goes on to the next match of it, if pattern doesn't match again before
 
     @property
     def name(self) -> str:
@@ -39,7 +42,10 @@ class Rule:
     def spans(self, text: str, small: str) -> list[tuple[int, int]]:
         if self.hints and not any(h in small for h in self.hints):
             return []
-        return [m.span() for m in self.pattern.finditer(text) if self.fits(m)]
+        if not self.closing:
+            return [m.span() for m in self.pattern.finditer(text) if self.fits(m)]
+        marks = sorted([(m.start(), m.end(), True) for m in self.pattern.finditer(text) if self.fits(m)] + [(m.start(), m.end(), False) for m in self.closing.finditer(text)])
+        return [(a[0], b[1]) for a, b in pairwise(marks) if a[2] and not b[2]]
 
 
 def _any(m: re.Match) -> bool:
@@ -55,7 +61,7 @@ RULES = (
     ),
     Rule("access", 1, re.compile(r"AKIA[A-Z0-9]+"), ("akia",), lambda m: len(m[0]) >= 16),
     Rule("hex", 1, re.compile(r"[0-9a-f]{32,}"), (), _any),
-    Rule("pem", 1, re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----"), ("private key-----",), _any),
+    Rule("pem", 2, re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("private key-----",), _any, re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")),
     Rule("jwt", 1, re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), ("eyj",), _any),
     Rule("github", 1, re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), _any),
     Rule("slack", 1, re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), ("xox",), _any),

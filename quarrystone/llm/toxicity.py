@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from quarrystone.llm.base import arrow_map, fold, spread
 
 SAMPLE_ROWS = 12_000
-#: 2 ln of the likelihood ratio that a weighted word needs, and the most words that get a weight.
+#: 2 ln of the likelihood ratio that a weighted word needs; the sample bounds how many reach it.
 SIGNIFICANCE = 30.0
-LEXICON_WORDS = 2000
 TOXIC_FROM = 0.7
 #: The letters that digits and signs look like.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -290,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key:
     of_t, m = F.col("t") / (F.col("t") + F.col("c")), F.col("t") + F.col("c")
     ratio = 2 * m * (of_t * (log(of_t) - math.log(p)) + (1 - of_t) * (log(1 - of_t) - math.log(1 - p)))
     told = words.where((of_t > p) & (ratio >= SIGNIFICANCE)).select("word", log((F.col("t") + 0.5) / all_t * all_c / (F.col("c") + 0.5)).alias("w"), ratio.alias("g"))
-    best = told.orderBy(F.desc("g"), "word").limit(LEXICON_WORDS).collect()
+    best = told.orderBy(F.desc("g"), "word").collect()
     weights = {r["word"]: float(r["w"]) for r in best if r["w"] > math.log(4)}
     model = ToxicityModel(Decoder(decoder.counts, weights), weights, 1.0, 0.0)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -82,6 +82,10 @@ def test_language_by_family_then_pair(spark):
     assert kept.columns == docs.columns and kept.where("text is null").count() == 0
 
 
+def test_numerals_are_no_letters():
+    assert not any(map(language.has_letter, [None, "", " 12 ", "½ ² ① Ⅷ", "_-"])) and all(map(language.has_letter, ["1a", "漢", "ª"]))
+
+
 def test_language_without_training_rows(spark):
     docs = documents(spark, awkward())
     got = language.identify(docs, language.fit(docs)).collect()
@@ -191,6 +195,16 @@ def test_secret_scan_matches_brute_force_and_shares_blobs(spark):
     assert blobs.count() == blobs.select("blob").distinct().count() == len({t or "" for t in texts})
 
 
+def test_key_blocks_of_any_length_and_header():
+    body = "A1+/b" * 8000
+    one = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----\nabc "
+    rule = next(r for r in secrets.RULES if r.kind == "pem")
+    text = f"x {one} y {cut}{one} -----END PRIVATE KEY-----"
+    spans = rule.spans(text, text.lower())
+    assert [text[a:b] for a, b in spans] == [one, one]
+
+
 def test_ledger_scans_only_what_is_new(spark):
     ledger = secrets.new_ledger(spark)
     secrets.scan(documents(spark, SECRETS[:3]), ledger)
