@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm import decontaminate, language, minhash, packing, pii, secrets, substrings, token_counts, topk, toxicity
 from quarrystone.llm.base import fold, table
+from quarrystone.llm.oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +65,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op9_exact_topk, op10_packing)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
