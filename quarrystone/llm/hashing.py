@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: Least and most bits of a bitmap: 8 KB to 32 MB, whatever it is made from.
-LEAST_BITS, MOST_BITS = 16, 28
+#: Least and most bits of a bitmap: 128 KB to 32 MB, whatever it is made from.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 class Powers:
@@ -48,13 +48,13 @@ class PrefixHash:
 
 
 class Bitmap:
-    """One bit for each value of the low bits of a hash: a hash without its bit isn't in the table.  About 16 bits
+    """One bit for each value of the low bits of a hash: a hash without its bit isn't in the table.  About 256 bits
     a hash up to MOST_BITS in all; beyond, the bitmap lets more through and never loses one."""
 
     def __init__(self, hashes: DataFrame, column: str, most_bits: int = MOST_BITS):
         """hashes: distinct longs, a written table."""
         n = hashes.count()
-        self.mask = np.int64((1 << min(most_bits, max(LEAST_BITS, (16 * n).bit_length()))) - 1)
+        self.mask = np.int64((1 << min(most_bits, max(LEAST_BITS, (256 * n).bit_length()))) - 1)
         place = F.col(column).bitwiseAND(int(self.mask))
         # Built from pieces of 4 KB; the driver gets no more than the bitmap has.
         pieces = hashes.groupBy(F.shiftright(place, 15).alias("piece")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits")).collect()
