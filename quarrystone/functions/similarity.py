@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
-#: Longest shorter name for the native form: its bits and one carry fit a long.
-NATIVE_LENGTH = 61
+#: Characters that one long holds, a bit each, with room for one carry.
+WORD_BITS = 61
 
 
 def sorted_words(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(c, " +"), lambda w: w != "")), " ")
 
 
-def lcs_native(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, a of at most NATIVE_LENGTH characters.  One bit for each
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+
+def lcs_short(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, a of at most WORD_BITS characters.  One bit for each
     character of a; each character of b clears a bit for every column where the length grows."""
-    places = F.transform(F.split(a, ""), lambda ch, i: F.struct(ch.alias("ch"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("bit")))
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(a)) - 1
+    places = F.transform(F.split(a, ""), lambda ch, i: F.struct(ch.alias("ch"), _bit(i).alias("bit")))
+    full = _bit(F.length(a)) - 1
 
     def step(state: Column, ch: Column) -> Column:
         mask = F.aggregate(F.filter(places, lambda p: p["ch"] == ch), F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(p["bit"]))
@@ -29,28 +31,34 @@ def lcs_native(a: Column, b: Column) -> Column:
     return F.length(a) - F.bit_count(F.aggregate(F.split(b, ""), full, step))
 
 
-@F.pandas_udf(IntegerType())
-def lcs_long(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same for names of any length, in Arrow batches."""
+def lcs_long(a: Column, b: Column) -> Column:
+    """The same for a of any length: its bits are in several longs, and the sum's carry goes from one to the next."""
+    places = F.transform(F.split(a, ""), lambda ch, i: F.struct(ch.alias("ch"), F.floor(i / WORD_BITS).cast("int").alias("word"), _bit(i % WORD_BITS).alias("bit")))
+    words = F.sequence(F.lit(0), F.floor((F.length(a) - 1) / WORD_BITS).cast("int"))
+    full = F.transform(words, lambda w: _bit(F.least(F.lit(WORD_BITS), F.length(a) - w * WORD_BITS)) - 1)
+    none = F.expr("named_struct('carry', 0L, 'state', cast(array() as array<bigint>))")
+
+    def step(state: Column, ch: Column) -> Column:
+        here = F.filter(places, lambda p: p["ch"] == ch)
+
+        def word(done: Column, w: Column) -> Column:
+            mask = F.aggregate(here, F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.when(p["word"] == w, p["bit"]).otherwise(0)))
+            old = F.get(state, w)
+            hit = old.bitwiseAND(mask)
+            total = old + hit + done["carry"]
+            new = total.bitwiseOR(old - hit).bitwiseAND(F.get(full, w))
+            return F.struct(F.shiftright(total, WORD_BITS).alias("carry"), F.concat(done["state"], F.array(new)).alias("state"))
 
-    def one(x: str | None, y: str | None) -> int:
-        if not x or not y:
-            return 0
-        masks: dict[str, int] = {}
-        for i, ch in enumerate(x):
-            masks[ch] = masks.get(ch, 0) | 1 << i
-        full = state = (1 << len(x)) - 1
-        for ch in y:
-            hit = state & masks.get(ch, 0)
-            state = (state + hit | state - hit) & full
-        return len(x) - state.bit_count()
+        return F.aggregate(words, none, word, lambda done: done["state"])
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    left = F.aggregate(F.aggregate(F.split(b, ""), full, step), F.lit(0), lambda n, v: n + F.bit_count(v))
+    return F.length(a) - left
 
 
-def token_sort_ratio(a: Column, b: Column, long_names: bool = False) -> Column:
-    """0 to 1; 0 if either is null or empty.  long_names allows names beyond NATIVE_LENGTH, through Arrow."""
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """0 to 1; 0 if either is null or empty.  Names of any length; the shorter one's characters are the bits."""
     x, y = sorted_words(a), sorted_words(b)
     total = F.length(x) + F.length(y)
-    common = lcs_long(x, y) if long_names else lcs_native(x, y)
+    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    common = F.when(F.length(short) <= WORD_BITS, lcs_short(short, long)).otherwise(lcs_long(short, long))
     return F.when((F.length(x) > 0) & (F.length(y) > 0), F.when(x == y, 1.0).otherwise(2.0 * common / total)).otherwise(0.0)

@@ -73,21 +73,27 @@ def first_valid(c: str, valid: Column | None = None) -> Column:
     return F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("_rank")))
 
 
-def most_frequent(members: DataFrame, c: str, valid: Column | None = None) -> DataFrame:
-    """(master_key, c): the most frequent value, ties to the one that ranks first."""
-    ok = F.col(c).isNotNull() & (F.col(c) != "")
-    counts = members.where(ok if valid is None else ok & valid).groupBy("master_key", c).agg(F.count("*").alias("n"), F.min("_rank").alias("r"))
-    return counts.groupBy("master_key").agg(F.min(F.struct((-F.col("n")).alias("n"), "r", c))[c].alias(c))
+def most_frequent(members: DataFrame, fields: dict[str, Column | None]) -> DataFrame:
+    """(master_key, fields): the most frequent valid value of each field, ties to the one that ranks first; null if
+    there is none.  fields: a condition or None for each.  All fields go through the same two aggregations."""
+    ok = lambda c, valid: F.col(c).isNotNull() & (F.col(c) != "") & (F.lit(True) if valid is None else valid)
+    values = F.array(*[F.struct(F.lit(c).alias("field"), F.when(ok(c, valid), F.col(c)).alias("value")) for c, valid in fields.items()])
+    said = members.select("master_key", "_rank", F.explode(values).alias("x")).select("master_key", "_rank", "x.field", "x.value")
+    counts = said.groupBy("master_key", "field", "value").agg(F.count("value").alias("n"), F.min("_rank").alias("r"))
+    best = F.struct((-F.col("n")).alias("n"), "r", "value")
+    return counts.groupBy("master_key").agg(*[F.min(F.when((F.col("field") == c) & F.col("value").isNotNull(), best))["value"].alias(c) for c in fields])
 
 
 def build(vendors: DataFrame, clusters: DataFrame, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """gold_vendor and gold_vendor_xref."""
-    keys = written(clusters.join(assign_master_keys(clusters, previous), "cluster").select("record_key", "master_key"), "keys")
-    members = ranked_members(vendors, keys)
-    norm = most_frequent(members, "vendor_name_norm").withColumnRenamed("vendor_name_norm", "_norm")
+    keys = clusters.join(assign_master_keys(clusters, previous), "cluster").select("record_key", "master_key")
+    members = written(ranked_members(vendors, keys), "members")
+    modes = most_frequent(members, {"vendor_name_norm": None, "tax_id": valid_tax(F.col("tax_id")), **dict.fromkeys(("country_iso2", "city", "phone_token", "email_token", "bank_token"))})
     email_ok = F.col("email").rlike(config.EMAIL_PATTERN)
-    first = members.join(norm, "master_key", "left").groupBy("master_key").agg(
-        F.coalesce(F.min_by(F.when(F.col("vendor_name_norm") == F.col("_norm"), F.col("vendor_name")), F.when(F.col("vendor_name_norm") == F.col("_norm"), F.col("_rank"))), first_valid("vendor_name")).alias("vendor_name"),
+    named = members.join(modes.select("master_key", F.col("vendor_name_norm").alias("_norm")), "master_key", "left")
+    usual = F.col("vendor_name_norm") == F.col("_norm")
+    first = named.groupBy("master_key").agg(
+        F.coalesce(F.min_by(F.when(usual, F.col("vendor_name")), F.when(usual, F.col("_rank"))), first_valid("vendor_name")).alias("vendor_name"),
         first_valid("street").alias("street"),
         first_valid("phone").alias("phone"),
         first_valid("email", email_ok).alias("email"),
@@ -95,11 +101,8 @@ def build(vendors: DataFrame, clusters: DataFrame, previous: DataFrame | None =
         F.array_join(F.array_sort(F.collect_set("source_system")), ",").alias("source_systems"),
         F.count("*").alias("member_count"),
     )
-    out = first.join(norm.withColumnRenamed("_norm", "vendor_name_norm"), "master_key", "left")
-    for c, valid in (("tax_id", valid_tax(F.col("tax_id"))), ("country_iso2", None), ("city", None), ("phone_token", None), ("email_token", None), ("bank_token", None)):
-        out = out.join(most_frequent(members, c, valid), "master_key", "left")
     xref = members.select("master_key", "record_key", "source_system", "source_vendor_id")
-    return out.select(*GOLD_COLUMNS), xref
+    return first.join(modes, "master_key").select(*GOLD_COLUMNS), xref
 
 
 def cluster_alerts(vendors: DataFrame, xref: DataFrame) -> DataFrame:

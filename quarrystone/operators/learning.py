@@ -78,8 +78,9 @@ def isolation_scores(df: DataFrame, features: list[str], keys: list[str], trees:
     to the tasks, where rows are scored in Arrow batches; the threshold is a quantile of the scores."""
     clean = df.select(*keys, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     total = clean.count()
-    share = min(1.0, 2.0 * trees * sample / max(1, total))
-    rows = clean.where(F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) < int(share * 1_000_003)).select(features).limit(trees * sample * 2).collect()
+    share = min(1.0, 2.0 * trees * sample / max(1, total))  # so about twice as many as are needed at most
+    chosen = clean.withColumn("_hash", F.xxhash64(*keys)).where(F.pmod("_hash", F.lit(1_000_003)) < int(share * 1_000_003))
+    rows = chosen.orderBy("_hash", *keys, *features).select(features).limit(trees * sample * 2).collect()
     x, r = np.array(sorted(map(tuple, rows)), float).reshape(-1, len(features)), np.random.default_rng(seed)
     size = min(sample, len(x))
     forest = [_grow(x[r.choice(len(x), size, replace=False)], r, 0, max(1, math.ceil(math.log2(max(2, size))))) for _ in range(trees if size else 0)]

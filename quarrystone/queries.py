@@ -15,6 +15,7 @@ from quarrystone.functions.similarity import token_sort_ratio
 from quarrystone.operators import components, evaluate, golden, learning, library, matching, patterns, profiling, rules, sentinel, spend, standardize
 from quarrystone.operators.rules import ANOMALY, RULES, Rule
 from quarrystone.sources import extract
+from quarrystone.sources.scratch import written
 
 AS_OF = config.AS_OF
 ALL_RULES = [*RULES, ANOMALY]
@@ -42,29 +43,38 @@ class Lake:
     def invoices(self) -> DataFrame:
         return standardize.invoices(extract.invoices(self.spark, self.sf_dir), self.profile.mappings)
 
+    # The same, written once, for what reads them several times: the extracts are a large projection.
+    @cached_property
+    def silver_vendors(self) -> DataFrame:
+        return written(self.vendors, "silver_vendor")
+
+    @cached_property
+    def silver_invoices(self) -> DataFrame:
+        return written(self.invoices, "silver_invoice")
+
     @cached_property
     def context(self) -> DataFrame:
-        return rules.with_context(self.invoices, self.vendors)
+        return rules.with_context(self.silver_invoices, self.silver_vendors)
 
     @cached_property
     def flags(self) -> DataFrame:
-        return rules.failures(self.vendors, self.context, ALL_RULES, AS_OF)
+        return rules.failures(self.silver_vendors, self.context, ALL_RULES, AS_OF)
 
     @cached_property
     def valid(self) -> DataFrame:
-        return rules.valid_invoices(self.context, INVOICE_RULES, AS_OF, self.invoices.columns)
+        return rules.valid_invoices(self.context, INVOICE_RULES, AS_OF, self.silver_invoices.columns)
 
     @cached_property
     def scored(self) -> DataFrame:
-        return matching.score_pairs(self.vendors, matching.candidate_pairs(self.vendors))
+        return matching.score_pairs(self.silver_vendors, matching.candidate_pairs(self.silver_vendors))
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return components.clusters(self.vendors, self.scored.where("band = 'HIGH'").select("left_key", "right_key"))
+        return components.clusters(self.silver_vendors, self.scored.where("band = 'HIGH'").select("left_key", "right_key"))
 
     @cached_property
     def gold(self) -> tuple[DataFrame, DataFrame]:
-        return golden.build(self.vendors, self.clusters)
+        return golden.build(self.silver_vendors, self.clusters)
 
     @cached_property
     def spend(self) -> DataFrame:
@@ -137,13 +147,13 @@ def dq_failures(lake: Lake) -> DataFrame:
 
 @query
 def dq_scorecard(lake: Lake) -> DataFrame:
-    return rules.scorecard(lake.vendors, lake.context, ALL_RULES, AS_OF)
+    return rules.scorecard(lake.silver_vendors, lake.context, ALL_RULES, AS_OF)
 
 
 @query
 def dq_shadow_rules(lake: Lake) -> DataFrame:
     shadow = [replace(r, mode="shadow") if r.id in ("R05", "R07") else r for r in ALL_RULES]
-    flags = rules.failures(lake.vendors, lake.context, shadow, AS_OF)
+    flags = rules.failures(lake.silver_vendors, lake.context, shadow, AS_OF)
     return flags.groupBy("mode", "rule_id").agg(F.count("*").alias("failing_keys"))
 
 
@@ -232,25 +242,25 @@ def vendor_dq(lake: Lake) -> DataFrame:
 
 @query
 def source_score(lake: Lake) -> DataFrame:
-    return rules.source_scores(lake.vendors, lake.context, ALL_RULES, AS_OF)
+    return rules.source_scores(lake.silver_vendors, lake.context, ALL_RULES, AS_OF)
 
 
 @query
 def source_score_pivot(lake: Lake) -> DataFrame:
-    scores = rules.source_scores(lake.vendors, lake.context, ALL_RULES, AS_OF)
+    scores = rules.source_scores(lake.silver_vendors, lake.context, ALL_RULES, AS_OF)
     return scores.groupBy("source_system").pivot("entity", ["vendor", "invoice"]).agg(F.max("score")).select("source_system", F.col("vendor").alias("vendor_score"), F.col("invoice").alias("invoice_score"))
 
 
 @query
 def dq_score(lake: Lake) -> DataFrame:
-    keys = lake.vendors.select("record_key").unionByName(lake.invoices.select("record_key"))
+    keys = lake.silver_vendors.select("record_key").unionByName(lake.silver_invoices.select("record_key"))
     return evaluate.score_share(keys, lake.flags)
 
 
 # --- spend --------------------------------------------------------------------------------------------------------
 @query
 def spend_by_country(lake: Lake) -> DataFrame:
-    return spend.valid_spend_by_country(lake.context, lake.vendors, rules.failed_ids(INVOICE_RULES, AS_OF))
+    return spend.valid_spend_by_country(lake.context, lake.silver_vendors, rules.failed_ids(INVOICE_RULES, AS_OF))
 
 
 @query
@@ -276,7 +286,7 @@ def kpis(lake: Lake) -> DataFrame:
 # --- matching -----------------------------------------------------------------------------------------------------
 @query
 def block_pairs(lake: Lake) -> DataFrame:
-    return matching.candidate_pairs(lake.vendors)
+    return matching.candidate_pairs(lake.silver_vendors)
 
 
 @query
@@ -335,14 +345,14 @@ def golden_xref(lake: Lake) -> DataFrame:
 
 @query
 def cluster_alerts(lake: Lake) -> DataFrame:
-    return golden.cluster_alerts(lake.vendors, lake.gold[1])
+    return golden.cluster_alerts(lake.silver_vendors, lake.gold[1])
 
 
 @query
 def cannot_link_clusters(lake: Lake) -> DataFrame:
     edges = lake.scored.where("band <> 'LOW'").select("left_key", "right_key", "score")
     cannot = edges.where(F.pmod(F.crc32("left_key"), F.lit(7)) == 0).select("left_key", "right_key")
-    return components.constrained_clusters(lake.vendors, edges, cannot)[0]
+    return components.constrained_clusters(lake.silver_vendors, edges, cannot)[0]
 
 
 # --- truth --------------------------------------------------------------------------------------------------------
@@ -358,7 +368,7 @@ def resolution(lake: Lake) -> DataFrame:
 
 @query
 def spend_on_exact(lake: Lake) -> DataFrame:
-    return evaluate.spend_on_exact(lake.spend, lake.invoices, lake.gold[1], lake.truth)
+    return evaluate.spend_on_exact(lake.spend, lake.silver_invoices, lake.gold[1], lake.truth)
 
 
 def _defects(lake: Lake) -> DataFrame:
@@ -387,13 +397,13 @@ def catch_rate(lake: Lake) -> DataFrame:
 
 @query
 def false_quarantine(lake: Lake) -> DataFrame:
-    return evaluate.false_quarantine(lake.flags, _defects(lake).where("entity = 'invoice'"), lake.invoices)
+    return evaluate.false_quarantine(lake.flags, _defects(lake).where("entity = 'invoice'"), lake.silver_invoices)
 
 
 # --- profiles, patterns, library ----------------------------------------------------------------------------------
 @query
 def profile_shapes(lake: Lake) -> DataFrame:
-    return profiling.profile(lake.vendors, "silver_vendor", ["vendor_name", "country_raw", "tax_id", "city", "email_domain"])
+    return profiling.profile(lake.silver_vendors, "silver_vendor", ["vendor_name", "country_raw", "tax_id", "city", "email_domain"])
 
 
 @query
@@ -413,7 +423,7 @@ def unmapped_cities(lake: Lake) -> DataFrame:
 
 @query
 def dq_patterns(lake: Lake) -> DataFrame:
-    return patterns.dq_patterns(lake.flags, lake.vendors, lake.invoices, ALL_RULES).select("pattern_id", "kind", "rule_id", "source_system", "signature", "affected_records")
+    return patterns.dq_patterns(lake.flags, lake.silver_vendors, lake.silver_invoices, ALL_RULES).select("pattern_id", "kind", "rule_id", "source_system", "signature", "affected_records")
 
 
 @query
@@ -423,7 +433,7 @@ def match_patterns(lake: Lake) -> DataFrame:
 
 @query
 def pattern_coverage(lake: Lake) -> DataFrame:
-    found = patterns.dq_patterns(lake.flags, lake.vendors, lake.invoices, ALL_RULES).select("pattern_id", "affected_records")
+    found = patterns.dq_patterns(lake.flags, lake.silver_vendors, lake.silver_invoices, ALL_RULES).select("pattern_id", "affected_records")
     return patterns.coverage(found.unionByName(patterns.match_patterns(lake.scored).select("pattern_id", "affected_records")))
 
 
@@ -443,9 +453,9 @@ def run_delta_alerts(lake: Lake) -> DataFrame:
 
 @query
 def run_metrics(lake: Lake) -> DataFrame:
-    card = rules.scorecard(lake.vendors, lake.context, ALL_RULES, AS_OF)
+    card = rules.scorecard(lake.silver_vendors, lake.context, ALL_RULES, AS_OF)
     bad = rules.quarantine(lake.context, INVOICE_RULES, AS_OF, ["record_key"])
-    return sentinel.run_metrics(lake.vendors, lake.invoices, lake.flags, card, bad, golden.cluster_alerts(lake.vendors, lake.gold[1]))
+    return sentinel.run_metrics(lake.silver_vendors, lake.silver_invoices, lake.flags, card, bad, golden.cluster_alerts(lake.silver_vendors, lake.gold[1]))
 
 
 @query

@@ -69,8 +69,10 @@ def test_similarity_is_twice_lcs_over_lengths(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice("ABC") for _ in range(r.randint(1, 6)))
     names = [(" ".join(word() for _ in range(r.randint(1, 4))), " ".join(word() for _ in range(r.randint(1, 4)))) for _ in range(300)] + [("", "A"), (None, "A"), ("A B", "B A")]
+    long = lambda n, letters="ABC": "".join(r.choice(letters) for _ in range(n))
+    names += [(long(n), long(m)) for n in (60, 61, 62, 63, 64, 70, 122, 123, 200, 500) for m in (61, 62, 64, 130, 500)] + [(long(64), long(64, "XYZ")), (long(100), "A")]
     df = spark.createDataFrame(names, "a string, b string")
-    got = df.select("a", "b", similarity.token_sort_ratio(F.col("a"), F.col("b")).alias("n"), similarity.token_sort_ratio(F.col("a"), F.col("b"), True).alias("p")).collect()
+    got = df.select("a", "b", similarity.token_sort_ratio(F.col("a"), F.col("b")).alias("n"), similarity.token_sort_ratio(F.col("b"), F.col("a")).alias("p")).collect()
     for x in got:
         a, b = (" ".join(sorted((v or "").split())) for v in (x["a"], x["b"]))
         want = 2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
