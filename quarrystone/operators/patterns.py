@@ -73,20 +73,36 @@ def match_patterns(pairs: DataFrame) -> DataFrame:
     return g.select(pattern_id(item).alias("pattern_id"), F.lit("match_rule").alias("kind"), item.alias("item_id"), "signature", "affected_records", decision.alias("decision"), F.round(F.coalesce("same", "mean"), 3).alias("confidence"))
 
 
+#: Values that fewer records have than this are kept as they are, in one bundle.
+TAIL_RECORDS = 5
+
+
+def bundled(proposals: DataFrame) -> DataFrame:
+    """proposals (domain, raw, canonical, confidence, affected, source) with the signature of their pattern and
+    asks (whether a steward has to give the value).  Currencies without a proposal are left to their rule."""
+    band = F.when(F.col("confidence") >= 0.75, "confident").otherwise("uncertain")
+    asks = F.col("canonical").isNull() & (F.col("affected") >= TAIL_RECORDS)
+    signature = F.when(asks, F.concat_ws(":", "domain", "raw")).when(F.col("canonical").isNull(), "TAIL").otherwise(F.concat_ws(":", F.lit("BATCH"), "domain", "source", band))
+    return proposals.where("canonical IS NOT NULL OR domain <> 'currency'").withColumns({"signature": signature, "asks": asks})
+
+
 def mapping_patterns(proposals: DataFrame) -> DataFrame:
     """proposals: domain, raw, canonical, confidence, affected, source.  Bundles of proposals with a target, one
     bundle of rare values without, and single questions."""
-    some = proposals.where("canonical IS NOT NULL").withColumn("band", F.when(F.col("confidence") >= 0.75, "confident").otherwise("uncertain"))
-    name = F.concat_ws(":", F.lit("BATCH"), "domain", "source", "band")
+    sure = F.when(F.col("asks"), 0.0).when(F.col("signature") == "TAIL", 1.0).otherwise(F.col("confidence"))
     raws = F.array_join(F.array_sort(F.collect_set("raw")), ",")
-    bundles = some.groupBy(name.alias("signature")).agg(raws.alias("raws"), F.count("*").alias("items"), F.sum("affected").alias("affected_records"), F.round(F.avg("confidence"), 3).alias("confidence"))
-    none = proposals.where("canonical IS NULL AND domain <> 'currency'")
-    tail = none.where("affected < 5").agg(raws.alias("raws"), F.count("*").alias("items"), F.sum("affected").alias("affected_records")).where("items > 0").select(F.lit("TAIL").alias("signature"), "raws", "items", "affected_records", F.lit(1.0).alias("confidence"))
-    single = none.where("affected >= 5").select(F.concat_ws(":", "domain", "raw").alias("signature"), F.col("raw").alias("raws"), F.lit(1).cast("long").alias("items"), F.col("affected").alias("affected_records"), F.lit(0.0).alias("confidence"))
-    asked = F.col("confidence") == 0
-    out = bundles.unionByName(tail).unionByName(single)
-    item = F.when(asked, F.concat(F.lit("MAP:"), "signature")).otherwise(F.concat("signature", F.lit(":"), "raws"))
-    return out.select(pattern_id(item).alias("pattern_id"), F.when(asked, "value_mapping").otherwise("mapping_batch").alias("kind"), "signature", "items", "affected_records", "confidence", asked.alias("needs_input"))
+    out = bundled(proposals).groupBy("signature", "asks").agg(raws.alias("raws"), F.count("*").alias("items"), F.sum("affected").alias("affected_records"), F.round(F.avg(sure), 3).alias("confidence"))
+    item = F.when(F.col("asks"), F.concat(F.lit("MAP:"), "signature")).otherwise(F.concat("signature", F.lit(":"), "raws"))
+    kind = F.when(F.col("asks"), "value_mapping").otherwise("mapping_batch")
+    return out.select(pattern_id(item).alias("pattern_id"), kind.alias("kind"), "signature", "items", "affected_records", "confidence", F.col("asks").alias("needs_input"))
+
+
+def mapping_items(proposals: DataFrame, found: DataFrame) -> DataFrame:
+    """What each of the mapping patterns found would put into the library: pattern_id, kind, domain, raw, canonical
+    (a rare value stands for itself, a question has none), confidence, affected, source, options."""
+    rows = bundled(proposals).join(found.select("signature", "pattern_id", "kind"), "signature")
+    tail = F.col("signature") == "TAIL"
+    return rows.select("pattern_id", "kind", "domain", "raw", F.when(tail, F.col("raw")).otherwise(F.col("canonical")).alias("canonical"), F.when(tail, 1.0).otherwise(F.col("confidence")).alias("confidence"), "affected", "source", "options")
 
 
 def coverage(patterns: DataFrame, top: int = 10) -> DataFrame:

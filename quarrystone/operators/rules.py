@@ -237,7 +237,8 @@ def heuristic_rule(sentence: str, columns: dict[str, list[str]]) -> dict | None:
 
 
 def views(schema: str, rules: list[Rule], as_of: str = "current_date()") -> dict[str, str]:
-    """Dependency-ordered view statements with the rules as named conditions, over tables of a schema."""
+    """Dependency-ordered view statements with the rules as named conditions, over tables of a schema: silver_vendor,
+    silver_invoice, and for certified spend gold_vendor_xref and ref_fx_rate (currency, usd_rate)."""
     context = f"""SELECT i.*, v.record_key IS NOT NULL AS _vendor_exists, c.n AS _copies, coalesce(i.amount > m.lim, FALSE) AS _is_outlier
 FROM {schema}.silver_invoice i
 LEFT JOIN (SELECT DISTINCT record_key FROM {schema}.silver_vendor) v ON v.record_key = i.vendor_record_key
@@ -250,9 +251,18 @@ LEFT JOIN (SELECT vendor_record_key, {config.ANOMALY_MULTIPLIER} * percentile(am
     vendor = ", ".join(f"coalesce({check_sql(r, as_of)}, FALSE) AS {constraint_name(r.id, r.name)}" for r in of_entity(rules, "vendor"))
     every = " AND ".join(f"coalesce({check_sql(r, as_of)}, FALSE)" for r in of_entity(rules, "vendor")) or "TRUE"
     make = lambda name, body: f"CREATE OR REPLACE VIEW {schema}.{name} AS {body}"
+    scores = f"""SELECT source_system, count(*) AS records, round(avg(passed), 4) AS dq_score, count_if(entity = 'invoice' AND passed = 0) AS quarantined_invoices, current_timestamp() AS scored_at
+FROM (SELECT source_system, 'vendor' AS entity, CAST(passes_all AS INT) AS passed FROM {schema}.silver_vendor_dq
+      UNION ALL SELECT i.source_system, 'invoice', CAST(q.record_key IS NULL AS INT) FROM {schema}.silver_invoice i
+      LEFT JOIN (SELECT DISTINCT record_key FROM {schema}.silver_invoice_quarantine) q ON i.record_key = q.record_key) GROUP BY source_system"""
+    certified = f"""SELECT v.record_key, x.master_key, v.source_system, v.invoice_no, v.invoice_date, v.currency, v.amount, round(v.amount * fx.usd_rate, 2) AS amount_usd
+FROM {schema}.silver_invoice_valid v JOIN {schema}.gold_vendor_xref x ON v.vendor_record_key = x.record_key
+JOIN {schema}.ref_fx_rate fx ON v.currency = fx.currency WHERE x.master_key IS NOT NULL AND v.amount * fx.usd_rate IS NOT NULL"""
     return {
         "silver_invoice_context": make("silver_invoice_context", context),
         "silver_invoice_valid": make("silver_invoice_valid", f"SELECT * FROM {schema}.silver_invoice_context WHERE " + " AND ".join(good)),
         "silver_invoice_quarantine": make("silver_invoice_quarantine", f"SELECT * FROM (SELECT *, filter(array({marks}), x -> x IS NOT NULL) AS failed_rules FROM {schema}.silver_invoice_context) WHERE size(failed_rules) > 0"),
         "silver_vendor_dq": make("silver_vendor_dq", f"SELECT record_key, source_system, {vendor}, {every} AS passes_all FROM {schema}.silver_vendor"),
+        "gold_dq_source_score": make("gold_dq_source_score", scores),
+        "gold_spend_certified": make("gold_spend_certified", certified),
     }

@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 
 from quarrystone import config
 from quarrystone.config import LAKEHOUSE, Profile
-from quarrystone.operators import components, evaluate, golden, learning, library, matching, patterns, profiling, rules, sentinel, spend, standardize
+from quarrystone.operators import components, evaluate, golden, learning, library, mapping_learner, matching, patterns, profiling, rules, sentinel, spend, standardize
 from quarrystone.operators.rules import ANOMALY, RULES, Rule
-from quarrystone.plans.llm_client import Budgeted, ask_pairs
+from quarrystone.plans.llm_client import Budgeted, ask_cause, ask_mappings, ask_pairs
 from quarrystone.sources.store import Store, read_csv, union_all
 
 PATTERN_DECISIONS = "pattern_id string, item_id string, kind string, decision string, affected_records long, reviewer string, note string, library_version long, decided_at timestamp"
 OPINIONS = "fingerprint string, decision string, confidence double, explanation string, model string, created_at timestamp"
+#: Fields of the stored inboxes and the values they may have.
+DECISIONS = ("approve", "reject")
+INBOXES = {
+    "pattern": {"pattern_id": None, "decision": DECISIONS},
+    "pair": {"left_key": None, "right_key": None, "decision": ("match", "no_match", "unsure")},
+    "unmerge": {"record_key": None},
+    "rule": {"sentence": None},
+}
 EVENTS = "run_id string, stage string, action string, detail string, records long, at timestamp"
 
 
@@ -71,23 +79,33 @@ class Engine:
     def mappings(self) -> config.Mappings:
         return library.mappings(self.history(), self.profile.mappings)
 
-    def learn(self, vendors: DataFrame, run_id: str) -> DataFrame:
-        """Spelling corrections of name tokens that are close enough go to the library; the others are proposals."""
-        found = profiling.learn_tokens(vendors, "vendor_name", self.mappings())
-        item = F.concat(F.lit("MAP:token:"), "raw")
-        definition = F.to_json(F.struct(F.col("canonical"), F.lit("token").alias("domain"), F.col("raw").alias("raw_value")))
-        sure = found.where(F.col("similarity") >= config.AUTO_APPROVE)
-        items = sure.select(item.alias("item_id"), F.lit("value_mapping").alias("kind"), definition.alias("definition"), F.col("similarity").alias("confidence"), F.col("affected").alias("affected_records"))
+    def learn(self, vendors: DataFrame, invoices: DataFrame, run_id: str) -> DataFrame:
+        """Valid and sure mappings go to the library; the others are proposals.  The assistant is asked once for
+        each value that no rule settles, as far as its budget goes."""
+        known, asked = self.mappings(), self.store.read("llm_mapping_cache", mapping_learner.ANSWERS)
+        found = mapping_learner.learn(vendors, invoices, known, asked)
+        if self.assistant.inner is not None:
+            open_ = found.where(~F.col("approved") & (F.col("source") != "assistant") & (F.col("confidence") < config.FUZZY_APPROVE)).join(asked.select("domain", "raw"), ["domain", "raw"], "left_anti")
+            answers = []
+            for domain in ("city", "token", "currency"):
+                rows = open_.where(F.col("domain") == domain).orderBy(F.desc("affected"), "raw").limit(40 * self.assistant.most_calls).collect()  # the budget's values
+                options = sorted({o for r in rows for o in r["options"]})
+                answers += [(domain, raw, c, p) for raw, (c, p) in ask_mappings(self.assistant, domain, [r["raw"] for r in rows], options).items()]
+            if answers:
+                self.store.append("llm_mapping_cache", self.spark.createDataFrame(answers, mapping_learner.ANSWERS))
+                found = mapping_learner.learn(vendors, invoices, known, self.store.read("llm_mapping_cache"))
+        self.store.write("learned_mappings", found)
+        found = self.store.read("learned_mappings")
+        items = mapping_learner.library_items(found.where("approved"))
         if not items.isEmpty():
-            self.approve(items, "auto", "rule", run_id=run_id)
-        rest = found.where(F.col("similarity") < config.AUTO_APPROVE)
-        return rest.select(F.lit("token").alias("domain"), "raw", "canonical", F.col("similarity").alias("confidence"), "affected", F.lit("rule").alias("source"))
+            self.approve(items, "auto", "policy", run_id=run_id)
+        return found.where(~F.col("approved")).drop("approved")
 
     # --- a run ----------------------------------------------------------------------------------------------------
     def run(self, as_of: date = config.AS_OF, extracts: tuple[DataFrame, DataFrame] | None = None, truth: DataFrame | None = None) -> dict:
         run_id, put = uuid.uuid4().hex[:12], self.store.write
         raw_vendors, raw_invoices = self.take(*extracts) if extracts else self.ingest()
-        proposals = self.learn(raw_vendors, run_id) if self.profile.library_rules else None
+        proposals = self.learn(raw_vendors, raw_invoices, run_id) if self.profile.library_rules else None
         known = self.mappings()
         put("silver_vendor", standardize.vendors(raw_vendors, known))
         vendors = self.store.read("silver_vendor")
@@ -154,7 +172,10 @@ class Engine:
         done = library.acknowledged(self.history())
         dq = patterns.dq_patterns(flags, vendors, invoices, every, done)
         match = patterns.match_patterns(pairs.where(F.col("decided_by").isin("rules", "rules+ai")))
-        parts = [dq, match] + ([patterns.mapping_patterns(proposals)] if proposals is not None else [])
+        parts = [dq, match]
+        if proposals is not None:
+            parts.append(patterns.mapping_patterns(proposals))
+            self.store.write("steward_mappings", patterns.mapping_items(proposals, parts[-1]))
         self.store.write("steward_items", dq.select("pattern_id", "item_id", "kind", "rule_id", "source_system", "signature", F.lit(None).cast("string").alias("decision"), "affected_records", "confidence").unionByName(
             match.select("pattern_id", "item_id", "kind", F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("source_system"), "signature", "decision", "affected_records", "confidence")))
         out = patterns.open_patterns(parts, self.store.read("pattern_decisions", PATTERN_DECISIONS), done)
@@ -175,12 +196,15 @@ class Engine:
         last = before.agg(F.max_by("run_id", "run_id")).first()[0]
         grown = ", ".join(f"{r['rule_id']} +{r['delta']}" for r in sentinel.rule_deltas(card, before.where(F.col("run_id") == last)).collect()) if last else ""
         cause = f"Largest increases in failures: {grown}." if grown else f"Weakest rule this run: {metrics['worst_rule']}."
-        out = []
+        by_id, out = {r.id: r for r in sentinel.ALERTS}, []
         for r in raised:
-            text = f"[{r['severity'].upper()}] {r['alert_id']} {r['object']}: {cause}"
-            out.append((run_id, at, r["alert_id"], r["object"], r["severity"], r["metric"], r["value"], cause, self._notify(text)))
+            rule = by_id[r["alert_id"]]
+            why, action = ask_cause(self.assistant, f"{rule.name} ({rule.condition} {rule.threshold}), value {r['value']}", metrics, grown) or (cause, sentinel.ACTIONS[rule.metric])
+            text = sentinel.message(rule, r["object"], why, action)
+            out.append((run_id, at, rule.id, rule.name, r["object"], rule.severity, rule.metric, r["value"], why, action, self._notify(text)))
         if out:
-            self.store.append("alerts", self.spark.createDataFrame(out, "run_id string, raised_at timestamp, alert_id string, object string, severity string, metric string, value double, cause string, webhook_sent boolean"))
+            kinds = "run_id string, raised_at timestamp, alert_id string, name string, object string, severity string, metric string, value double, cause string, action string, webhook_sent boolean"
+            self.store.append("alerts", self.spark.createDataFrame(out, kinds))
         return [a[2] for a in out]
 
     def _notify(self, text: str) -> bool:
@@ -197,24 +221,52 @@ class Engine:
         self.store.append("agent_events", self.spark.createDataFrame([(run_id, stage, action, detail, records, _now())], EVENTS))
 
     # --- stewards -------------------------------------------------------------------------------------------------
-    def decide_pattern(self, pattern_id: str, decision: str, reviewer: str, note: str = "") -> str:
-        """Approve or reject a pattern: approving puts its item into the library."""
-        if decision not in ("approve", "reject"):
+    def decide_pattern(self, pattern_id: str, decision: str, reviewer: str, note: str = "", canonical: str | None = None) -> str:
+        """Approve or reject a pattern: approving puts its items into the library.  A question about one value needs
+        a canonical one, which has to be allowed."""
+        if decision not in DECISIONS:
             raise ValueError("decision is approve or reject")
-        row = self.store.read("steward_items").where(F.col("pattern_id") == pattern_id).first()
-        if row is None:
+        head = self.store.read("steward_patterns").where(F.col("pattern_id") == pattern_id).first()
+        if head is None:
             raise KeyError(pattern_id)
-        if decision == "approve":
-            says = {
-                "acknowledge": {"rule_id": row["rule_id"], "source_system": row["source_system"], "signature": row["signature"]},
-                "record_fix": {"fix": "currency_from_vendor_country", "source_system": row["source_system"], "currency_raw": (row["signature"].split("'") + [""])[1]},
-                "match_rule": {"signature": row["signature"], "decision": row["decision"]},
-            }[row["kind"]]
-            item = [(row["item_id"], row["kind"], json.dumps(says, sort_keys=True), float(row["confidence"]), int(row["affected_records"]))]
-            self.approve(self.spark.createDataFrame(item, "item_id string, kind string, definition string, confidence double, affected_records long"), reviewer, note=note)
-        done = [(pattern_id, row["item_id"], row["kind"], decision, int(row["affected_records"]), reviewer, note, library.version(self.history()), _now())]
+        if head["kind"] in ("mapping_batch", "value_mapping"):
+            own = self.store.read("steward_mappings").where(F.col("pattern_id") == pattern_id)
+            if decision == "approve":
+                if head["kind"] == "value_mapping":
+                    own = self._answered(own, canonical)
+                self.approve(mapping_learner.library_items(own), reviewer, note=note)
+            item = head["signature"]
+        else:
+            row = self.store.read("steward_items").where(F.col("pattern_id") == pattern_id).first()
+            if decision == "approve":
+                says = {
+                    "acknowledge": {"rule_id": row["rule_id"], "source_system": row["source_system"], "signature": row["signature"]},
+                    "record_fix": {"fix": "currency_from_vendor_country", "source_system": row["source_system"], "currency_raw": (row["signature"].split("'") + [""])[1]},
+                    "match_rule": {"signature": row["signature"], "decision": row["decision"]},
+                }[row["kind"]]
+                one = [(row["item_id"], row["kind"], json.dumps(says, sort_keys=True), float(row["confidence"]), int(row["affected_records"]))]
+                self.approve(self.spark.createDataFrame(one, "item_id string, kind string, definition string, confidence double, affected_records long"), reviewer, note=note)
+            item = row["item_id"]
+        done = [(pattern_id, item, head["kind"], decision, int(head["affected_records"]), reviewer, note, library.version(self.history()), _now())]
         self.store.append("pattern_decisions", self.spark.createDataFrame(done, PATTERN_DECISIONS))
-        return row["item_id"]
+        return item
+
+    @staticmethod
+    def _answered(own: DataFrame, canonical: str | None) -> DataFrame:
+        """The one mapping of a question, with a canonical value that its domain allows."""
+        row = own.first()
+        allowed = {"city": list(config.CITIES), "currency": list(config.VALID_CURRENCIES)}.get(row["domain"], [*row["options"], config.LEGAL_MARK])
+        if canonical not in allowed:
+            raise ValueError(f"{canonical!r} is no allowed {row['domain']}; choose from {allowed[:10]}")
+        return own.withColumn("canonical", F.lit(canonical)).withColumn("confidence", F.lit(1.0))
+
+    def recommend_pair(self, left: str, right: str) -> dict:
+        """What the rules advise for a pair, with its scores."""
+        a, b = sorted((left, right))
+        found = library.recommend(self.store.read("silver_match_pairs").where((F.col("left_key") == a) & (F.col("right_key") == b))).first()
+        if found is None:
+            raise KeyError((a, b))
+        return found.asDict()
 
     def decide_pair(self, left: str, right: str, decision: str, reviewer: str, note: str = "") -> None:
         if decision not in ("match", "no_match", "unsure"):
@@ -233,7 +285,7 @@ class Engine:
         parts = library.explain(self.store.read("gold_vendor_xref"), self.store.read("gold_merge_edges"), self.store.read("gold_cluster_alerts"), master_key)
         return {n: [r.asDict() for r in df.collect()] for n, df in zip(("members", "merges", "alerts"), parts, strict=True)}  # of one golden vendor
 
-    def draft_rule(self, sentence: str, accept: bool = False, override: bool = False, reviewer: str = "steward", as_of: date = config.AS_OF) -> dict:
+    def draft_rule(self, sentence: str, accept: bool = False, override: bool = False, reviewer: str = "steward", as_of: date = config.AS_OF, note: str = "") -> dict:
         """A rule from a sentence: tried on silver, blocked if too many records fail, accepted in shadow mode."""
         tables = {"vendor": self.store.read("silver_vendor"), "invoice": self.store.read("invoice_context")}
         found = rules.heuristic_rule(sentence, {e: [c for c in df.columns if c[0] != "_"] for e, df in tables.items()})
@@ -244,12 +296,12 @@ class Engine:
         seen = rules.preview(rule, tables[rule.entity], as_of).first().asDict()
         status = "blocked" if seen["blocked"] and not override else "accepted" if accept else "previewed"
         if status == "accepted":
-            self._store_rule(rule, reviewer)
+            self._store_rule(rule, reviewer, note)
         return {"status": status, "rule": asdict(rule), **seen}
 
-    def _store_rule(self, rule: Rule, by: str) -> None:
+    def _store_rule(self, rule: Rule, by: str, note: str = "") -> None:
         body = {k: v for k, v in asdict(rule).items() if k != "id"}
-        self.approve(self.spark.createDataFrame([(rule.id, "dq_rule", json.dumps(body, sort_keys=True), 1.0, 0)], "item_id string, kind string, definition string, confidence double, affected_records long"), by)
+        self.approve(self.spark.createDataFrame([(rule.id, "dq_rule", json.dumps(body, sort_keys=True), 1.0, 0)], "item_id string, kind string, definition string, confidence double, affected_records long"), by, note=note)
 
     def promote(self, rule_id: str, by: str) -> None:
         from dataclasses import replace
@@ -260,20 +312,52 @@ class Engine:
     def train(self) -> dict:
         return learning.train_matcher(learning.training_set(self.store.read("silver_match_pairs"), self.store.read("steward_decisions", library.DECISIONS)))
 
-    def apply_inbox(self, inbox: str, rows: DataFrame) -> int:
-        """Decisions from outside, each id once: pattern (pattern_id, decision), pair, unmerge (record_key), rule."""
-        act = {
-            "pattern": lambda r: self.decide_pattern(r["pattern_id"], r["decision"], r["reviewer"]),
-            "pair": lambda r: self.decide_pair(r["left_key"], r["right_key"], r["decision"], r["reviewer"]),
-            "unmerge": lambda r: self.unmerge(r["record_key"], r["reviewer"]),
-            "rule": lambda r: self.draft_rule(r["sentence"], True, False, r["reviewer"]),
-        }[inbox]
-        todo = library.unseen(rows, self.store.read("inbox_processed", "inbox string, id string, at timestamp"), inbox).dropDuplicates(["id"]).orderBy("id").collect()  # typed in by people
+    def submit(self, inbox: str, by: str, **fields) -> str:
+        """Put one checked decision into a stored inbox; gives its id."""
+        wanted = INBOXES[inbox]
+        if set(fields) - {"canonical"} != set(wanted) or not all(str(v).strip() for v in (by, *fields.values())):
+            raise ValueError(f"{inbox} takes {', '.join(wanted)}")
+        for name, value in fields.items():
+            if wanted.get(name) and value not in wanted[name]:
+                raise ValueError(f"{name} is one of {', '.join(wanted[name])}")
+        row = (uuid.uuid4().hex, json.dumps({**fields, "reviewer": by}, sort_keys=True), _now())
+        self.store.append(f"inbox_{inbox}", self.spark.createDataFrame([row], "id string, fields string, submitted_at timestamp"))
+        return row[0]
+
+    def apply_inbox(self, inbox: str, rows: DataFrame | None = None) -> int:
+        """Decisions from outside (rows) or from the stored inbox, each id once.  Each effect carries the row's id in
+        its note: if a run stopped after the effect and before the row was marked, the next one only marks it.  A row
+        that can't be applied is marked as failed and doesn't hold up those behind it."""
+        if rows is None:
+            rows = self.store.read(f"inbox_{inbox}", "id string, fields string, submitted_at timestamp")
+        schema = "inbox string, id string, status string, at timestamp"
+        todo = library.unseen(rows, self.store.read("inbox_processed", schema), inbox).dropDuplicates(["id"]).orderBy("id").collect()  # typed in by people
         for r in todo:
-            act(r)
-            self.store.append("inbox_processed", self.spark.createDataFrame([(inbox, str(r["id"]), _now())], "inbox string, id string, at timestamp"))
+            r = r.asDict()
+            r |= json.loads(r.get("fields") or "{}")
+            note, status = f"inbox:{inbox}:{r['id']}", "applied"
+            try:
+                if not self._noted(inbox, note):
+                    self._act(inbox, r, note)
+            except (KeyError, ValueError) as e:
+                status = f"failed: {e}"
+            self.store.append("inbox_processed", self.spark.createDataFrame([(inbox, str(r["id"]), status, _now())], schema))
         return len(todo)
 
+    def _act(self, inbox: str, r: dict, note: str) -> None:
+        if inbox == "pattern":
+            self.decide_pattern(r["pattern_id"], r["decision"], r["reviewer"], note, r.get("canonical"))
+        elif inbox == "pair":
+            self.decide_pair(r["left_key"], r["right_key"], r["decision"], r["reviewer"], note)
+        elif inbox == "unmerge":
+            self.unmerge(r["record_key"], r["reviewer"], note)
+        else:
+            self.draft_rule(r["sentence"], True, False, r["reviewer"], note=note)
+
+    def _noted(self, inbox: str, note: str) -> bool:
+        table, schema = {"pattern": ("pattern_decisions", PATTERN_DECISIONS), "pair": ("steward_decisions", library.DECISIONS)}.get(inbox, ("rule_library", library.SCHEMA))
+        return not self.store.read(table, schema).where(F.col("note") == note).isEmpty()
+
 
 def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
@@ -296,7 +380,7 @@ def ablation(spark: SparkSession, root: str, extracts: tuple[DataFrame, DataFram
     for step in "BC":
         if step == "C":
             simulated_review(engine, truth)
-            for r in engine.store.read("steward_items").where("kind <> 'match_rule'").select("pattern_id").collect():
+            for r in engine.store.read("steward_patterns").where("kind NOT IN ('match_rule', 'value_mapping')").select("pattern_id").collect():
                 engine.decide_pattern(r["pattern_id"], "approve", "ablation")
         result = engine.run(extracts=extracts, truth=truth)
         out.append({"step": step, **evaluate.resolution(engine.store.read("gold_vendor_xref"), truth).first().asDict(), "precision": result["match_precision"], "recall": result["match_recall"]})

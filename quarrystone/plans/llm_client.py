@@ -15,7 +15,6 @@ def _object(**fields) -> dict:
 
 MAPPING_SCHEMA = _object(decisions={"type": "array", "items": _object(raw=_TEXT, canonical=_TEXT, confidence=_NUMBER)})
 PAIR_SCHEMA = _object(decisions={"type": "array", "items": _object(pair={"type": "integer"}, decision={"enum": ["same", "different", "unsure"]}, confidence=_NUMBER, explanation=_TEXT)})
-RULE_SCHEMA = _object(entity={"enum": ["vendor", "invoice"]}, column=_TEXT, type=_TEXT)
 CAUSE_SCHEMA = _object(cause=_TEXT, action=_TEXT)
 
 
@@ -55,6 +54,12 @@ def ask_mappings(client: Budgeted, domain: str, values: list[str], options: list
     return out
 
 
+def ask_cause(client: Budgeted, alert: str, metrics: dict, changes: str) -> tuple[str, str] | None:
+    """Likely cause and first action of an alert."""
+    got = client.complete_json("Give the likely cause and the first action for a data steward, from these numbers only.", f"alert: {alert}\nmetrics: {metrics}\nrule changes: {changes}", CAUSE_SCHEMA) or {}
+    return (str(got["cause"]), str(got["action"])) if got.get("cause") and got.get("action") else None
+
+
 def ask_pairs(client: Budgeted, pairs: list[dict], per_call: int = 10) -> list[dict]:
     """Opinions (fingerprint, decision, confidence, explanation) on pairs with fingerprint and text."""
     out = []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrystone import config
 from quarrystone.functions import privacy
 from quarrystone.functions.similarity import token_sort_ratio
-from quarrystone.operators import components, evaluate, golden, learning, library, matching, patterns, profiling, rules, sentinel, spend, standardize
+from quarrystone.operators import components, evaluate, golden, learning, library, mapping_learner, matching, patterns, profiling, rules, sentinel, spend, standardize
 from quarrystone.operators.rules import ANOMALY, RULES, Rule
 from quarrystone.sources import extract
 from quarrystone.sources.scratch import written
@@ -416,6 +416,19 @@ def learned_tokens(lake: Lake) -> DataFrame:
     return profiling.learn_tokens(lake.raw_vendors, "vendor_name", config.Mappings.seed())
 
 
+@query
+def learned_mappings(lake: Lake) -> DataFrame:
+    """All three domains, from canonical values only."""
+    found = mapping_learner.learn(lake.raw_vendors, extract.invoices(lake.spark, lake.sf_dir), config.Mappings.seed())
+    return found.withColumn("options", F.array_join("options", "|"))
+
+
+@query
+def mapping_patterns(lake: Lake) -> DataFrame:
+    found = mapping_learner.learn(lake.raw_vendors, extract.invoices(lake.spark, lake.sf_dir), config.Mappings.seed())
+    return patterns.mapping_patterns(found.where(~F.col("approved")))
+
+
 @query
 def unmapped_cities(lake: Lake) -> DataFrame:
     return profiling.unmapped(lake.raw_vendors, "city_raw", config.Mappings.seed(), "city")

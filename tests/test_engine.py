@@ -1,5 +1,6 @@
 """The engine's operators on small frames, and whole runs against the truth."""
 
+import contextlib
 import datetime
 import hashlib
 import hmac
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrystone import config, oracle, queries
 from quarrystone.functions import privacy, similarity, text
-from quarrystone.operators import components, evaluate, golden, learning, library, matching, patterns, profiling, rules, sentinel, standardize
+from quarrystone.operators import components, evaluate, golden, learning, library, mapping_learner, matching, patterns, profiling, rules, sentinel, standardize
 from quarrystone.operators.rules import Rule
 from quarrystone.plans.engine import Engine, ablation, simulated_review
 from quarrystone.sources import store, synth
@@ -114,12 +115,17 @@ def test_columns_and_constraints_agree(spark):
 def test_views_run_in_order(spark):
     v, ctx = small(spark)
     v.write.saveAsTable("silver_vendor", mode="overwrite")
-    ctx.select("record_key", "vendor_record_key", "amount", "invoice_date", "currency").write.saveAsTable("silver_invoice", mode="overwrite")
+    invoices = ctx.select("record_key", "source_system", F.lit("N").alias("invoice_no"), "vendor_record_key", "amount", "invoice_date", "currency")
+    invoices.write.saveAsTable("silver_invoice", mode="overwrite")
+    spark.createDataFrame([("GRV-1", "A:1")], "master_key string, record_key string").write.saveAsTable("gold_vendor_xref", mode="overwrite")
+    spark.createDataFrame(list(config.FX_TO_USD.items()), "currency string, usd_rate double").write.saveAsTable("ref_fx_rate", mode="overwrite")
     for statement in rules.views("default", list(rules.RULES), "DATE '2026-10-09'").values():
         spark.sql(statement)
     assert {r[0] for r in spark.sql("SELECT record_key FROM silver_invoice_valid").collect()} == {"A:INV:1"}
     assert spark.sql("SELECT count(*) FROM silver_invoice_quarantine").first()[0] == 4
     assert spark.sql("SELECT count_if(passes_all) FROM silver_vendor_dq").first()[0] == 1
+    assert [tuple(r) for r in spark.sql("SELECT record_key, master_key, amount_usd FROM gold_spend_certified").collect()] == [("A:INV:1", "GRV-1", 10.0)]
+    assert tuple(spark.sql("SELECT records, quarantined_invoices FROM gold_dq_source_score").first()) == (8, 4)
 
 
 def test_sentences_become_rules():
@@ -201,6 +207,20 @@ def test_learning_and_patterns(spark):
     assert kinds == {("mapping_batch", "BATCH:token:rule:confident"): (2, 7), ("value_mapping", "city:E"): (1, 9), ("mapping_batch", "TAIL"): (1, 2)}
 
 
+def test_mapping_learner(spark):
+    names = [("Apex Steel Works Ltd", "Mumbay")] * 12 + [("Apax Steel Limted", "Atlantis"), ("Apex Stel Xyzzy", " bengaluru "), ("Apex Qqqq", None)]
+    v = spark.createDataFrame(names, "vendor_name string, city_raw string")
+    i = spark.createDataFrame([("usd",), ("USDD",), ("",), (None,)], "currency_raw string")
+    told = spark.createDataFrame([("city", "ATLANTIS", "Chicago", 0.95), ("currency", "USDD", "ZZZ", 0.99)], mapping_learner.ANSWERS)
+    got = {(r["domain"], r["raw"]): r for r in mapping_learner.learn(v, i, config.Mappings.seed(), told).collect()}
+    one = lambda *k: (got[k]["canonical"], got[k]["source"], got[k]["approved"])
+    assert one("city", "MUMBAY") == (None, "none", False) and got["city", "MUMBAY"]["options"][0] == "Mumbai" and got["city", "MUMBAY"]["affected"] == 12
+    assert one("city", "ATLANTIS") == ("Chicago", "assistant", True)
+    assert one("currency", "USDD") == (None, "assistant", False) and "not an allowed" in got["currency", "USDD"]["reason"]
+    assert one("token", "STEL") == ("STEEL", "rule", False) and one("token", "LIMTED") == (config.LEGAL_MARK, "rule", True)
+    assert one("token", "APAX")[0] == "APEX" and one("token", "QQQQ") == (None, "none", False) and ("city", "BENGALURU") not in got
+
+
 def test_alert_conditions(spark):
     t = lambda d: datetime.datetime(2026, 1, d)
     h = spark.createDataFrame([(t(1), "run", "pass_rate", 0.9), (t(2), "run", "pass_rate", 0.85), (t(1), "run", "anomalies", 1.0), (t(2), "run", "anomalies", 20.0), (t(2), "run", "worst_rule_pass_rate", 0.5)], "run_at timestamp, object string, metric string, value double")
@@ -299,6 +319,20 @@ def test_run_review_and_rerun(spark, made, tmp_path):
     assert row["pattern_id"] not in {r["pattern_id"] for r in e.store.read("steward_patterns").collect()}
     inbox = spark.createDataFrame([("1", "a", "b", "match", "me")], "id string, left_key string, right_key string, decision string, reviewer string")
     assert e.apply_inbox("pair", inbox) == 1 and e.apply_inbox("pair", inbox) == 0
+    batch = e.store.read("steward_patterns").where("kind = 'mapping_batch'").first()
+    before = e.mappings()
+    e.submit("pattern", "me", pattern_id="nothing", decision="approve")
+    asked = e.submit("pattern", "me", pattern_id=batch["pattern_id"], decision="approve")
+    with pytest.raises(ValueError):
+        e.submit("pattern", "me", pattern_id="x", decision="maybe")
+    mark, e.store.append = e.store.append, lambda name, df: mark(name, df) if name != "inbox_processed" else (_ for _ in ()).throw(OSError("stopped"))
+    for _ in range(2):  # stops before a row is marked
+        with contextlib.suppress(OSError):
+            e.apply_inbox("pattern")
+    e.store.append = mark
+    assert e.apply_inbox("pattern") == 2 and e.apply_inbox("pattern") == 0
+    assert e.store.read("pattern_decisions").where(F.col("note") == f"inbox:pattern:{asked}").count() == 1
+    assert e.store.read("inbox_processed").where("status LIKE 'failed%'").count() == 1 and e.mappings() != before
 
 
 def _land(frame, folder, entity):
