@@ -15,6 +15,7 @@ from quarrystone import config
 from quarrystone.config import Mappings
 from quarrystone.functions.similarity import token_sort_ratio
 from quarrystone.operators.profiling import valid_canonical, vocabulary
+from quarrystone.sources.scratch import written
 
 ANSWERS = "domain string, raw string, canonical string, confidence double"
 #: Lengths of guesses for a token differ by no more; a legal form needs this similarity.
@@ -46,36 +47,33 @@ def _tokens(open_: DataFrame, core: DataFrame) -> DataFrame:
     return near.join(words, ["first", "size"]).select("domain", "raw", F.col("word").alias("canonical"), "word")
 
 
-def _legal(raw: Column) -> Column:
-    """Similarity of a token to the nearest legal form with its first letter."""
-    return F.greatest(*[F.when(F.substring(raw, 1, 1) == t[0], token_sort_ratio(raw, F.lit(t))).otherwise(0.0) for t in config.LEGAL_TOKENS])
-
-
 def learn(vendors: DataFrame, invoices: DataFrame, mappings: Mappings, answers: DataFrame | None = None) -> DataFrame:
     """vendors: vendor_name, city_raw; invoices: currency_raw; answers: domain, raw, canonical, confidence.  Gives
     domain, raw, canonical, confidence, affected, source (assistant, rule or none), options, reason, approved."""
-    vocab = vocabulary(vendors, "vendor_name", mappings.known("token"))
+    vocab = written(vocabulary(vendors, "vendor_name", mappings.known("token")), "vocabulary")
     core = vocab.where("kind = 'core'")
     open_ = unknown(vendors, "city_raw", "city", mappings).unionByName(unknown(invoices, "currency_raw", "currency", mappings))
     open_ = open_.unionByName(vocab.where("kind = 'rare'").select(F.lit("token").alias("domain"), F.col("token").alias("raw"), F.col("names").alias("affected")))
     if known := sorted(mappings.known("token")):
         open_ = open_.where(~((F.col("domain") == "token") & F.col("raw").isin(known)))
+    open_ = written(open_, "open")  # read by each of the joins below
     pairs = _literals(open_, "city", list(config.CITIES)).unionByName(_literals(open_, "currency", list(config.VALID_CURRENCIES))).unionByName(_tokens(open_, core))
+    legal = open_.where((F.col("domain") == "token") & (F.length("raw") > 2)).select("raw", F.explode(F.lit(list(config.LEGAL_TOKENS))).alias("canonical"))
+    legal = legal.where(F.substring("raw", 1, 1) == F.substring("canonical", 1, 1)).groupBy("raw").agg(F.max(token_sort_ratio(F.col("raw"), F.col("canonical"))).alias("legal"))
     scored = pairs.withColumn("s", F.round(token_sort_ratio(F.col("raw"), F.col("word")), 4))
     spelled = (F.col("domain") != "currency") & (F.col("s") >= config.FUZZY_APPROVE) & (F.substring("raw", 1, 1) == F.substring("word", 1, 1)) & (F.abs(F.length("raw") - F.length("word")) <= FUZZY_LENGTH)
     order = F.struct((-F.col("s")).alias("s"), "canonical")
     # The words of one value are bounded by the lists, or by the core words of a letter and seven lengths.
     best = scored.groupBy("domain", "raw").agg(F.min(order).alias("best"), F.min(F.when(spelled, order)).alias("near"), F.slice(F.array_sort(F.collect_list(order)), 1, OPTIONS).alias("top"))
     told = (answers if answers is not None else open_.sparkSession.createDataFrame([], ANSWERS)).select("domain", "raw", F.col("canonical").alias("said"), F.col("confidence").alias("sure"))
-    df = open_.join(best, ["domain", "raw"], "left").join(told, ["domain", "raw"], "left")
-    legal = _legal(F.col("raw"))
+    df = open_.join(best, ["domain", "raw"], "left").join(told, ["domain", "raw"], "left").join(legal, "raw", "left")
     guess = F.struct(F.lit(None).cast("string").alias("canonical"), F.lit(0.0).alias("confidence"), F.lit("none").alias("source"))
     pick = lambda canonical, confidence, source: F.struct(canonical.alias("canonical"), F.round(confidence, 3).alias("confidence"), F.lit(source).alias("source"))
     is_token = F.col("domain") == "token"
     chosen = (
         F.when(F.col("said").isNotNull(), pick(F.col("said"), F.col("sure"), "assistant"))
         .when(F.col("near").isNotNull(), pick(F.col("near.canonical"), -F.col("near.s"), "rule"))
-        .when(is_token & (F.length("raw") > 2) & (legal >= LEGAL_SIMILARITY), pick(F.lit(config.LEGAL_MARK), legal, "rule"))
+        .when(is_token & (F.col("legal") >= LEGAL_SIMILARITY), pick(F.lit(config.LEGAL_MARK), F.col("legal"), "rule"))
         .when(is_token & F.col("best").isNotNull(), pick(F.col("best.canonical"), -F.col("best.s"), "rule"))
         .otherwise(guess)
     )

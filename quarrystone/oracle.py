@@ -154,6 +154,23 @@ alerts AS (SELECT master_key, concat_ws('; ', CASE WHEN taxes > 1 THEN taxes ||
 _TRUTH = "tr AS (SELECT record_key, true_vendor FROM vr),\nbo AS (SELECT master_key, true_vendor, count(*) AS n FROM xref JOIN tr USING (record_key) GROUP BY 1, 2),\nexact AS (SELECT true_vendor, sum(n) AS records FROM bo GROUP BY 1 HAVING count(*) = 1 AND min(master_key) IN (SELECT master_key FROM bo GROUP BY 1 HAVING count(*) = 1))"
 _VOCAB = """tok AS (SELECT unnest(list_distinct(list_filter(string_split_regex(regexp_replace(replace(upper({c}), '.', ''), '[^A-Z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '' AND NOT list_contains(""" + _list(LEGAL_TOKENS) + """, w)))) AS token FROM {t}),
 vo AS (SELECT token, count(*) AS names, CASE WHEN count(*) >= greatest(3, least(20, floor((SELECT count(*) FROM {t}) / 300))) THEN 'core' WHEN NOT regexp_matches(token, '^[0-9]+$') THEN 'rare' END AS kind FROM tok GROUP BY 1)"""
+_LEARNED = _with(_BASE, _VOCAB.replace("{c}", "vendor_name").replace("{t}", "vr")) + f""",
+open AS (SELECT 'city' AS domain, upper(trim(city_raw)) AS raw, count(*) AS affected FROM vr WHERE trim(city_raw) <> '' AND upper(trim(city_raw)) NOT IN ({", ".join(repr(c.upper()) for c in config.CITIES)}) GROUP BY 2
+  UNION ALL SELECT 'currency', upper(trim(currency_raw)), count(*) FROM ir WHERE trim(currency_raw) <> '' AND upper(trim(currency_raw)) NOT IN ({", ".join(map(repr, config.VALID_CURRENCIES))}) GROUP BY 2
+  UNION ALL SELECT 'token', token, names FROM vo WHERE kind = 'rare'),
+words AS (SELECT domain, raw, unnest({_list(list(config.CITIES))}) AS canonical FROM open WHERE domain = 'city' UNION ALL SELECT domain, raw, unnest({_list(list(config.VALID_CURRENCIES))}) FROM open WHERE domain = 'currency'
+  UNION ALL SELECT domain, raw, token FROM open JOIN vo ON domain = 'token' AND kind = 'core' AND substr(token, 1, 1) = substr(raw, 1, 1) AND abs(length(token) - length(raw)) <= 3
+  UNION ALL SELECT 'legal', raw, unnest({_list(LEGAL_TOKENS)}) FROM open WHERE domain = 'token' AND length(raw) > 2),
+sorted AS (SELECT *, array_to_string(list_sort(string_split(raw, ' ')), ' ') AS x, array_to_string(list_sort(string_split(upper(canonical), ' ')), ' ') AS y FROM words),
+scored AS (SELECT domain, raw, canonical, {_SIM} AS sim, round({_SIM}, 4) AS s FROM sorted),
+legal AS (SELECT raw, max(sim) AS sim FROM scored WHERE domain = 'legal' AND substr(raw, 1, 1) = substr(canonical, 1, 1) GROUP BY 1 HAVING max(sim) >= 0.75),
+best AS (SELECT domain, raw, list(canonical ORDER BY s DESC, canonical)[1 : 5] AS options, list(canonical ORDER BY s DESC, canonical)[1] AS best, max(s) AS best_s,
+  list(canonical ORDER BY s DESC, canonical) FILTER (near) AS close, max(s) FILTER (near) AS close_s
+  FROM (SELECT *, domain <> 'currency' AND s >= 0.85 AND substr(raw, 1, 1) = substr(upper(canonical), 1, 1) AND abs(length(raw) - length(canonical)) <= 2 AS near FROM scored WHERE domain <> 'legal') GROUP BY 1, 2),
+learned AS (SELECT domain, raw, affected, CASE WHEN close_s IS NOT NULL THEN close[1] WHEN domain <> 'token' THEN NULL WHEN legal.sim IS NOT NULL THEN '{config.LEGAL_MARK}' ELSE best END AS canonical,
+  coalesce(round(CASE WHEN close_s IS NOT NULL THEN close_s WHEN domain <> 'token' THEN NULL ELSE coalesce(legal.sim, best_s) END, 3), 0.0) AS confidence, options
+  FROM open LEFT JOIN best USING (domain, raw) LEFT JOIN legal ON legal.raw = open.raw AND domain = 'token'),
+lm AS (SELECT domain, raw, canonical, confidence, affected, CASE WHEN canonical IS NULL THEN 'none' ELSE 'rule' END AS source, coalesce(array_to_string(options, '|'), '') AS options, canonical IS NOT NULL AND confidence >= 0.9 AS approved FROM learned)"""
 _SHAPE = "substr(regexp_replace(regexp_replace(value, '\\p{L}', 'A', 'g'), '[0-9]', '9', 'g'), 1, 24)"
 _PROFILE = _B + """, cells AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM v" for c in ("vendor_name", "country_raw", "tax_id", "city", "email_domain")) + f"""),
 base AS (SELECT col, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS nulls, count(DISTINCT value) + max((value IS NULL)::INT) AS d FROM cells GROUP BY 1),
@@ -225,6 +242,11 @@ ORACLE = {
     "token_vocab": "WITH " + _VOCAB.replace("{c}", "p_name").replace("{t}", "part") + " SELECT * FROM vo WHERE kind IS NOT NULL",
     "learned_tokens": _with(_BASE, _VOCAB.replace("{c}", "vendor_name").replace("{t}", "vr")) + f""", q AS (SELECT a.token AS x, b.token AS y, a.names FROM vo a JOIN vo b ON a.kind = 'rare' AND b.kind = 'core' AND substr(a.token, 1, 1) = substr(b.token, 1, 1) AND abs(length(a.token) - length(b.token)) <= 2),
       s AS (SELECT x, y, names, round({_SIM}, 4) AS s FROM q) SELECT x AS raw, y AS canonical, s AS similarity, names AS affected FROM s WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) = 1""",
+    "learned_mappings": _LEARNED + " SELECT * FROM lm",
+    "mapping_patterns": _LEARNED + """, b AS (SELECT *, canonical IS NULL AND affected >= 5 AS asks, CASE WHEN canonical IS NULL AND affected >= 5 THEN domain || ':' || raw WHEN canonical IS NULL THEN 'TAIL'
+      ELSE 'BATCH:' || domain || ':' || source || ':' || CASE WHEN confidence >= 0.75 THEN 'confident' ELSE 'uncertain' END END AS signature FROM lm WHERE NOT approved AND (canonical IS NOT NULL OR domain <> 'currency'))
+      SELECT 'P-' || substr(sha1(CASE WHEN asks THEN 'MAP:' || signature ELSE signature || ':' || string_agg(DISTINCT raw, ',' ORDER BY raw) END), 1, 10) AS pattern_id, CASE WHEN asks THEN 'value_mapping' ELSE 'mapping_batch' END AS kind, signature,
+      count(*) AS items, CAST(sum(affected) AS BIGINT) AS affected_records, round(avg(CASE WHEN asks THEN 0.0 WHEN signature = 'TAIL' THEN 1.0 ELSE confidence END), 3) AS confidence, asks AS needs_input FROM b GROUP BY signature, asks""",
     "unmapped_cities": _B + f"SELECT city_raw AS value, count(*) AS affected FROM vr WHERE upper(city_raw) NOT IN ({', '.join(repr(c.upper()) for c in config.CITIES)}) GROUP BY 1",
     "dq_patterns": _with(_BASE, _PATTERNS) + "SELECT * FROM dqp",
     "match_patterns": _with(_BASE, _PAIRS, _MATCH_PATTERNS) + "SELECT * FROM mp",

@@ -420,7 +420,7 @@ def learned_tokens(lake: Lake) -> DataFrame:
 def learned_mappings(lake: Lake) -> DataFrame:
     """All three domains, from canonical values only."""
     found = mapping_learner.learn(lake.raw_vendors, extract.invoices(lake.spark, lake.sf_dir), config.Mappings.seed())
-    return found.withColumn("options", F.array_join("options", "|"))
+    return found.withColumn("options", F.array_join("options", "|")).drop("reason")
 
 
 @query
