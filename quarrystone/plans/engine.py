@@ -380,7 +380,7 @@ def ablation(spark: SparkSession, root: str, extracts: tuple[DataFrame, DataFram
     for step in "BC":
         if step == "C":
             simulated_review(engine, truth)
-            for r in engine.store.read("steward_patterns").where("kind NOT IN ('match_rule', 'value_mapping')").select("pattern_id").collect():
+            for r in engine.store.read("steward_patterns").where("kind IN ('acknowledge', 'record_fix')").select("pattern_id").collect():
                 engine.decide_pattern(r["pattern_id"], "approve", "ablation")
         result = engine.run(extracts=extracts, truth=truth)
         out.append({"step": step, **evaluate.resolution(engine.store.read("gold_vendor_xref"), truth).first().asDict(), "precision": result["match_precision"], "recall": result["match_recall"]})

@@ -42,12 +42,16 @@ class Budgeted:
             return None
 
 
-def ask_mappings(client: Budgeted, domain: str, values: list[str], options: list[str], per_call: int = 40) -> dict[str, tuple[str, float]]:
-    """canonical value and confidence of values; answers for other values are dropped, confidences clamped."""
+def ask_mappings(client: Budgeted, domain: str, values: list[str], options: list[str], per_call: int = 40) -> dict[str, tuple[str | None, float]]:
+    """canonical value (None: left out) and confidence of the values that were asked; answers for other values are
+    dropped, confidences clamped.  Values of a call that failed are missing, so that they can be asked again."""
     out = {}
     for at in range(0, len(values), per_call):
         part = values[at : at + per_call]
-        got = client.complete_json(f"Map each {domain} to one of the options or leave it out.", f"options: {options}\nvalues: {part}", MAPPING_SCHEMA) or {}
+        got = client.complete_json(f"Map each {domain} to one of the options or leave it out.", f"options: {options}\nvalues: {part}", MAPPING_SCHEMA)
+        if got is None:
+            continue
+        out.update(dict.fromkeys(part, (None, 0.0)))
         for d in got.get("decisions", []):
             if d.get("raw") in part and d.get("canonical"):
                 out[d["raw"]] = (d["canonical"], min(1.0, max(0.0, float(d.get("confidence", 0)))))
