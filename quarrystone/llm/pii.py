@@ -30,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.97
+#: Hash buckets by which words are filtered before a shuffle.
+TERM_BUCKETS = 1 << 18
 _OPEN, _SHUT, _SEP = "﷐", "﷑", "﷒"
 # The contract's patterns, written so that Java neither retries from inside a run nor recurses.
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -140,7 +142,11 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     n_te = both.groupBy("x.entity", "x.n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     pairs = written(n_te, "pairs")
     wanted = written(pairs.select("term").distinct(), "wanted")  # few: what else the corpus says isn't shuffled
-    said = docs.select("h", F.explode(_words(F.col("t"))).alias("term")).join(wanted, "term", "left_semi").distinct()
+    # No more than TERM_BUCKETS numbers are broadcast; they keep other words out.  Copies go before words are counted,
+    # so that counts are combined in each task.
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).alias("bucket")
+    near = F.broadcast(wanted.select(bucket).distinct())
+    said = docs.select("t").distinct().select(F.explode(_words(F.col("t"))).alias("term")).select("term", bucket).join(near, "bucket", "left_semi")
     n_t = said.groupBy("term").agg(F.count("*").alias("n_t"))
     n = F.lit(float(total))
     scored = pairs.join(n_t, "term").select("entity", "term", (F.ln(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.ln(n / F.col("n_e")), F.lit(1e-9))).alias("disclosure"))
