@@ -39,6 +39,8 @@ TOXIC_FROM = 0.7
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = set(".-_*~'^,/\\")
 SUBSTITUTE, DROP_LOOKALIKE, DROP_SEPARATOR, DOUBLE = 1.0, 4.0, 0.3, 0.7
+#: The ASCII signs that look like no letter.
+MUTE = "\"#%&')*,-./:;<=>?[\\]^_`{}~"
 TOKENS_KEPT = 200_000
 _SPACED = re.compile(r" \S \S \S(?: \S)+(?!\S)")
 _CLASS = np.zeros(256, np.uint8)
@@ -176,6 +178,7 @@ _PARTS = re.compile(rf"(?:(?![{re.escape(''.join(LOOKS_LIKE))}])[\W_])+")
 _OUTER = re.compile(r"^[\W_]++|(?<![\W_])[\W_]++$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TWICE = re.compile(r"(.)\1")
+_REPEATS = re.compile(r"(.)\1+")
 _THRICE = re.compile(r"(.)\1\1")
 #: Four or more single characters with a sign between each two.
 _SPELLED = re.compile(r"[^\W_](?:[\W_]+[^\W_]){3,}(?![^\W_])")
@@ -213,11 +216,16 @@ class ToxicityModel:
 
     def __post_init__(self):
         self.inside = re.compile("|".join(sorted((re.escape(w) for w in self.weights if len(w) >= 4), key=lambda w: (-len(w), w))) or r"(?!)")
+        self.shapes = {_REPEATS.sub(r"\1", w) for w in self.weights}
 
     def words_of(self, token: str) -> tuple[str, ...]:
-        """The weighted words of a small-letter token."""
+        """The weighted words of a small-letter token.  Mute signs around it say nothing.  Letters
+        are never dropped or exchanged, only repeated, so a token of letters can only say words of its own shape."""
+        token = token.strip(MUTE)
         if token in self.weights:
             return (token,)
+        if token.isalpha() and _REPEATS.sub(r"\1", token) not in self.shapes:
+            return ()
         found = {w for w in self.decoder.every(token) if w in self.weights}
         for m in _SPELLED.finditer(token) if any(map(str.isalpha, token)) else ():  # letter by letter, perhaps several words
             found.update(self.inside.findall(self.decoder.decode(m[0])))

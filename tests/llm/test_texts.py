@@ -132,6 +132,20 @@ def test_toxicity_awkward(spark, tox):
     assert toxicity.score(documents(spark, ["idiot"]), empty).first()["predicted"] == 0
 
 
+def test_tokens_of_letters_say_what_their_lattice_says():
+    counts = toxicity.trigram_counts("the quick idiot met a moron and said hello to the worthless loser")
+    weights = {"idiot": 3.0, "hello": 2.0, "moron": 3.0, "lose": 1.0}
+    model = toxicity.ToxicityModel(toxicity.Decoder(counts.astype(float), weights), weights, 1.0, 0.0)
+    r = random.Random(8)
+    for k in range(4000):
+        word = r.choice([*weights, "quick", "loser", "helo", "idot", "été"]) if k % 3 else "".join(r.choice("idothelmrns") for _ in range(6))
+        core = "".join(c * r.choice([1, 1, 1, 2, 3]) for c in word)
+        token = r.choice(["", "*", '"', "(", "!", "..."]) + core + r.choice(["", ",", ")", "!", "***", "!?", "\u2014"])
+        if core not in weights:
+            assert set(model.words_of(token)) == {w for w in model.decoder.every(token) if w in weights}, token
+        assert core not in weights or core in model.words_of(token)
+
+
 def test_viterbi_finds_the_cheapest_reading():
     import itertools
 
