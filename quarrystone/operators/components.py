@@ -17,8 +17,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable from each node of an edge.  Each round is written to the
     shared folder and the one before it removed; rounds grow with the logarithm of the longest path."""
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    seen = _print(e)
     while True:
-        before = _print(e)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -26,7 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         old, e = e, written(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
         discard(old)
-        if _print(e) == before:
+        before, seen = seen, _print(e)
+        if seen == before:
             leaves, roots = e.select(F.col("u").alias("node"), F.col("v").alias("component")), e.select(F.col("v").alias("node"), F.col("v").alias("component"))
             return on(leaves.unionByName(roots.distinct()), e)
 
