@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import pii
+from quarrystone.llm import pii, urls
 from quarrystone.llm.secrets import RULES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,5 +130,80 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
+def _crc32(text: str) -> tuple[str, str]:
+    """The unsigned crc32 of a string's UTF-8 bytes, and the table t that it reads."""
+    table = "(SELECT list(list_reduce([k] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY k) FROM range(256) AS r(k))"
+    octets = "list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))"
+    steps = f"list_transform([hex(encode({text}))], lambda x: list_reduce([4294967295] || {octets}, lambda c, b: xor(c // 256, t.crc[1 + CAST(xor(c, b) % 256 AS INT)])))[1]"
+    return f"xor({steps}, 4294967295)", f"t AS MATERIALIZED (SELECT {table} AS crc)"
+
+
+def _op11() -> str:
+    small = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    order = sorted(urls.RULES, key=lambda r: -len(r.name))
+    rule = "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in order) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in order) + " END"
+    left_out = ", ".join(f"'{w}'" for w in sorted(urls.rule_words(urls.RULES)))
+    return rf"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT *, {verdict} AS ruled FROM (SELECT *, {rule} AS rule FROM (
+       SELECT row_number() OVER () AS r, page_id, {small("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages))),
+text AS (SELECT regexp_replace({small("coalesce(html, '')")}, '(?s)<script.*?</script>|<style.*?</style>|<[^>]*>|&[a-z0-9#]+;', ' ', 'g') AS t FROM pages),
+counts AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '\p{{L}}+')) AS word FROM text) WHERE length(word) <= 20 GROUP BY word),
+total AS MATERIALIZED (SELECT ln(greatest(coalesce(sum(n), 0), 1)) AS log_n FROM counts),
+named AS MATERIALIZED (SELECT r, ruled, name FROM (SELECT r, ruled, unnest(list_transform(regexp_extract_all({small("host || '/' || path")}, '\p{{L}}+|[0-9]+'), lambda n: CASE WHEN regexp_matches(n, '^[0-9]') THEN '#' ELSE n END)) AS name FROM p)
+          WHERE name NOT IN ({left_out})),
+names AS MATERIALIZED (SELECT DISTINCT name, name <> '#' AND length(name) <= 63 AS short FROM named),
+pieces AS (SELECT name, fin, size, substr(name, fin - size + 1, size) AS word FROM (SELECT name, fin, unnest(range(1, least(20, fin) + 1)) AS size FROM (SELECT name, unnest(range(1, length(name) + 1)) AS fin FROM names WHERE short))),
+arcs AS MATERIALIZED (SELECT name, fin, list({{'size': size, 'cost': CAST(round(1e6 * CASE WHEN n IS NULL THEN log_n + size * ln(10) ELSE log_n - ln(n) END) AS BIGINT)}}) AS ways FROM total, pieces LEFT JOIN counts USING (word) GROUP BY name, fin),
+best AS (SELECT name, 0 AS i, [{{'c': 0::BIGINT, 'n': 0::BIGINT, 's': 0::BIGINT}}] AS b FROM names WHERE short
+         UNION ALL SELECT name, i + 1, list_append(b, list_min(list_transform(ways, lambda a: {{'c': b[i + 2 - a.size].c + a.cost, 'n': b[i + 2 - a.size].n + 1, 's': -a.size}}))) FROM best JOIN arcs USING (name) WHERE fin = i + 1),
+walk AS (SELECT name, b, i AS fin, CAST(NULL AS VARCHAR) AS word FROM best WHERE i = length(name)
+         UNION ALL SELECT name, b, fin + b[fin + 1].s, substr(name, fin + b[fin + 1].s + 1, -b[fin + 1].s) FROM walk WHERE fin > 0),
+words AS MATERIALIZED (SELECT name, word FROM walk WHERE word IS NOT NULL UNION ALL SELECT name, name FROM names WHERE NOT short),
+model AS MATERIALIZED (SELECT word, count(*) FILTER (ruled = 'block') AS b, count(*) FILTER (ruled = 'allow') AS a FROM named JOIN words USING (name) GROUP BY word),
+sums AS MATERIALIZED (SELECT coalesce(sum(a), 0) AS a, coalesce(sum(b), 0) AS b, count(*) FILTER (a + b > 0) + 1 AS v FROM model),
+weights AS (SELECT word, CAST(round(1e6 * (ln(model.b + 1) - ln(model.a + 1) + (ln(sums.a + v) - ln(sums.b + v)))) AS BIGINT) AS weight FROM model, sums),
+of_page AS (SELECT r, sum(weight) AS weight FROM named JOIN words USING (name) JOIN weights USING (word) GROUP BY r),
+prior AS (SELECT CAST(round(1e6 * (ln(count(*) FILTER (ruled = 'block') + 1) - ln(count(*) FILTER (ruled = 'allow') + 1))) AS BIGINT) AS prior FROM p)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN s > 0 THEN 'block' ELSE 'allow' END) AS verdict, CAST(s AS DOUBLE) / 1e6 AS score
+FROM (SELECT p.*, coalesce(weight, 0) + prior AS s FROM prior, p LEFT JOIN of_page USING (r))"""
+
+
+def _op12() -> str:
+    crc, crc_table = _crc32("k")
+    return rf"""
+WITH RECURSIVE {crc_table},
+runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, times, {crc} AS h FROM (SELECT run, times, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM runs), t),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT a.word AS word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT w.word AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (SELECT word, word AS last, 0 AS d FROM forms UNION ALL SELECT chain.word, form, d + 1 FROM chain JOIN forms ON forms.word = last WHERE form IS NOT NULL),
+roots AS (SELECT word, arg_max(last, d) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+
+def _op13() -> str:
+    crc, crc_table = _crc32("CAST(c AS VARCHAR)")
+    return rf"""
+WITH {crc_table},
+turns AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k, {{'role': role, 'text': text}} AS said
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS MATERIALIZED (SELECT c, c - c % 20 AS base, {crc} % 4 AS h FROM (SELECT DISTINCT c FROM turns), t),
+again AS (SELECT convs.c AS c, 0 AS part, k, said FROM convs JOIN turns ON turns.c = base AND k <= h UNION ALL SELECT convs.c, 1, k, said FROM convs JOIN turns ON turns.c = convs.c AND k > h),
+paths AS MATERIALIZED (SELECT convs.c AS c, coalesce(list(said ORDER BY part, k) FILTER (said IS NOT NULL), []) AS path FROM convs LEFT JOIN again ON again.c = convs.c GROUP BY convs.c),
+occurs AS MATERIALIZED (SELECT c, d, path[1 : d] AS prefix, len(path) AS l FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+nodes AS MATERIALIZED (SELECT prefix, d, min(c) AS c, count(*) AS n, bool_and(l = d) AS childless, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (l = d), '') AS ends,
+          (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(prefix[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM occurs GROUP BY prefix, d),
+below AS (SELECT prefix[1 : k] AS top, saved, childless, d - k AS away FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM nodes)),
+sums AS (SELECT top, sum(saved) AS saved, count(*) FILTER (childless) AS leaves, count(*) FILTER (away = 1) AS children FROM below GROUP BY top)
+SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, up.c AS parent_conv_id, x.n AS n_convs, s.children AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN sums s ON s.top = x.prefix LEFT JOIN nodes up ON x.d > 0 AND up.prefix = x.prefix[1 : x.d - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _op2(), "op4_suffix_dedup": _OP4, "op6_decontamination": _OP6, "op7_minhash_dedup": _OP7, "op8_pii": _op8(), "op9_exact_topk": _OP9}
+    return {"op2_secret_scan": _op2(), "op4_suffix_dedup": _OP4, "op6_decontamination": _OP6, "op7_minhash_dedup": _OP7, "op8_pii": _op8(), "op9_exact_topk": _OP9, "op11_url_filter": _op11(), "op12_spelling_variants": _op12(), "op13_prefix_trie": _op13()}

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import decontaminate, language, minhash, packing, pii, secrets, substrings, token_counts, topk, toxicity
+from quarrystone.llm import conversations, decontaminate, language, minhash, packing, pii, secrets, spelling, substrings, token_counts, topk, toxicity, urls
 from quarrystone.llm.base import fold, table
 from quarrystone.llm.oracle import oracle_sql
 
@@ -63,5 +63,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op9_exact_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_decontamination, op7_minhash_dedup, op8_pii, op9_exact_topk, op10_packing, op11_url_filter, op12_spelling_variants, op13_prefix_trie)}

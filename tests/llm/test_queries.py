@@ -15,6 +15,7 @@ from quarrystone.llm import language, oracle, packing, queries, token_counts, to
 from tests.llm.cases import awkward, documents, prose
 from tests.llm.test_groups import changed, contamination_by_force, near_by_force
 from tests.llm.test_texts import ALPHABETS, BAD
+from tests.llm.test_words import LINKS, conversation_rows, pages
 
 LANGS = sorted(ALPHABETS)
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,6 +47,8 @@ def lake(spark, tmp_path_factory):
     g = np.random.default_rng(2)
     vectors = [(i, [float(np.float32(x)) for x in g.normal(size=8)], 0) for i in range(260)] + [(260, None, 0), (300, [None] * 8, 0), (350, [float("nan")] * 8, 0)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    pages(spark, LINKS).select("page_id", "url", "html").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(conversation_rows(4, 120) + [(-7, None, None, None), (None, 0, "u", "x"), (901, 0, "u", "a"), (901, 0, "u", "a")], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder, texts, langs, toxic, items
 
 
@@ -54,7 +57,7 @@ def test_queries_equal_their_sql(spark, lake, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{lake[0]}/{t}.parquet/*.parquet'")
     got, want = queries.queries()[name](spark, lake[0]), c.sql(oracle.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
