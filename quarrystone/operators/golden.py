@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quarrystone import config
 from quarrystone.functions.similarity import token_sort_ratio
 from quarrystone.operators.matching import valid_tax
-from quarrystone.sources.scratch import written
+from quarrystone.sources.scratch import discard, on, written
 
 GOLD_COLUMNS = ("master_key", "vendor_name", "vendor_name_norm", "tax_id", "country_iso2", "city", "street", "phone", "email", "bank_account", "phone_token", "email_token", "bank_token", "source_systems", "member_count")
 
@@ -26,30 +26,31 @@ def assign_master_keys(clusters: DataFrame, previous: DataFrame | None = None) -
         base = previous.agg(F.coalesce(F.max(number), F.lit(0).cast("long"))).first()[0]
         votes = clusters.join(previous.dropDuplicates(["record_key"]), "record_key").groupBy("cluster", "master_key").agg(F.count("*").alias("votes"))
         votes = written(votes.join(size, "cluster"), "votes")
-        # A vote nobody disputes is settled by itself; clusters that share a wanted key are settled together.
-        from quarrystone.operators.components import components
-
-        edges = votes.select(F.concat(F.lit("c|"), "cluster").alias("a"), F.concat(F.lit("k|"), "master_key").alias("b"))
-        group = components(edges).where("node LIKE 'c|%'").select(F.expr("substring(node, 3)").alias("cluster"), F.col("component").alias("_group"))
-
-        def settle(pdf):
-            import pandas as pd
-
-            used, out = set(), []
-            for (_, cluster), rows in sorted(pdf.groupby(["n", "cluster"]), key=lambda x: (-x[0][0], x[0][1])):
-                free = [(-r.votes, r.master_key) for r in rows.itertuples() if r.master_key not in used]
-                if free:
-                    used.add(min(free)[1])
-                    out.append((cluster, min(free)[1]))
-            return pd.DataFrame(out, columns=["cluster", "master_key"])
-
-        taken = written(votes.join(group, "cluster").groupBy("_group").applyInPandas(settle, "cluster string, master_key string"), "taken")
+        taken = settled_keys(votes)
     rest = size if taken is None else size.join(taken, "cluster", "left_anti")
     numbered = numbered_rows(rest, [F.desc("n"), F.asc("cluster")])
     new = numbered.select("cluster", F.concat(F.lit(config.MASTER_KEY_PREFIX), F.lpad((F.col("_no") + base).cast("string"), 6, "0")).alias("master_key"))
     return new if taken is None else taken.unionByName(new)
 
 
+def settled_keys(votes: DataFrame) -> DataFrame:
+    """(cluster, master_key) from votes (cluster, master_key, votes, n), by deferred acceptance: each cluster asks for
+    the key with most votes that hasn't refused it, each key keeps the first of those who ask (by size, then
+    name) and refuses everybody behind that one for good.  As all keys rank clusters alike, the end is what comes of
+    letting the clusters choose one after the other.  A round is two grouped minima and a join; a key that
+    everybody wants, or a cluster that wants every key, is combined ahead of the shuffle."""
+    left, n = votes, votes.count()
+    rank = F.struct((-F.col("n")).alias("size"), "cluster")
+    while True:
+        asks = left.groupBy("cluster").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "master_key"))["master_key"].alias("master_key"), F.first("n").alias("n"))
+        kept = asks.groupBy("master_key").agg(F.min(rank).alias("_first"))
+        old, left = left, written(left.join(kept, "master_key", "left").where(F.col("_first").isNull() | (rank <= F.col("_first"))).drop("_first"), "votes")
+        discard(old)
+        before, n = n, left.count()
+        if n == before:
+            return left.groupBy("cluster").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "master_key"))["master_key"].alias("master_key"))
+
+
 def numbered_rows(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with _no, 1, 2, ... in a total order, without a window over everything: rows are range-partitioned, sorted
     and numbered inside each partition; only the partitions' sizes are added up in one place."""
@@ -58,7 +59,8 @@ def numbered_rows(df: DataFrame, order: list[Column]) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # One row for each partition: as small as the number of tasks.
-    return ranged.withColumn("_at", F.row_number().over(inside)).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("_no", F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+    out = ranged.withColumn("_at", F.row_number().over(inside)).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("_no", F.col("_before") + F.col("_at"))
+    return on(out.drop("_part", "_before", "_at"), ranged)
 
 
 def ranked_members(vendors: DataFrame, keys: DataFrame) -> DataFrame:

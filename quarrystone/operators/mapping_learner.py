@@ -1,9 +1,10 @@
 """Learning value mappings: for each value that nothing maps, a canonical value, how sure it is, and who says so.
 
 An earlier answer of the assistant comes first, then a spelling close enough by rule; a name token may also get the
-best guess, for a steward to judge.  Proposals are validated; valid and sure ones are approved by policy, the others
-go to stewards with a reason and up to five options.  Words of the vocabulary meet tokens in an equi-join on first
-letter and length (within `GUESS_LENGTH`); cities, currencies and legal forms are short literal lists.
+most similar core word, if it has the same first letter, for a steward to judge.  Proposals are validated; valid and
+sure ones are approved by policy, the others go to stewards with a reason and the five most similar options.  Tokens meet
+core words of any length by an exact search (`operators.nearest`), so abbreviations find what they stand for; cities,
+currencies and legal forms are short literal lists.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import functions as F
 from quarrystone import config
 from quarrystone.config import Mappings
 from quarrystone.functions.similarity import token_sort_ratio
+from quarrystone.operators.nearest import nearest_words
 from quarrystone.operators.profiling import valid_canonical, vocabulary
 from quarrystone.sources.scratch import written
 
 ANSWERS = "domain string, raw string, canonical string, confidence double"
-#: Lengths of guesses for a token differ by no more; a legal form needs this similarity.
-GUESS_LENGTH = 3
+#: A legal form needs this similarity.
 LEGAL_SIMILARITY = 0.75
 OPTIONS = 5
 #: Letters by which a close spelling may be longer or shorter.
@@ -41,12 +42,6 @@ def _literals(open_: DataFrame, domain: str, canonical: list[str]) -> DataFrame:
     return open_.where(F.col("domain") == domain).select("domain", "raw", F.explode(words).alias("x")).select("domain", "raw", "x.canonical", "x.word")
 
 
-def _tokens(open_: DataFrame, core: DataFrame) -> DataFrame:
-    near = open_.where("domain = 'token'").select("domain", "raw", F.substring("raw", 1, 1).alias("first"), F.explode(F.sequence(F.length("raw") - GUESS_LENGTH, F.length("raw") + GUESS_LENGTH)).alias("size"))
-    words = core.select(F.col("token").alias("word"), F.substring("token", 1, 1).alias("first"), F.length("token").alias("size"))
-    return near.join(words, ["first", "size"]).select("domain", "raw", F.col("word").alias("canonical"), "word")
-
-
 def learn(vendors: DataFrame, invoices: DataFrame, mappings: Mappings, answers: DataFrame | None = None) -> DataFrame:
     """vendors: vendor_name, city_raw; invoices: currency_raw; answers: domain, raw, canonical, confidence.  Gives
     domain, raw, canonical, confidence, affected, source (assistant, rule or none), options, reason, approved."""
@@ -57,14 +52,18 @@ def learn(vendors: DataFrame, invoices: DataFrame, mappings: Mappings, answers:
     if known := sorted(mappings.known("token")):
         open_ = open_.where(~((F.col("domain") == "token") & F.col("raw").isin(known)))
     open_ = written(open_, "open")  # read by each of the joins below
-    pairs = _literals(open_, "city", list(config.CITIES)).unionByName(_literals(open_, "currency", list(config.VALID_CURRENCIES))).unionByName(_tokens(open_, core))
+    pairs = _literals(open_, "city", list(config.CITIES)).unionByName(_literals(open_, "currency", list(config.VALID_CURRENCIES)))
     legal = open_.where((F.col("domain") == "token") & (F.length("raw") > 2)).select("raw", F.explode(F.lit(list(config.LEGAL_TOKENS))).alias("canonical"))
     legal = legal.where(F.substring("raw", 1, 1) == F.substring("canonical", 1, 1)).groupBy("raw").agg(F.max(token_sort_ratio(F.col("raw"), F.col("canonical"))).alias("legal"))
-    scored = pairs.withColumn("s", F.round(token_sort_ratio(F.col("raw"), F.col("word")), 4))
-    spelled = (F.col("domain") != "currency") & (F.col("s") >= config.FUZZY_APPROVE) & (F.substring("raw", 1, 1) == F.substring("word", 1, 1)) & (F.abs(F.length("raw") - F.length("word")) <= FUZZY_LENGTH)
-    order = F.struct((-F.col("s")).alias("s"), "canonical")
-    # The words of one value are bounded by the lists, or by the core words of a letter and seven lengths.
-    best = scored.groupBy("domain", "raw").agg(F.min(order).alias("best"), F.min(F.when(spelled, order)).alias("near"), F.slice(F.array_sort(F.collect_list(order)), 1, OPTIONS).alias("top"))
+    order = F.struct((-token_sort_ratio(F.col("raw"), F.col("word"))).alias("s"), "canonical")
+    # The words of one value are bounded by the lists.
+    literal = pairs.groupBy("domain", "raw").agg(F.array_sort(F.collect_list(order)).alias("all")).select("domain", "raw", F.transform(F.slice("all", 1, OPTIONS), lambda x: F.struct((-x["s"]).alias("s"), x["canonical"].alias("canonical"))).alias("top"))
+    tokens = nearest_words(open_.where("domain = 'token'").select("raw"), core, OPTIONS)
+    tokens = tokens.select(F.lit("token").alias("domain"), "raw", F.transform("top", lambda x: F.struct(x["similarity"].alias("s"), x["word"].alias("canonical"))).alias("top"))
+    best = literal.unionByName(tokens).withColumn("best", F.get("top", F.lit(0)))
+    same_first = F.substring("raw", 1, 1) == F.upper(F.substring("best.canonical", 1, 1))
+    spelled = (F.col("domain") != "currency") & (F.col("best.s") >= config.FUZZY_APPROVE) & same_first & (F.abs(F.length("raw") - F.length("best.canonical")) <= FUZZY_LENGTH)
+    best = best.withColumn("spelled", spelled).withColumn("same_first", same_first)
     told = (answers if answers is not None else open_.sparkSession.createDataFrame([], ANSWERS)).select("domain", "raw", F.col("canonical").alias("said"), F.col("confidence").alias("sure"))
     df = open_.join(best, ["domain", "raw"], "left").join(told, ["domain", "raw"], "left").join(legal, "raw", "left")
     guess = F.struct(F.lit(None).cast("string").alias("canonical"), F.lit(0.0).alias("confidence"), F.lit("none").alias("source"))
@@ -72,9 +71,9 @@ def learn(vendors: DataFrame, invoices: DataFrame, mappings: Mappings, answers:
     is_token = F.col("domain") == "token"
     chosen = (
         F.when(F.col("said").isNotNull(), pick(F.col("said"), F.col("sure"), "assistant"))
-        .when(F.col("near").isNotNull(), pick(F.col("near.canonical"), -F.col("near.s"), "rule"))
+        .when(F.col("spelled"), pick(F.col("best.canonical"), F.col("best.s"), "rule"))
         .when(is_token & (F.col("legal") >= LEGAL_SIMILARITY), pick(F.lit(config.LEGAL_MARK), F.col("legal"), "rule"))
-        .when(is_token & F.col("best").isNotNull(), pick(F.col("best.canonical"), -F.col("best.s"), "rule"))
+        .when(is_token & F.col("same_first"), pick(F.col("best.canonical"), F.col("best.s"), "rule"))
         .otherwise(guess)
     )
     df = df.select("domain", "raw", "affected", chosen.alias("x"), F.coalesce(F.transform("top", lambda t: t["canonical"]), F.expr("cast(array() as array<string>)")).alias("options"))

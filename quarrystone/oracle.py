@@ -6,7 +6,7 @@ from quarrystone import config
 from quarrystone.config import CITY_ALIASES, COUNTRIES, LEGAL_TOKENS, NAME_ABBREVIATIONS
 from quarrystone.functions.privacy import pads, secret_key
 from quarrystone.operators.rules import ANOMALY, RULES
-from quarrystone.sources.extract import INVOICES_SQL, VENDORS_SQL
+from quarrystone.sources.extract import INVOICES_SQL, SPELLED_SQL, VENDORS_SQL
 
 _AS_OF = f"DATE '{config.AS_OF}'"
 
@@ -159,16 +159,15 @@ open AS (SELECT 'city' AS domain, upper(trim(city_raw)) AS raw, count(*) AS affe
   UNION ALL SELECT 'currency', upper(trim(currency_raw)), count(*) FROM ir WHERE trim(currency_raw) <> '' AND upper(trim(currency_raw)) NOT IN ({", ".join(map(repr, config.VALID_CURRENCIES))}) GROUP BY 2
   UNION ALL SELECT 'token', token, names FROM vo WHERE kind = 'rare'),
 words AS (SELECT domain, raw, unnest({_list(list(config.CITIES))}) AS canonical FROM open WHERE domain = 'city' UNION ALL SELECT domain, raw, unnest({_list(list(config.VALID_CURRENCIES))}) FROM open WHERE domain = 'currency'
-  UNION ALL SELECT domain, raw, token FROM open JOIN vo ON domain = 'token' AND kind = 'core' AND substr(token, 1, 1) = substr(raw, 1, 1) AND abs(length(token) - length(raw)) <= 3
+  UNION ALL SELECT domain, raw, token FROM open JOIN vo ON domain = 'token' AND kind = 'core'
   UNION ALL SELECT 'legal', raw, unnest({_list(LEGAL_TOKENS)}) FROM open WHERE domain = 'token' AND length(raw) > 2),
 sorted AS (SELECT *, array_to_string(list_sort(string_split(raw, ' ')), ' ') AS x, array_to_string(list_sort(string_split(upper(canonical), ' ')), ' ') AS y FROM words),
-scored AS (SELECT domain, raw, canonical, {_SIM} AS sim, round({_SIM}, 4) AS s FROM sorted),
+scored AS (SELECT domain, raw, canonical, {_SIM} AS sim FROM sorted),
 legal AS (SELECT raw, max(sim) AS sim FROM scored WHERE domain = 'legal' AND substr(raw, 1, 1) = substr(canonical, 1, 1) GROUP BY 1 HAVING max(sim) >= 0.75),
-best AS (SELECT domain, raw, list(canonical ORDER BY s DESC, canonical)[1 : 5] AS options, list(canonical ORDER BY s DESC, canonical)[1] AS best, max(s) AS best_s,
-  list(canonical ORDER BY s DESC, canonical) FILTER (near) AS close, max(s) FILTER (near) AS close_s
-  FROM (SELECT *, domain <> 'currency' AND s >= 0.85 AND substr(raw, 1, 1) = substr(upper(canonical), 1, 1) AND abs(length(raw) - length(canonical)) <= 2 AS near FROM scored WHERE domain <> 'legal') GROUP BY 1, 2),
-learned AS (SELECT domain, raw, affected, CASE WHEN close_s IS NOT NULL THEN close[1] WHEN domain <> 'token' THEN NULL WHEN legal.sim IS NOT NULL THEN '{config.LEGAL_MARK}' ELSE best END AS canonical,
-  coalesce(round(CASE WHEN close_s IS NOT NULL THEN close_s WHEN domain <> 'token' THEN NULL ELSE coalesce(legal.sim, best_s) END, 3), 0.0) AS confidence, options
+best AS (SELECT domain, raw, options, best, best_s, substr(raw, 1, 1) = substr(upper(best), 1, 1) AS first, domain <> 'currency' AND best_s >= 0.85 AND first AND abs(length(raw) - length(best)) <= 2 AS near
+  FROM (SELECT domain, raw, list(canonical ORDER BY sim DESC, canonical)[1 : 5] AS options, list(canonical ORDER BY sim DESC, canonical)[1] AS best, max(sim) AS best_s FROM scored WHERE domain <> 'legal' GROUP BY 1, 2)),
+learned AS (SELECT domain, raw, affected, CASE WHEN near THEN best WHEN domain <> 'token' THEN NULL WHEN legal.sim IS NOT NULL THEN '{config.LEGAL_MARK}' WHEN first THEN best END AS canonical,
+  coalesce(round(CASE WHEN near THEN best_s WHEN domain <> 'token' THEN NULL WHEN legal.sim IS NOT NULL THEN legal.sim WHEN first THEN best_s END, 3), 0.0) AS confidence, options
   FROM open LEFT JOIN best USING (domain, raw) LEFT JOIN legal ON legal.raw = open.raw AND domain = 'token'),
 lm AS (SELECT domain, raw, canonical, confidence, affected, CASE WHEN canonical IS NULL THEN 'none' ELSE 'rule' END AS source, coalesce(array_to_string(options, '|'), '') AS options, canonical IS NOT NULL AND confidence >= 0.9 AS approved FROM learned)"""
 _SHAPE = "substr(regexp_replace(regexp_replace(value, '\\p{L}', 'A', 'g'), '[0-9]', '9', 'g'), 1, 24)"
@@ -243,6 +242,7 @@ ORACLE = {
     "learned_tokens": _with(_BASE, _VOCAB.replace("{c}", "vendor_name").replace("{t}", "vr")) + f""", q AS (SELECT a.token AS x, b.token AS y, a.names FROM vo a JOIN vo b ON a.kind = 'rare' AND b.kind = 'core' AND substr(a.token, 1, 1) = substr(b.token, 1, 1) AND abs(length(a.token) - length(b.token)) <= 2),
       s AS (SELECT x, y, names, round({_SIM}, 4) AS s FROM q) SELECT x AS raw, y AS canonical, s AS similarity, names AS affected FROM s WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) = 1""",
     "learned_mappings": _LEARNED + " SELECT * FROM lm",
+    "learned_abbreviations": _LEARNED.replace(f"vr AS MATERIALIZED ({VENDORS_SQL})", f"vr AS MATERIALIZED (SELECT * REPLACE ({SPELLED_SQL} AS vendor_name) FROM ({VENDORS_SQL}) z)") + " SELECT * FROM lm WHERE domain = 'token'",
     "mapping_patterns": _LEARNED + """, b AS (SELECT *, canonical IS NULL AND affected >= 5 AS asks, CASE WHEN canonical IS NULL AND affected >= 5 THEN domain || ':' || raw WHEN canonical IS NULL THEN 'TAIL'
       ELSE 'BATCH:' || domain || ':' || source || ':' || CASE WHEN confidence >= 0.75 THEN 'confident' ELSE 'uncertain' END END AS signature FROM lm WHERE NOT approved AND (canonical IS NOT NULL OR domain <> 'currency'))
       SELECT 'P-' || substr(sha1(CASE WHEN asks THEN 'MAP:' || signature ELSE signature || ':' || string_agg(DISTINCT raw, ',' ORDER BY raw) END), 1, 10) AS pattern_id, CASE WHEN asks THEN 'value_mapping' ELSE 'mapping_batch' END AS kind, signature,
@@ -257,10 +257,14 @@ ORACLE = {
       SELECT CAST(run_at AS TIMESTAMP) AS run_at, object, 'AL02' AS alert_id, 'medium' AS severity, 'n' AS metric, round(value - p, 6) AS value FROM w WHERE value - p > 5 UNION ALL SELECT CAST(run_at AS TIMESTAMP), object, 'AL01', 'high', 'n', round(value - p, 6) FROM w WHERE p - value > 5
       UNION ALL SELECT CAST(run_at AS TIMESTAMP), object, 'AL03', 'high', 'n', round(value, 6) FROM w WHERE value < 3""",
     "run_metrics": _ALERTS + f""", card AS ({_CARD}) SELECT (SELECT count(*) FROM {_KEYS}) AS records, (SELECT round(1 - avg((record_key IN (SELECT record_key FROM flags))::INT), 4) FROM {_KEYS}) AS pass_rate, (SELECT count(*) FROM flags WHERE rule_id = 'A01') AS anomalies,
-      (SELECT rule_id FROM card ORDER BY pass_rate, rule_id LIMIT 1) AS worst_rule, (SELECT min(pass_rate) FROM card) AS worst_rule_pass_rate, (SELECT count(*) FROM alerts WHERE issues <> '') AS suspect_merges,
+      (SELECT rule_id FROM card ORDER BY pass_rate, rule_id LIMIT 1) AS worst_rule, (SELECT min(pass_rate) FROM card) AS worst_rule_pass_rate, (SELECT count(*) FROM alerts WHERE issues <> '') AS suspect_golden_records,
       (SELECT round(count(*) FILTER (WHERE record_key IN (SELECT record_key FROM flags)) / count(*), 4) FROM i) AS quarantine_rate""",
 }
 
 
+#: A stream's result is that of the whole history.
+ORACLE["stream_alerts"] = ORACLE["run_delta_alerts"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -8,6 +8,7 @@ import uuid
 from dataclasses import asdict
 from datetime import date, datetime, timezone
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ INBOXES = {
     "unmerge": {"record_key": None},
     "rule": {"sentence": None},
 }
+PROCESSED = "inbox string, id string, status string, at timestamp"
 EVENTS = "run_id string, stage string, action string, detail string, records long, at timestamp"
 
 
@@ -103,6 +105,11 @@ class Engine:
 
     # --- a run ----------------------------------------------------------------------------------------------------
     def run(self, as_of: date = config.AS_OF, extracts: tuple[DataFrame, DataFrame] | None = None, truth: DataFrame | None = None) -> dict:
+        """Everything from landing to alerts.  All tables of a run appear together, when it has ended."""
+        with self.store.commit():
+            return self._run(as_of, extracts, truth)
+
+    def _run(self, as_of: date, extracts: tuple[DataFrame, DataFrame] | None, truth: DataFrame | None) -> dict:
         run_id, put = uuid.uuid4().hex[:12], self.store.write
         raw_vendors, raw_invoices = self.take(*extracts) if extracts else self.ingest()
         proposals = self.learn(raw_vendors, raw_invoices, run_id) if self.profile.library_rules else None
@@ -185,7 +192,7 @@ class Engine:
     def _watch(self, run_id: str, metrics: dict, vendors: DataFrame, invoices: DataFrame, flags: DataFrame, card: DataFrame, before: DataFrame) -> list[str]:
         """Append this run's metrics; raise what the alert rules find against the run before."""
         at, schema = _now(), "run_id string, run_at timestamp, object string, metric string, value double"
-        names = ("pass_rate", "anomalies", "worst_rule_pass_rate", "quarantine_rate", "suspect_merges")
+        names = ("pass_rate", "anomalies", "worst_rule_pass_rate", "quarantine_rate", "suspect_golden_records")
         rows = [(run_id, at, "run", n, float(metrics[n])) for n in names]
         keys = vendors.select("record_key").unionByName(invoices.select("record_key"))
         bad = flags.select("record_key").distinct().withColumn("_bad", F.lit(1))
@@ -222,10 +229,14 @@ class Engine:
 
     # --- stewards -------------------------------------------------------------------------------------------------
     def decide_pattern(self, pattern_id: str, decision: str, reviewer: str, note: str = "", canonical: str | None = None) -> str:
-        """Approve or reject a pattern: approving puts its items into the library.  A question about one value needs
-        a canonical one, which has to be allowed."""
+        """Approve or reject a pattern: approving puts its items into the library, in one commit with the decision.  A
+        question about one value needs a canonical one, which has to be allowed."""
         if decision not in DECISIONS:
             raise ValueError("decision is approve or reject")
+        with self.store.commit():
+            return self._decide_pattern(pattern_id, decision, reviewer, note, canonical)
+
+    def _decide_pattern(self, pattern_id: str, decision: str, reviewer: str, note: str, canonical: str | None) -> str:
         head = self.store.read("steward_patterns").where(F.col("pattern_id") == pattern_id).first()
         if head is None:
             raise KeyError(pattern_id)
@@ -251,12 +262,18 @@ class Engine:
         self.store.append("pattern_decisions", self.spark.createDataFrame(done, PATTERN_DECISIONS))
         return item
 
-    @staticmethod
-    def _answered(own: DataFrame, canonical: str | None) -> DataFrame:
-        """The one mapping of a question, with a canonical value that its domain allows."""
+    def _answered(self, own: DataFrame, canonical: str | None) -> DataFrame:
+        """The one mapping of a question, with a canonical value that its domain allows: for a token the legal mark or any
+        core word of the vendors' names, whatever was offered."""
         row = own.first()
-        allowed = {"city": list(config.CITIES), "currency": list(config.VALID_CURRENCIES)}.get(row["domain"], [*row["options"], config.LEGAL_MARK])
-        if canonical not in allowed:
+        if row["domain"] == "token":
+            words = profiling.vocabulary(self.store.read("bronze_vendors"), "vendor_name", self.mappings().known("token"))
+            ok = canonical == config.LEGAL_MARK or canonical is not None and not words.where((F.col("kind") == "core") & (F.col("token") == canonical)).isEmpty()
+            allowed = [*row["options"], config.LEGAL_MARK]
+        else:
+            allowed = {"city": list(config.CITIES), "currency": list(config.VALID_CURRENCIES)}[row["domain"]]
+            ok = canonical in allowed
+        if not ok:
             raise ValueError(f"{canonical!r} is no allowed {row['domain']}; choose from {allowed[:10]}")
         return own.withColumn("canonical", F.lit(canonical)).withColumn("confidence", F.lit(1.0))
 
@@ -272,9 +289,19 @@ class Engine:
         if decision not in ("match", "no_match", "unsure"):
             raise ValueError("decision is match, no_match or unsure")
         a, b = sorted((left, right))
+        self._known_records(a, b)
         self.store.append("steward_decisions", self.spark.createDataFrame([(a, b, decision, reviewer, note, _now())], library.DECISIONS))
 
+    def _known_records(self, *keys: str) -> None:
+        found = {r["record_key"] for r in self.store.read("silver_vendor", "record_key string").where(F.col("record_key").isin(*keys)).select("record_key").distinct().collect()}
+        if unknown := sorted(set(keys) - found):
+            raise KeyError(f"unknown record {', '.join(unknown)}")
+        if len(found) < len(keys):
+            raise ValueError("a pair is two records")
+
     def unmerge(self, record_key: str, reviewer: str, note: str = "") -> int:
+        """Keep a record apart from all others of its golden vendor; gives how many those are."""
+        self._known_records(record_key)
         items = library.cannot_link_items(self.store.read("gold_vendor_xref"), record_key)
         n = items.count()
         if n:
@@ -325,38 +352,37 @@ class Engine:
         return row[0]
 
     def apply_inbox(self, inbox: str, rows: DataFrame | None = None) -> int:
-        """Decisions from outside (rows) or from the stored inbox, each id once.  Each effect carries the row's id in
-        its note: if a run stopped after the effect and before the row was marked, the next one only marks it.  A row
-        that can't be applied is marked as failed and doesn't hold up those behind it."""
+        """Decisions from outside (rows) or from the stored inbox, each id once.  What a row changes and its mark, which
+        says what came of it, are one commit: a run that stops leaves both or neither.  A row that can't be applied
+        changes nothing, is marked as failed with the reason and doesn't hold up those behind it."""
         if rows is None:
             rows = self.store.read(f"inbox_{inbox}", "id string, fields string, submitted_at timestamp")
-        schema = "inbox string, id string, status string, at timestamp"
-        todo = library.unseen(rows, self.store.read("inbox_processed", schema), inbox).dropDuplicates(["id"]).orderBy("id").collect()  # typed in by people
+        todo = library.unseen(rows, self.store.read("inbox_processed", PROCESSED), inbox).dropDuplicates(["id"]).orderBy("id").collect()  # typed in by people
+        mark = lambda r, status: self.store.append("inbox_processed", self.spark.createDataFrame([(inbox, str(r["id"]), status, _now())], PROCESSED))
         for r in todo:
-            r = r.asDict()
-            r |= json.loads(r.get("fields") or "{}")
-            note, status = f"inbox:{inbox}:{r['id']}", "applied"
             try:
-                if not self._noted(inbox, note):
-                    self._act(inbox, r, note)
-            except (KeyError, ValueError) as e:
-                status = f"failed: {e}"
-            self.store.append("inbox_processed", self.spark.createDataFrame([(inbox, str(r["id"]), status, _now())], schema))
+                with self.store.commit():
+                    fields = {**r.asDict(), **json.loads(r.asDict().get("fields") or "{}")}
+                    mark(r, self._act(inbox, fields, f"inbox:{inbox}:{r['id']}"))
+            except (KeyError, ValueError, TypeError, AnalysisException, IllegalArgumentException) as e:  # what a row itself can cause
+                mark(r, f"failed: {e}")
         return len(todo)
 
-    def _act(self, inbox: str, r: dict, note: str) -> None:
+    def _act(self, inbox: str, r: dict, note: str) -> str:
+        """Do what a row asks for; gives what came of it."""
         if inbox == "pattern":
             self.decide_pattern(r["pattern_id"], r["decision"], r["reviewer"], note, r.get("canonical"))
         elif inbox == "pair":
             self.decide_pair(r["left_key"], r["right_key"], r["decision"], r["reviewer"], note)
         elif inbox == "unmerge":
-            self.unmerge(r["record_key"], r["reviewer"], note)
+            if not self.unmerge(r["record_key"], r["reviewer"], note):
+                return "alone already"
         else:
-            self.draft_rule(r["sentence"], True, False, r["reviewer"], note=note)
-
-    def _noted(self, inbox: str, note: str) -> bool:
-        table, schema = {"pattern": ("pattern_decisions", PATTERN_DECISIONS), "pair": ("steward_decisions", library.DECISIONS)}.get(inbox, ("rule_library", library.SCHEMA))
-        return not self.store.read(table, schema).where(F.col("note") == note).isEmpty()
+            said = self.draft_rule(r["sentence"], True, False, r["reviewer"], note=note)
+            preview = [(note, r["sentence"], said["status"], json.dumps(said, default=str, sort_keys=True), _now())]
+            self.store.append("rule_previews", self.spark.createDataFrame(preview, "note string, sentence string, status string, result string, previewed_at timestamp"))
+            return "applied" if said["status"] == "accepted" else said["status"]
+        return "applied"
 
 
 def _now() -> datetime:

@@ -15,7 +15,8 @@ from quarrystone.functions.similarity import token_sort_ratio
 from quarrystone.operators import components, evaluate, golden, learning, library, mapping_learner, matching, patterns, profiling, rules, sentinel, spend, standardize
 from quarrystone.operators.rules import ANOMALY, RULES, Rule
 from quarrystone.sources import extract
-from quarrystone.sources.scratch import written
+from quarrystone.sources.scratch import new_path, written
+from quarrystone.streaming import jobs
 
 AS_OF = config.AS_OF
 ALL_RULES = [*RULES, ANOMALY]
@@ -423,6 +424,14 @@ def learned_mappings(lake: Lake) -> DataFrame:
     return found.withColumn("options", F.array_join("options", "|")).drop("reason")
 
 
+@query
+def learned_abbreviations(lake: Lake) -> DataFrame:
+    """Tokens, where industries are written out but for one vendor in a hundred."""
+    vendors = lake.raw_vendors.withColumn("vendor_name", F.expr(extract.SPELLED_SQL))
+    found = mapping_learner.learn(vendors, extract.invoices(lake.spark, lake.sf_dir), config.Mappings.seed()).where("domain = 'token'")
+    return found.withColumn("options", F.array_join("options", "|")).drop("reason")
+
+
 @query
 def mapping_patterns(lake: Lake) -> DataFrame:
     found = mapping_learner.learn(lake.raw_vendors, extract.invoices(lake.spark, lake.sf_dir), config.Mappings.seed())
@@ -456,12 +465,37 @@ def library_active(lake: Lake) -> DataFrame:
     return last.where("status = 'active'").select("item_id", "library_version", "note")
 
 
+_WATCHED = [sentinel.AlertRule("AL02", "spike", "n", "rise_vs_previous", 5, "medium"), sentinel.AlertRule("AL01", "drop", "n", "drop_vs_previous", 5, "high"), sentinel.AlertRule("AL03", "low", "n", "below", 3, "high")]
+
+
+def _daily_events(lake: Lake) -> DataFrame:
+    daily = lake.table("events").groupBy(F.date_trunc("day", "ts").alias("run_at"), F.col("event_type").alias("object")).agg(F.count("*").cast("double").alias("value"))
+    return daily.withColumn("metric", F.lit("n"))
+
+
 @query
 def run_delta_alerts(lake: Lake) -> DataFrame:
-    e = lake.table("events")
-    daily = e.groupBy(F.date_trunc("day", "ts").alias("run_at"), F.col("event_type").alias("object")).agg(F.count("*").cast("double").alias("value"))
-    alert = [sentinel.AlertRule("AL02", "spike", "n", "rise_vs_previous", 5, "medium"), sentinel.AlertRule("AL01", "drop", "n", "drop_vs_previous", 5, "high"), sentinel.AlertRule("AL03", "low", "n", "below", 3, "high")]
-    return sentinel.history_alerts(daily.withColumn("metric", F.lit("n")), alert)
+    return sentinel.history_alerts(_daily_events(lake), _WATCHED)
+
+
+@query
+def stream_alerts(lake: Lake) -> DataFrame:
+    """The same as a stream of three deliveries, and a row of a year later, which lets the watermark pass the last day."""
+    daily, folder = written(_daily_events(lake), "daily"), new_path(lake.spark, "deliveries")
+    first, last = daily.agg(F.min("run_at"), F.max("run_at")).first()
+    if first is not None:
+        third = F.floor(3 * F.date_diff("run_at", F.lit(first)) / F.lit((last - first).days + 1))
+        for n in range(3):
+            daily.where(third == n).write.mode("append").parquet(folder)
+        closing = daily.agg((F.max("run_at") + F.expr("INTERVAL 365 DAYS")).alias("run_at"), F.lit("").alias("object"), F.lit(0.0).alias("value"), F.lit("").alias("metric"))
+        closing.write.mode("append").parquet(folder)
+    else:
+        daily.write.parquet(folder)
+    stream = lake.spark.readStream.schema(daily.schema).option("maxFilesPerTrigger", 8).parquet(folder)
+    out = new_path(lake.spark, "alerts")
+    alerts = jobs.change_alerts(stream, _WATCHED, "1 hour")
+    jobs.into_table(alerts, out, new_path(lake.spark, "checkpoint")).awaitTermination()
+    return lake.spark.read.schema(alerts.schema).parquet(out)
 
 
 @query

@@ -7,8 +7,12 @@ amounts, invalid and future dates, missing and unknown currencies, unknown vendo
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrystone.config import NAME_ABBREVIATIONS
+
 # The parts that vendor names are made of.
 STEMS = "Apex Nova Orion Zenith Vertex Summit Pioneer Atlas Quantum Sterling Horizon Cobalt Evergreen Falcon Meridian Crescent".split()
 PLACES = "Park Hill River Lake Forest Harbor Valley".split()
@@ -44,6 +48,10 @@ FROM (
   FROM (SELECT c_custkey AS k, {_div("c_custkey", 2)} AS t, {_div("c_custkey", 2)} % 5 AS ci FROM customer) a
 ) b"""
 
+#: The vendor's name with its industry written out, but for one vendor in a hundred.
+_WRITTEN_OUT = reduce(lambda x, pair: f"replace({x}, ' {pair[0]} ', ' {pair[1]} ')", NAME_ABBREVIATIONS.items(), "vendor_name")
+SPELLED_SQL = f"CASE WHEN CAST(source_vendor_id AS BIGINT) % 100 = 7 THEN vendor_name ELSE {_WRITTEN_OUT} END"
+
 _WHOLE = "substr(plain, 1, length(plain) - 3)"
 _GROUPED = (
     f"CASE WHEN length(plain) > 9 THEN substr(plain, 1, length(plain) - 9) || ',' || substr(plain, length(plain) - 8, 3) || ',' || substr(plain, length(plain) - 5)"

@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import hmac
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -317,8 +318,20 @@ def test_run_review_and_rerun(spark, made, tmp_path):
     apart = {k for k in again if keys[k] == member["master_key"]}
     assert all(again[k] != again[member["record_key"]] for k in apart - {member["record_key"]})
     assert row["pattern_id"] not in {r["pattern_id"] for r in e.store.read("steward_patterns").collect()}
-    inbox = spark.createDataFrame([("1", "a", "b", "match", "me")], "id string, left_key string, right_key string, decision string, reviewer string")
-    assert e.apply_inbox("pair", inbox) == 1 and e.apply_inbox("pair", inbox) == 0
+    a, b = sorted(keys)[:2]
+    rows = [("1", a, b, "match", "me"), ("2", a, "nobody", "match", "me"), ("3", a, b, "perhaps", "me"), ("4", a, a, "match", "me")]
+    inbox = spark.createDataFrame(rows, "id string, left_key string, right_key string, decision string, reviewer string")
+    assert e.apply_inbox("pair", inbox) == 4 and e.apply_inbox("pair", inbox) == 0
+    assert [(r["left_key"], r["right_key"], r["note"]) for r in e.store.read("steward_decisions").collect()] == [(a, b, "inbox:pair:1")]
+    alone = e.store.read("gold_vendor").where("member_count = 1").join(e.store.read("gold_vendor_xref"), "master_key").first()["record_key"]
+    for sentence in ("Invoice amount must be at most 150", "Good morning", "Invoice amount must be at most 900000000"):
+        e.submit("rule", "me", sentence=sentence)
+    for record in ("nobody", alone):
+        e.submit("unmerge", "me", record_key=record)
+    assert e.apply_inbox("rule") == 3 and e.apply_inbox("unmerge") == 2
+    said = Counter(r["status"].split(":")[0] for r in e.store.read("inbox_processed").collect())
+    assert said == {"applied": 2, "failed": 4, "blocked": 1, "not understood": 1, "alone already": 1}
+    assert e.store.read("rule_previews").count() == 3
     batch = e.store.read("steward_patterns").where("kind = 'mapping_batch'").first()
     before = e.mappings()
     e.submit("pattern", "me", pattern_id="nothing", decision="approve")
@@ -332,7 +345,7 @@ def test_run_review_and_rerun(spark, made, tmp_path):
     e.store.append = mark
     assert e.apply_inbox("pattern") == 2 and e.apply_inbox("pattern") == 0
     assert e.store.read("pattern_decisions").where(F.col("note") == f"inbox:pattern:{asked}").count() == 1
-    assert e.store.read("inbox_processed").where("status LIKE 'failed%'").count() == 1 and e.mappings() != before
+    assert e.store.read("inbox_processed").where("status LIKE 'failed%' AND inbox = 'pattern'").count() == 1 and e.mappings() != before
 
 
 def _land(frame, folder, entity):
