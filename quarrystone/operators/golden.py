@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +11,11 @@ from pyspark.sql.window import Window
 from quarrystone import config
 from quarrystone.functions.similarity import token_sort_ratio
 from quarrystone.operators.matching import valid_tax
+from quarrystone.operators.nearest import common
 from quarrystone.sources.scratch import discard, on, written
 
+#: Names less alike are an alert; names of a vendor that meet in a join of pairs, and of a block of many.
+DISSIMILAR, FEW_NAMES, NAMES_BLOCK = 0.6, 64, 512
 GOLD_COLUMNS = ("master_key", "vendor_name", "vendor_name_norm", "tax_id", "country_iso2", "city", "street", "phone", "email", "bank_account", "phone_token", "email_token", "bank_token", "source_systems", "member_count")
 
 
@@ -107,27 +112,89 @@ def build(vendors: DataFrame, clusters: DataFrame, previous: DataFrame | None =
     return first.join(modes, "master_key").select(*GOLD_COLUMNS), xref
 
 
-def cluster_alerts(vendors: DataFrame, xref: DataFrame) -> DataFrame:
+def _indel(masks: dict[str, int], size: int, other: str) -> int:
+    """Letters to delete and insert to make one word of the other: a metric."""
+    return size + len(other) - 2 * common(masks, size, other)
+
+
+def _masks(word: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, letter in enumerate(word):
+        out[letter] = out.get(letter, 0) | 1 << i
+    return out
+
+
+def least_similar(first: list[str], second: list[str] | None, pivot: str, below: float) -> float | None:
+    """The smallest similarity (four decimals) of a word of first and one of second, or of two words of first, if it
+    is below that number.  Letter edits are a metric, so the distances of both words to a pivot bound their own distance
+    from above; pairs are taken by that bound, and once it allows no less than the best, nothing behind it can."""
+    own = _masks(pivot)
+    away = lambda words: np.array([_indel(own, len(pivot), w) for w in words], np.int64)
+    size = lambda words: np.array([len(w) for w in words], np.int64)
+    one, other = first, first if second is None else second
+    total = size(one)[:, None] + size(other)[None, :]
+    bound = 1 - np.minimum(total, away(one)[:, None] + away(other)[None, :]) / np.maximum(total, 1)
+    if second is None:
+        bound[np.tril_indices(len(one))] = 2.0
+    places = np.argwhere(bound < below)
+    places = places[np.argsort(bound[places[:, 0], places[:, 1]], kind="stable")]
+    best, masks = below, {}
+    for i, j in places.tolist():
+        if bound[i, j] >= best:
+            break
+        mine = masks.get(i) or masks.setdefault(i, _masks(one[i]))
+        n = len(one[i]) + len(other[j])
+        best = min(best, round(1 - _indel(mine, len(one[i]), other[j]) / n, 4) if one[i] and other[j] else 0.0)
+    return best if best < below else None
+
+
+def _worst_in_blocks(names: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(master_key, worst) of vendors with many names (master_key, name; sizes: master_key, n, pivot): blocks of about
+    NAMES_BLOCK names meet each other and themselves, each two in a group of their own."""
+    blocks = F.ceil(F.col("n") / NAMES_BLOCK).cast("int")
+    rows = names.join(sizes.withColumn("blocks", blocks), "master_key").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("master_key", F.least("own", "met").alias("b1"), F.greatest("own", "met").alias("b2"), "own", "name", "pivot")
+
+    def compare(t: pa.Table) -> pa.Table:
+        first = t["b1"][0].as_py()
+        one = sorted(n for n, o in zip(t["name"].to_pylist(), t["own"].to_pylist(), strict=True) if o == first)
+        two = sorted(n for n, o in zip(t["name"].to_pylist(), t["own"].to_pylist(), strict=True) if o != first)
+        worst = least_similar(one, two if t["b2"][0].as_py() != first else None, t["pivot"][0].as_py(), DISSIMILAR)
+        found = [] if worst is None else [worst]
+        return pa.table({"master_key": pa.array([t["master_key"][0].as_py()][: len(found)], pa.string()), "worst": pa.array(found, pa.float64())})
+
+    return rows.groupBy("master_key", "b1", "b2").applyInArrow(compare, "master_key string, worst double").groupBy("master_key").agg(F.min("worst").alias("worst"))
+
+
+def cluster_alerts(vendors: DataFrame, xref: DataFrame, few_names: int = FEW_NAMES) -> DataFrame:
     """Golden vendors that look like false merges: several valid tax ids or countries or bank accounts, or names far
-    apart with nothing else in common.  Name pairs are those inside one golden vendor of bounded size."""
+    apart with nothing else in common.  The names of a vendor are compared by pairs if there are few; the least
+    similar two of many are searched for in blocks, so none are gathered in one row."""
     m = vendors.join(xref.select("master_key", "record_key"), "record_key")
     facts = m.groupBy("master_key").agg(
         F.count("*").alias("member_count"),
-        F.size(F.collect_set(F.when(valid_tax(F.col("tax_id")), F.col("tax_id")))).alias("taxes"),
-        F.size(F.collect_set("country_iso2")).alias("countries"),
-        F.size(F.collect_set("bank_token")).alias("banks"),
-        F.array_sort(F.collect_set(F.replace("vendor_name_norm", F.lit(" "), F.lit("")))).alias("names"),
+        F.count_distinct(F.when(valid_tax(F.col("tax_id")), F.col("tax_id"))).alias("taxes"),
+        (F.min("country_iso2") != F.max("country_iso2")).alias("countries"),
+        F.coalesce(F.min("bank_token") != F.max("bank_token"), F.lit(False)).alias("banks"),
+        F.max("bank_token").isNull().alias("no_bank"),
         F.array_join(F.array_sort(F.collect_list("record_key")), ",").alias("members"),
     ).where("member_count > 1")
-    names = facts.where(F.size("names") > 1).select("master_key", F.posexplode("names").alias("i", "a"), F.col("names").alias("all"))
-    pairs = names.select("master_key", "a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    names = m.select("master_key", F.replace("vendor_name_norm", F.lit(" "), F.lit("")).alias("name")).where("name IS NOT NULL").distinct()
+    names = written(names.join(facts.select("master_key"), "master_key", "left_semi"), "names")
+    sizes = names.groupBy("master_key").agg(F.count("*").alias("n"), F.min("name").alias("pivot")).where("n > 1")
+    small = names.join(sizes.where(F.col("n") <= few_names).select("master_key"), "master_key")
+    pairs = small.withColumnRenamed("name", "a").join(small.withColumnRenamed("name", "b"), "master_key").where("a < b")
     worst = pairs.groupBy("master_key").agg(F.min(F.round(token_sort_ratio(F.col("a"), F.col("b")), 4)).alias("worst"))
+    large = sizes.where(F.col("n") > few_names)
+    if not large.isEmpty():
+        worst = worst.unionByName(_worst_in_blocks(names, large))
     df = facts.join(worst, "master_key", "left")
     issues = F.concat_ws(
         "; ",
         F.when(F.col("taxes") > 1, F.concat(F.col("taxes").cast("string"), F.lit(" different valid tax IDs"))),
-        F.when(F.col("countries") > 1, "members in different countries"),
-        F.when(F.col("banks") > 1, "different bank accounts"),
-        F.when((F.col("worst") < 0.6) & (F.col("taxes") != 1) & (F.col("banks") != 1), F.concat(F.lit("dissimilar names (similarity "), F.format_string("%.2f", "worst"), F.lit(") and no shared tax ID or bank account"))),
+        F.when(F.col("countries"), "members in different countries"),
+        F.when(F.col("banks"), "different bank accounts"),
+        F.when((F.col("worst") < DISSIMILAR) & (F.col("taxes") != 1) & (F.col("banks") | F.col("no_bank")), F.concat(F.lit("dissimilar names (similarity "), F.format_string("%.2f", "worst"), F.lit(") and no shared tax ID or bank account"))),
     )
-    return df.select("master_key", issues.alias("issues"), "members", "member_count").where("issues <> ''")
+    return on(df.select("master_key", issues.alias("issues"), "members", "member_count").where("issues <> ''"), names)

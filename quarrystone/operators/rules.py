@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrystone import config
 from quarrystone.functions.text import constraint_name, source_of, sql_literal
+from quarrystone.sources.scratch import discard, written
+
+#: Amounts of a vendor whose median is taken in one task; parts of a histogram.
+HOT_ROWS, MEDIAN_BUCKETS = 1 << 18, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -111,12 +117,51 @@ def validate(rule: Rule, columns: list[str]) -> None:
         raise ValueError("allowed_values needs values")
 
 
-def outliers(invoices: DataFrame, multiplier: float = config.ANOMALY_MULTIPLIER, least: int = config.ANOMALY_MIN_HISTORY, vendor: str = "vendor_record_key", amount: str = "amount") -> DataFrame:
-    """(vendor, median, history) of vendors with enough positive amounts.  Exact percentiles keep a count for each
-    distinct value, combined before the shuffle, so a vendor with many rows doesn't meet in one place."""
-    positive = invoices.where((F.col(amount) > 0) & F.col(vendor).isNotNull())
-    stats = positive.groupBy(vendor).agg(F.percentile(amount, F.lit(0.5)).alias("median"), F.count("*").alias("history"))
-    return stats.where(F.col("history") >= least).withColumn("limit", F.col("median") * multiplier)
+def outliers(invoices: DataFrame, multiplier: float = config.ANOMALY_MULTIPLIER, least: int = config.ANOMALY_MIN_HISTORY, vendor: str = "vendor_record_key", amount: str = "amount", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(vendor, median, history) of vendors with enough positive amounts.  An exact percentile keeps a count for each
+    distinct value in one task; vendors of more than hot_rows amounts are counted first and go to `hot_medians`."""
+    positive = invoices.where((F.col(amount) > 0) & F.col(vendor).isNotNull()).select(vendor, amount)
+    history = positive.groupBy(vendor).agg(F.count("*").alias("history")).where(F.col("history") >= least)
+    hot = written(history.where(F.col("history") > hot_rows), "hot")
+    usual = positive if hot.isEmpty() else positive.join(hot.select(vendor), vendor, "left_anti")
+    stats = usual.groupBy(vendor).agg(F.percentile(amount, F.lit(0.5)).alias("median"), F.count("*").alias("history")).where(F.col("history") >= least)
+    if usual is not positive:
+        counts = positive.join(hot.select(vendor), vendor, "left_semi").groupBy(vendor, amount).agg(F.count("*").alias("n"))
+        stats = stats.unionByName(hot_medians(counts, vendor, amount).join(hot, vendor))
+    return stats.withColumn("limit", F.col("median") * multiplier)
+
+
+def hot_medians(counts: DataFrame, key: str, value: str, buckets: int = MEDIAN_BUCKETS) -> DataFrame:
+    """(key, median) from counts (key, value, n) of distinct values, by refining histograms.  Infinity ranks last.
+
+    A pass cuts each key's range into so many equal parts, counts them, and keeps the part or two that hold the middle
+    ranks with the number of rows below; it ends when no range holds more distinct values than a histogram has parts.
+    Then these are ranked.  No task ever holds more than that many rows of a key, and rows are only read again where the
+    ranges they fall into go on."""
+    largest = F.lit(sys.float_info.max)
+    mine = written(counts.select(F.col(key).alias("_key"), F.least(F.col(value), largest).alias("_value"), "n"), "counts")
+    whole = mine.groupBy("_key").agg(F.min("_value").alias("lo"), F.max("_value").alias("hi"), F.lit(0).cast("long").alias("below"), F.sum("n").alias("total"), F.count("*").alias("values"))
+    whole = whole.withColumn("first", F.floor((F.col("total") - 1) / 2)).withColumn("last", F.ceil((F.col("total") - 1) / 2))  # ranks from 0
+    ranges = written(whole.drop("total"), "ranges")
+    along = Window.partitionBy("_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.col("_value").between(F.col("lo"), F.col("hi"))
+    while not ranges.where(F.col("values") > buckets).isEmpty():
+        wide = mine.join(ranges.where(F.col("values") > buckets), "_key").where(inside)
+        part = F.least(F.floor((F.col("_value") - F.col("lo")) / (F.col("hi") / buckets - F.col("lo") / buckets)), F.lit(buckets - 1))
+        parts = wide.withColumn("part", part).groupBy("_key", "part", "below", "first", "last").agg(F.sum("n").alias("n"), F.min("_value").alias("lo"), F.max("_value").alias("hi"), F.count("*").alias("values"))
+        parts = parts.withColumn("below", F.col("below") + F.coalesce(F.sum("n").over(along), F.lit(0)))
+        parts = parts.where((F.col("below") <= F.col("last")) & (F.col("below") + F.col("n") > F.col("first")))
+        # The middle ranks are neighbours, so these are one part, or two with nothing between them.
+        refined = parts.groupBy("_key", "first", "last").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("below").alias("below"), F.sum("values").alias("values"))
+        old, ranges = ranges, written(ranges.where(F.col("values") <= buckets).unionByName(refined), "ranges")
+        discard(old)
+    ranked = mine.join(ranges, "_key").where(inside)
+    ranked = ranked.withColumn("from", F.col("below") + F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    value = F.when(F.col("_value") == largest, F.lit(float("inf"))).otherwise(F.col("_value"))
+    at = lambda rank: F.max(F.when((F.col("from") <= F.col(rank)) & (F.col("from") + F.col("n") > F.col(rank)), value))
+    out = written(ranked.groupBy("_key").agg((0.5 * at("first") + 0.5 * at("last")).alias("median")), "medians")
+    discard(mine, ranges)
+    return out.withColumnRenamed("_key", key)
 
 
 def with_context(invoices: DataFrame, vendors: DataFrame) -> DataFrame:

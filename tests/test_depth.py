@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrystone import config
-from quarrystone.operators import components, golden, mapping_learner, nearest, sentinel
+from quarrystone.operators import components, golden, mapping_learner, nearest, rules, sentinel
 from quarrystone.sources import store
 from quarrystone.streaming import jobs
 
@@ -147,6 +147,44 @@ def test_master_keys_equal_choosing_one_after_the_other(spark):
         assert {x["cluster"]: x["master_key"] for x in golden.settled_keys(df).collect()} == want
 
 
+# --- medians and least similar names ------------------------------------------------------------------------------
+def test_hot_medians_equal_percentiles(spark):
+    r = random.Random(7)
+    draw = {"even": lambda: r.choice([1.0, 2.0, 3.5, 9.25]), "wide": lambda: 10 ** r.uniform(-12, 12), "near": lambda: 1 + r.randrange(10**6) / 2**40, "odd": lambda: float("inf") if r.random() < 0.3 else r.random(), "inf": lambda: float("inf") if r.random() < 0.7 else 1.0}
+    rows = [(k, f()) for k, f in draw.items() for _ in range(301 if k == "odd" else 300)] + [("few", 2.0), ("few", 4.0), ("none", -1.0), (None, 3.0), ("one", 5.0), ("one", 5.0), ("one", 8.0)]
+    df = spark.createDataFrame(rows, "vendor_record_key string, amount double").repartition(5)
+    got, want = ({x["vendor_record_key"]: (x["median"], x["history"], x["limit"]) for x in rules.outliers(df, hot_rows=n).collect()} for n in (2, 1 << 18))
+    assert got == want and set(got) == {*draw, "one"}
+    counts = df.where("amount > 0").groupBy("vendor_record_key", "amount").agg(F.count("*").alias("n")).dropna()
+    fine = {x["vendor_record_key"]: x["median"] for x in rules.hot_medians(counts, "vendor_record_key", "amount", buckets=3).collect()}
+    assert {k: fine[k] for k in want} == {k: v[0] for k, v in want.items()}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(WORDS, unique=True, max_size=8), st.lists(WORDS, unique=True, max_size=8), WORDS)
+def test_least_similar_names_are_exact(one, two, pivot):
+    like = lambda a, b: round(2 * lcs(a, b) / (len(a) + len(b)), 4)
+    for second, pairs in ((two, [(a, b) for a in one for b in two]), (None, [(a, b) for n, a in enumerate(one) for b in one[n + 1 :]])):
+        worst = min((like(a, b) for a, b in pairs), default=1.0)
+        assert golden.least_similar(one, second, pivot, 0.6) == (worst if worst < 0.6 else None)
+
+
+def test_alerts_of_vendors_with_many_names(spark, monkeypatch):
+    r = random.Random(2)
+    rows = []
+    for g in range(5):
+        base = "".join(r.choice("ABCDEFGH") for _ in range(12))
+        for k in range(90):
+            name = "".join(c if r.random() < 0.9 else r.choice("XYZ") for c in base)
+            rows.append((f"S:{g}:{k:02d}", f"G{g}", "QQQQ WWWW EEEE" if (g, k) == (1, 50) else f"{name[:6]} {name[6:]}"))
+    rows += [("S:9", "G0", None), ("S:8", "G7", "ALONE")]
+    df = spark.createDataFrame(rows, "record_key string, master_key string, vendor_name_norm string").selectExpr("*", "CAST(NULL AS STRING) AS tax_id", "'IN' AS country_iso2", "CAST(NULL AS STRING) AS bank_token")
+    xref, vendors = df.select("master_key", "record_key"), df.drop("master_key")
+    monkeypatch.setattr(golden, "NAMES_BLOCK", 20)
+    found = [sorted(map(tuple, golden.cluster_alerts(vendors, xref, few_names=n).collect())) for n in (3, 1000)]
+    assert found[0] == found[1] and "G1" in {x[0] for x in found[0]}
+
+
 # --- commits ------------------------------------------------------------------------------------------------------
 def test_a_commit_is_all_or_nothing(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "t"))
