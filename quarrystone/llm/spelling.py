@@ -5,7 +5,7 @@ is planted first: where SLIPS divides the crc32 h of `<doc_id>:<run>`, the run l
 words that count have at least LEAST_LETTERS code points and LEAST_COUNT occurrences over all documents.
 
 Occurrences are counted by one aggregation with partial sums.  The counted words are dealt by range into shards of
-SHARD_WORDS words, each sorted and made into a compact trie in a task (byte edges, counts at the ends); at most
+SHARD_WORDS words, each made into a compact trie in a task (byte edges, counts at the ends); at most
 ROUND_SHARDS tries, about ROUND_SHARDS * 8 MB, reach the driver at a time and are broadcast.  Against each shard every
 word's distance-one automaton is followed depth-first, for a batch of words at once: after a step with an edit nothing
 but the rest of the word may follow, and such branches are run to their end before the plain path takes its next
@@ -31,12 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.base import discard, on, written
+from quarrystone.llm.ordered import in_blocks, running
 
 RUN = "([A-Za-zÀ-ÿ]+)"
 SLIPS = 199
 LEAST_LETTERS, LEAST_COUNT, LEAST_RATIO = 6, 5, 5
-#: Words and letters of a trie, tries that are broadcast together, and words that a task follows together.
-SHARD_WORDS, SHARD_BYTES, ROUND_SHARDS, BATCH_WORDS = 1 << 17, 1 << 21, 4, 1 << 13
+#: Words of a trie, letters of a word that make it count as two, tries that are broadcast together, words that a task
+#: follows together.
+SHARD_WORDS, WORD_LETTERS, ROUND_SHARDS, BATCH_WORDS = 1 << 17, 32, 4, 1 << 13
 _KINDS, _PARTS = (np.uint8, np.int32, np.int64, np.int64, np.int32), ("letters", "sizes", "counts", "edges", "word_at")
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -146,38 +148,28 @@ class Trie:
         return np.concatenate(out_w or [empty]), np.concatenate(out_n or [empty])
 
 
-def _shards(words: DataFrame, n: int, shard_words: int) -> DataFrame:
-    """The n words by range as packed tries of at most shard_words words and about SHARD_BYTES letters."""
-    schema = pa.schema([(p, pa.binary()) for p in _PARTS])
+def _shards(words: DataFrame, shard_words: int) -> DataFrame:
+    """(shard, a packed trie) of the words by range, as large whatever the number of partitions: a word counts as one,
+    and once more for every WORD_LETTERS letters."""
+    units = F.lit(0).cast("long").alias("all"), (1 + F.floor(F.char_length("word") / WORD_LETTERS)).alias("units")
+    blocks = in_blocks(words.select("word", "n", *units), "word")
+    dealt = running(blocks, "all", {"upto": ("sum", "units")}).select(F.floor((F.col("upto") - 1) / shard_words).alias("shard"), "word", "n")
+    schema = pa.schema([("shard", pa.int64()), *((p, pa.binary()) for p in _PARTS)])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: list[bytes] = []
-        counts: list[int] = []
-        held = 0
+    def build(t: pa.Table) -> pa.Table:
+        rows = sorted((w.encode("latin-1"), n) for w, n in zip(t["word"].to_pylist(), t["n"].to_pylist(), strict=True))
+        parts = Trie.built([w for w, _ in rows], [n for _, n in rows]).packed()
+        return pa.table([[t["shard"][0].as_py()], *([p] for p in parts)], schema=schema)
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in Trie.built(mine, counts).packed()], schema=schema)
-
-        for batch in batches:
-            for word, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if mine and (len(mine) >= shard_words or held + len(word) > SHARD_BYTES):
-                    yield row()
-                    mine.clear(), counts.clear()
-                    held = 0
-                mine.append(word.encode("latin-1"))
-                counts.append(k)
-                held += len(word)
-        if mine:
-            yield row()
-
-    ordered = words.select("word", "n").repartitionByRange(max(1, -(-n // shard_words)), "word").sortWithinPartitions("word")
-    return ordered.mapInArrow(cut, ", ".join(f"{p} binary" for p in _PARTS)).withColumn("shard", F.monotonically_increasing_id())
+    out = written(dealt.groupBy("shard").applyInArrow(build, "shard long, " + ", ".join(f"{p} binary" for p in _PARTS)), "shards")
+    discard(blocks)
+    return out
 
 
 def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, round_shards: int = ROUND_SHARDS) -> DataFrame:
     """(word, near, near_n) of all ordered pairs of words (word, n: a written table) that are one edit apart."""
     context, n = words.sparkSession.sparkContext, words.count()
-    shards = written(_shards(words, n, shard_words), "shards")
+    shards = _shards(words, shard_words)
     names = sorted(r["shard"] for r in shards.select("shard").collect())  # one number for a trie
     schema = pa.schema({"word": pa.string(), "near": pa.string(), "near_n": pa.int64()})
     asked = words.select("word").repartition(max(1, -(-n // (2 * BATCH_WORDS))), "word")
