@@ -169,12 +169,19 @@ class Engine:
                 rows = [(s["fingerprint"], s["decision"], s["confidence"], s["explanation"], "assistant", _now()) for s in said]
                 self.store.append("llm_pair_cache", self.spark.createDataFrame(rows, OPINIONS))
                 pairs = matching.with_opinions(scored, vendors, self.store.read("llm_pair_cache"))
-        steward = self.store.read("steward_decisions", library.DECISIONS)
-        self.store.write("silver_match_pairs", matching.decide(pairs, steward, match_rules, self.profile.steward_any_band))
+        self.store.write("silver_match_pairs", self._decided(pairs))
         pairs = self.store.read("silver_match_pairs")
         self.store.write("review_queue", matching.review_queue(pairs))
         return pairs
 
+    def _decided(self, pairs: DataFrame) -> DataFrame:
+        steward = self.store.read("steward_decisions", library.DECISIONS)
+        return matching.decide(pairs, steward, library.match_rules(self.history()), self.profile.steward_any_band)
+
+    def judged(self, vendors: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Candidate pairs with scores, opinions that are there already, and decisions."""
+        return self._decided(matching.with_opinions(matching.score_pairs(vendors, pairs), vendors, self.store.read("llm_pair_cache", OPINIONS)))
+
     def triage(self, flags: DataFrame, vendors: DataFrame, invoices: DataFrame, every: list[Rule], pairs: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
         done = library.acknowledged(self.history())
         dq = patterns.dq_patterns(flags, vendors, invoices, every, done)

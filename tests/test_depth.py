@@ -10,8 +10,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrystone import config
-from quarrystone.operators import components, golden, mapping_learner, nearest, rules, sentinel
-from quarrystone.sources import store
+from quarrystone.operators import components, golden, library, mapping_learner, matching, nearest, rules, sentinel, standardize
+from quarrystone.plans import interval
+from quarrystone.plans.engine import Engine
+from quarrystone.sources import store, synth
+from quarrystone.sources.scratch import written
 from quarrystone.streaming import jobs
 
 
@@ -263,3 +266,67 @@ def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
         streamed(spark, folder, checkpoint, out)
     got = [(r["run_at"], r["alert_id"], r["value"]) for r in spark.read.parquet(str(out)).orderBy("run_at").collect()]
     assert got == [(at(90), "A2", 4.0), (at(100), "A1", -4.0)]  # 40 is later than the delay, 90 isn't
+
+
+# --- interval runs ------------------------------------------------------------------------------------------------
+def at_once(engine, raw, max_block):
+    """Pairs, and golden vendors by their members, of one full run of the steps."""
+    vendors = standardize.vendors(raw, engine.mappings())
+    pairs = engine.judged(vendors, matching.candidate_pairs(vendors, max_block))
+    edges = pairs.where("merge").select("left_key", "right_key", "score")
+    clusters, _ = components.constrained_clusters(vendors, edges, library.cannot_links(engine.history()))
+    return pairs, *golden.build(vendors, clusters)
+
+
+def shown(pairs, gold, xref):
+    members = {}
+    for r in xref.collect():
+        members.setdefault(r["master_key"], []).append(r["record_key"])
+    rows = {tuple(sorted(members[r["master_key"]])): tuple(str(v) for k, v in sorted(r.asDict().items()) if k != "master_key") for r in gold.collect()}
+    assert len(rows) == len(members)
+    return {(r["left_key"], r["right_key"]): (r["score"], r["merge"], r["decided_by"]) for r in pairs.collect()}, rows
+
+
+def stored(engine):
+    return shown(*(engine.store.read(t) for t in ("silver_match_pairs", "gold_vendor", "gold_vendor_xref")))
+
+
+def test_batches_equal_one_run(spark, tmp_path):
+    raw, _ = synth.vendors(spark, 25, 6)
+    raw = raw.drop("true_vendor").orderBy("record_key").cache()
+    e = Engine(spark, str(tmp_path))
+    limit = 5  # so that blocks become too large
+    keys = sorted(r["record_key"] for r in raw.collect())
+    random.Random(1).shuffle(keys)
+    part = lambda ks: raw.where(F.col("record_key").isin(ks))
+    third = len(keys) // 3
+    n = interval.match_batch(e, part(keys[:third]), 0, max_block=limit)
+    assert n and interval.match_batch(e, part(keys[:third]), 0, max_block=limit) == 0  # handed over again
+    assert stored(e) == shown(*at_once(e, part(keys[:third]), limit))
+    interval.match_batch(e, part(keys[third:]), 1, max_block=limit)
+    assert stored(e) == shown(*at_once(e, raw, limit))
+    # records change: one moves to another block and name, one gets another's data
+    a, b, c = keys[0], keys[1], keys[2]
+    other = raw.where(F.col("record_key") == c).drop("record_key", "source", "source_vendor_id")
+    moved = part([a]).withColumn("vendor_name", F.lit("Zebra Works")).withColumn("tax_id_raw", F.lit("")).withColumn("phone_raw", F.lit("0091 7777777777"))
+    taken = part([b]).select("record_key", "source", "source_vendor_id").crossJoin(other).select(raw.columns)
+    interval.match_batch(e, moved.select(raw.columns).unionByName(taken), 2, max_block=limit)
+    now = written(raw.where(~F.col("record_key").isin(a, b)).unionByName(moved.select(raw.columns)).unionByName(taken), "now")
+    assert stored(e) == shown(*at_once(e, now, limit))
+    # a steward keeps a record apart: everything is read again
+    group = max((m for m in stored(e)[1]), key=len)
+    e.unmerge(group[0], "me")
+    interval.match_batch(e, part(keys[3:4]), 3, max_block=limit)
+    assert stored(e) == shown(*at_once(e, now, limit)) and group not in stored(e)[1]
+
+
+def test_intervals_of_a_stream(spark, tmp_path):
+    raw, _ = synth.vendors(spark, 8, 3)
+    raw = raw.drop("true_vendor").cache()
+    e, folder = Engine(spark, str(tmp_path / "lake")), str(tmp_path / "in")
+    for source in config.SOURCES[:2]:
+        raw.where(F.col("source") == source).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(raw.schema).parquet(folder)
+        interval.at_intervals(e, stream, str(tmp_path / "cp")).awaitTermination()
+    assert [(r["number"], r["records"]) for r in e.store.read("match_batches").orderBy("number").collect()] == [(n, raw.where(F.col("source") == s).count()) for n, s in enumerate(config.SOURCES[:2])]
+    assert stored(e) == shown(*at_once(e, raw.where(F.col("source").isin(*config.SOURCES[:2])), config.MAX_BLOCK))
