@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarrystone import config
 from quarrystone.config import CITY_ALIASES, COUNTRIES, LEGAL_TOKENS, NAME_ABBREVIATIONS
 from quarrystone.functions.privacy import pads, secret_key
+from quarrystone.operators.learning import TREE_ROWS, TREES
 from quarrystone.operators.rules import ANOMALY, RULES
 from quarrystone.sources.extract import INVOICES_SQL, SPELLED_SQL, VENDORS_SQL
 
@@ -262,6 +263,51 @@ ORACLE = {
 }
 
 
+
+
+def _train_matcher() -> str:
+    """Coordinate descent, one Newton step of one weight a round, on the same loss."""
+    x = ["name_similarity", *(f"CAST({f} AS DOUBLE)" for f in ("tax_eq", "tax_conflict", "city_eq", "phone_eq", "domain_eq")), "1.0"]
+    z = "list_sum(list_transform(range(1, 8), lambda i: w[i] * x[i]))"
+    return _with(_BASE, _PAIRS) + f""", truth AS (SELECT record_key, true_vendor FROM vr),
+told AS (SELECT s.*, (l.true_vendor = r.true_vendor)::INT AS label FROM scored s JOIN truth l ON l.record_key = left_key JOIN truth r ON r.record_key = right_key WHERE band = 'MEDIUM'),
+auto AS (SELECT * FROM (SELECT *, CASE WHEN tax_eq AND name_similarity >= 0.9 THEN 1 WHEN tax_conflict AND name_similarity < 0.5 THEN 0 END AS label FROM scored WHERE band <> 'MEDIUM') WHERE label IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(left_key || '|' || right_key), left_key, right_key) <= {config.AUTO_LABELS_PER_CLASS}),
+labelled AS (SELECT * FROM told UNION ALL SELECT * FROM auto),
+rows AS MATERIALIZED (SELECT x, label, held, count(*)::DOUBLE AS n FROM (SELECT [{", ".join(x)}] AS x, label, left(md5(left_key || '|' || right_key), 1) IN ('0', '4', '8', 'c') AS held FROM labelled) GROUP BY ALL),
+fit AS (SELECT 0 AS it, [0.0::DOUBLE, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] AS w UNION ALL
+  SELECT it + 1, list_transform(range(1, 8), lambda i: CASE WHEN i = it % 7 + 1 THEN w[i] - (g + CASE WHEN i < 7 THEN w[i] ELSE 0 END) / greatest(h + CASE WHEN i < 7 THEN 1 ELSE 0 END, 1e-9) ELSE w[i] END)
+  FROM (SELECT it, w, sum(n * (p - label) * x[it % 7 + 1]) AS g, sum(n * p * (1 - p) * x[it % 7 + 1] * x[it % 7 + 1]) AS h FROM (SELECT it, w, x, n, label, 1 / (1 + exp(-{z})) AS p FROM fit, rows WHERE NOT held AND it < 2100) GROUP BY it, w)),
+said AS (SELECT label, n, {z} > 0 AS yes FROM rows, (SELECT w FROM fit ORDER BY it DESC LIMIT 1) WHERE held),
+got AS (SELECT coalesce(sum(n) FILTER (label = 1 AND yes), 0) AS tp, coalesce(sum(n) FILTER (label = 0 AND yes), 0) AS fp, coalesce(sum(n) FILTER (label = 1 AND NOT yes), 0) AS fn FROM said),
+enough AS (SELECT (SELECT count(*) FROM told) >= {config.MIN_STEWARD_LABELS} AND (SELECT count(DISTINCT label) FROM labelled) = 2 AS trained)
+SELECT trained, CASE WHEN trained THEN CASE WHEN tp + fp = 0 THEN 1.0 ELSE round(tp / (tp + fp), 4) END END AS precision, CASE WHEN trained THEN CASE WHEN tp + fn = 0 THEN 1.0 ELSE round(tp / (tp + fn), 4) END END AS recall FROM got, enough"""
+
+
+def _isolation_forest() -> str:
+    """Trees level by level, then all rows down all trees."""
+    levels = (TREE_ROWS - 1).bit_length()
+    draw = lambda a: f"CAST('0x' || substr(md5(tree || ':' || node), {a}, 8) AS BIGINT)"
+    expected = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649) - 2 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    parts = [f"""med AS (SELECT vendor_record_key, quantile_cont(amount, 0.5) AS median FROM i WHERE amount > 0 AND vendor_record_key IS NOT NULL GROUP BY 1),
+every AS MATERIALIZED (SELECT row_number() OVER () AS r, record_key, ln(1 + amount) AS a, coalesce(amount / median, 1.0) AS b FROM i LEFT JOIN med USING (vendor_record_key) WHERE amount > 0),
+pool AS (SELECT a, b, row_number() OVER (ORDER BY md5(record_key), record_key, a, b) - 1 AS p FROM every QUALIFY p < {TREES * TREE_ROWS}),
+size AS MATERIALIZED (SELECT CASE WHEN count(*) >= {TREES} THEN count(*) // {TREES} ELSE count(*) END AS size, CASE WHEN count(*) >= {TREES} THEN {TREES} ELSE 1 END AS trees, greatest(1, ceil(log2(greatest(2, size)))) AS lim FROM pool),
+l0 AS MATERIALIZED (SELECT p % trees AS tree, 1 AS node, a, b FROM pool, size WHERE p // trees < size),
+p0 AS MATERIALIZED (SELECT r, tree, 1 AS node, a, b, 0 AS depth, FALSE AS ended FROM every, (SELECT unnest(range(trees)) AS tree FROM size))"""]
+    for d in range(levels):
+        parts.append(f"""s{d} AS MATERIALIZED (SELECT tree, node, f, CASE WHEN f = 0 THEN a0 + {draw(1)} / 4294967296 * (a1 - a0) ELSE b0 + {draw(1)} / 4294967296 * (b1 - b0) END AS cut FROM (
+  SELECT *, CASE WHEN a0 = a1 THEN 1 WHEN b0 = b1 THEN 0 ELSE {draw(9)} % 2 END AS f FROM (SELECT tree, node, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM l{d} GROUP BY tree, node) WHERE a0 < a1 OR b0 < b1), size WHERE {d} < lim),
+l{d + 1} AS MATERIALIZED (SELECT tree, 2 * node + (CASE WHEN f = 0 THEN a ELSE b END >= cut)::INT AS node, a, b FROM l{d} JOIN s{d} USING (tree, node)),
+p{d + 1} AS MATERIALIZED (SELECT r, p.tree, CASE WHEN cut IS NULL THEN p.node ELSE 2 * p.node + (CASE WHEN f = 0 THEN a ELSE b END >= cut)::INT END AS node, a, b, depth + (cut IS NOT NULL)::INT AS depth, cut IS NULL AS ended FROM p{d} p LEFT JOIN s{d} s ON NOT ended AND s.tree = p.tree AND s.node = p.node)""")
+    leaves = " UNION ALL ".join(f"SELECT tree, node, count(*) AS n FROM l{d} GROUP BY tree, node" for d in range(levels + 1))
+    return _B + ", " + ",\n".join(parts) + f""", leaves AS ({leaves}),
+depths AS (SELECT r, avg(depth + {expected("coalesce(n, 0)")}) AS depth FROM p{levels} LEFT JOIN leaves USING (tree, node) GROUP BY r),
+scores AS MATERIALIZED (SELECT record_key, round(pow(2, -depth / greatest(1e-9, {expected("size")})), 6) AS outlier_score FROM every JOIN depths USING (r), size)
+SELECT record_key, outlier_score, outlier_score > (SELECT quantile_cont(outlier_score, 0.98) FROM scores) AS is_outlier FROM scores"""
+
+
+ORACLE["train_matcher"], ORACLE["isolation_forest"] = _train_matcher(), _isolation_forest()
 #: A stream's result is that of the whole history.
 ORACLE["stream_alerts"] = ORACLE["run_delta_alerts"]
 
