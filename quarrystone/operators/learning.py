@@ -17,6 +17,7 @@ from quarrystone.operators.matching import latest
 from quarrystone.sources.scratch import discard, on, written
 
 TREES, TREE_ROWS = 100, 256
+INTERCEPT = "(intercept)"
 FEATURES = ["name_similarity", "tax_eq", "tax_conflict", "city_eq", "phone_eq", "domain_eq"]
 
 
@@ -90,6 +91,12 @@ def train_matcher(training: DataFrame) -> dict:
     return {"trained": True, "precision": share(got["tp"], got["fp"]), "recall": share(got["tp"], got["fn"]), "coefficients": dict(zip(FEATURES, map(float, w), strict=False)), "intercept": float(w[-1]), "rows": sum(n.values())}
 
 
+def match_probability(model: dict) -> Column:
+    """Of a pair by a registered model (features, weights), as a Column."""
+    parts = (F.lit(float(model["weights"][f])) * F.col(f).cast("double") for f in model["features"])
+    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, parts, F.lit(float(model["weights"][INTERCEPT])))))
+
+
 def _expected(n: float) -> float:
     return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 

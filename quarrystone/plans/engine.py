@@ -29,6 +29,7 @@ INBOXES = {
     "unmerge": {"record_key": None},
     "rule": {"sentence": None},
 }
+MODELS = "name string, version long, features string, weights string, metrics string, snapshots string, trained_at timestamp"
 PROCESSED = "inbox string, id string, status string, at timestamp"
 EVENTS = "run_id string, stage string, action string, detail string, records long, at timestamp"
 
@@ -343,8 +344,33 @@ class Engine:
         rule = next(r for r in self.rules() if r.id == rule_id)
         self._store_rule(replace(rule, mode="enforce"), by)
 
-    def train(self) -> dict:
-        return learning.train_matcher(learning.training_set(self.store.read("silver_match_pairs"), self.store.read("steward_decisions", library.DECISIONS)))
+    def train(self, name: str = "matcher") -> dict:
+        """Fit the matcher on what stewards have decided, and register it if it could be trained."""
+        read = ("silver_match_pairs", "steward_decisions")
+        out = learning.train_matcher(learning.training_set(self.store.read(read[0]), self.store.read(read[1], library.DECISIONS)))
+        if out["trained"]:
+            out["version"] = self.register(name, out, {t: self.store.version(t) for t in read})
+        return out
+
+    def register(self, name: str, model: dict, snapshots: dict[str, int]) -> int:
+        """Add a model to the registry as its next version: features, weights, metrics and the numbers of the tables'
+        manifests that it was trained on."""
+        models = self.store.read("model_registry", MODELS)
+        version = int(models.where(F.col("name") == name).agg(F.coalesce(F.max("version"), F.lit(0).cast("long"))).first()[0]) + 1
+        metrics = {k: model[k] for k in ("precision", "recall", "rows")}
+        weights = {**model["coefficients"], learning.INTERCEPT: model["intercept"]}
+        row = (name, version, json.dumps(list(model["coefficients"])), json.dumps(weights), json.dumps(metrics), json.dumps(snapshots, sort_keys=True), _now())
+        self.store.append("model_registry", self.spark.createDataFrame([row], MODELS))
+        return version
+
+    def model(self, name: str = "matcher", version: int | None = None) -> dict:
+        """A registered model, the newest if no version is given."""
+        models = self.store.read("model_registry", MODELS).where(F.col("name") == name)
+        found = (models if version is None else models.where(F.col("version") == version)).orderBy(F.desc("version")).first()
+        if found is None:
+            raise KeyError(f"{name} version {version}")
+        parts = {k: json.loads(found[k]) for k in ("features", "weights", "metrics", "snapshots")}
+        return {"name": name, "version": found["version"], **parts, "trained_at": found["trained_at"]}
 
     def submit(self, inbox: str, by: str, **fields) -> str:
         """Put one checked decision into a stored inbox; gives its id."""

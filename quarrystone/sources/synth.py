@@ -16,6 +16,9 @@ EXPECTED = {
     "amount_outlier": "A01", "date_future": "R06", "date_invalid": "R06", "currency_bad": "R07", "orphan": "R08",
 }
 
+#: Numbers of a bad batch begin with it.
+BAD_PREFIX = "BAD"
+
 
 def _draw(seed: int, salt: str, *keys: str) -> Column:
     """A number in [0, 1) for a row."""
@@ -98,12 +101,13 @@ def bad_batch(spark: SparkSession, vendor_rows: DataFrame, n: int, seed: int = 9
     """Extra invoices that each have one of four defects."""
     rows, _ = invoices(spark, vendor_rows, n, seed)
     kind = _one_of(["amount_missing", "date_invalid", "currency_bad", "orphan"], _draw(seed, "kind", "record_key"))
-    rows = rows.withColumn("defects", F.array(kind)).withColumn("invoice_no", F.concat(F.lit("BAD"), "invoice_no")).withColumn("record_key", F.concat("source", F.lit(":INV:"), "invoice_no"))
+    rows = rows.withColumn("defects", F.array(kind)).withColumn("invoice_no", F.concat(F.lit(BAD_PREFIX), "invoice_no")).withColumn("record_key", F.concat("source", F.lit(":INV:"), "invoice_no"))
     is_ = lambda d: F.col("defects")[0] == d
     rows = rows.withColumns({
         "amount_raw": F.when(is_("amount_missing"), "").otherwise(F.col("amount_raw")),
         "invoice_date_raw": F.when(is_("date_invalid"), "not a date").otherwise(F.col("invoice_date_raw")),
         "currency_raw": F.when(is_("currency_bad"), "XXX").otherwise(F.col("currency_raw")),
-        "vendor_record_key": F.when(is_("orphan"), F.concat(F.lit("X"), "vendor_record_key")).otherwise(F.col("vendor_record_key")),
+        "source_vendor_id": F.when(is_("orphan"), F.concat(F.lit("X"), "source_vendor_id")).otherwise(F.col("source_vendor_id")),
+        "vendor_record_key": F.when(is_("orphan"), F.concat("source", F.lit(":X"), "source_vendor_id")).otherwise(F.col("vendor_record_key")),
     })
     return rows.drop("defects"), _truth(rows, "invoice")

@@ -1,17 +1,19 @@
 """Searches, clusters, commits and streams of the engine at their bounds, against plain models."""
 
 import datetime
+import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrystone import config
-from quarrystone.operators import components, golden, library, mapping_learner, matching, nearest, rules, sentinel, standardize
-from quarrystone.plans import interval
+from quarrystone.operators import components, golden, learning, library, mapping_learner, matching, nearest, rules, sentinel, standardize
+from quarrystone.plans import interval, landing
 from quarrystone.plans.engine import Engine
 from quarrystone.sources import store, synth
 from quarrystone.sources.scratch import written
@@ -330,3 +332,78 @@ def test_intervals_of_a_stream(spark, tmp_path):
         interval.at_intervals(e, stream, str(tmp_path / "cp")).awaitTermination()
     assert [(r["number"], r["records"]) for r in e.store.read("match_batches").orderBy("number").collect()] == [(n, raw.where(F.col("source") == s).count()) for n, s in enumerate(config.SOURCES[:2])]
     assert stored(e) == shown(*at_once(e, raw.where(F.col("source").isin(*config.SOURCES[:2])), config.MAX_BLOCK))
+
+
+# --- learning -----------------------------------------------------------------------------------------------------
+def test_newton_finds_where_the_gradient_vanishes(spark):
+    r = np.random.default_rng(1)
+    x = np.round(r.random((400, 3)), 1)
+    x[:, 2] = x[:, 0] > 0.5
+    y = (x @ [2.0, -1.0, 0.5] + r.normal(size=400) > 0.7).astype(int)
+    for label in (y, (x[:, 0] > 0.45).astype(int)):  # the second is separable
+        counts = Counter((*map(float, a), int(b)) for a, b in zip(x, label, strict=True))
+        w = learning.newton(spark.createDataFrame([(*k, n) for k, n in counts.items()], "a double, b double, c double, label int, n long").coalesce(1), ["a", "b", "c"])
+        z = np.c_[x, np.ones(400)]
+        assert np.abs(z.T @ (1 / (1 + np.exp(-z @ w)) - label) + w * [1, 1, 1, 0]).max() < 1e-7
+
+
+def test_a_registered_model_scores_the_same_when_read_again(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    r = random.Random(3)
+    rows = [(f"a{k:03d}", f"b{k:03d}", round(r.random(), 4), *(r.random() < 0.5 for _ in range(5))) for k in range(120)]
+    pairs = spark.createDataFrame(rows, "left_key string, right_key string, name_similarity double, tax_eq boolean, tax_conflict boolean, city_eq boolean, phone_eq boolean, domain_eq boolean")
+    e.store.write("silver_match_pairs", pairs)
+    told = [(x[0], x[1], "match" if x[2] + x[3] + r.random() > 1.3 else "no_match", "me", "", datetime.datetime(2026, 1, 1)) for x in rows]
+    e.store.write("steward_decisions", spark.createDataFrame(told[:10], library.DECISIONS))
+    assert not e.train()["trained"]
+    with pytest.raises(KeyError):
+        e.model()
+    e.store.append("steward_decisions", spark.createDataFrame(told[10:], library.DECISIONS))
+    out = e.train()
+    again = Engine(spark, str(tmp_path)).model()
+    assert again["version"] == out["version"] == 1 and again["snapshots"] == {"silver_match_pairs": 1, "steward_decisions": 2} and again["metrics"]["rows"] == 120
+    assert e.train()["version"] == 2 and e.model(version=1) == again
+    got = {x["left_key"]: x["p"] for x in pairs.select("left_key", learning.match_probability(again).alias("p")).collect()}
+    for x in rows:
+        z = sum(out["coefficients"][f] * float(v) for f, v in zip(learning.FEATURES, x[2:], strict=True)) + out["intercept"]
+        assert abs(got[x[0]] - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+# --- keyed merges, landing ----------------------------------------------------------------------------------------
+def test_merges_write_only_the_buckets_they_change(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "t"))
+    make = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    want = {k: f"v{k}" for k in range(200)}
+    s.merge("x", ["k"], make(list(want.items())))
+    before = set(s.snapshots("x"))
+    s.merge("x", ["k"], make([(3, "new"), (500, "more")]), make([(7, "")]))
+    want |= {3: "new", 500: "more"}
+    del want[7]
+    assert {r["k"]: r["v"] for r in s.read("x").collect()} == want and s.read("x").count() == len(want)
+    assert 1 <= len(set(s.snapshots("x")) - before) <= 3 and len(before & set(s.snapshots("x"))) >= len(before) - 3
+    s.merge("x", ["k"], make([]), make([]))
+    s.merge("x", ["k"], make([]), s.read("x"))
+    assert s.read("x").count() == 0 and s.read("x").columns == ["k", "v"] and s.version("x") == 3
+    s.merge("x", ["k"], make([(1, "a")]))
+    assert [tuple(r) for r in s.read("x").collect()] == [(1, "a")]
+
+
+def test_a_bad_batch_comes_and_goes(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    made = landing.generate(e, 12, 60, 5)
+    state = lambda: {t: Counter(map(str, e.store.read(t).drop("run_id", "confidence").collect())) for t in ("silver_vendor", "silver_invoice", "silver_dq_failures", "dq_scorecard", "gold_vendor", "gold_vendor_xref", "gold_spend_fact", "seeded_defects")}
+    e.run()
+    first = state()
+    assert e.store.read("silver_invoice").count() == made["invoice_records"] == 60
+    n = landing.inject_bad_batch(e, 40)
+    assert landing.inject_bad_batch(e, 40) == n  # replaced
+    caught = e.run()
+    assert caught["records"] == sum(first["silver_vendor"].values()) + 60 + n and state() != first
+    defects = e.store.read("seeded_defects")
+    assert defects.where("record_key LIKE '%:BAD%'").count() == n
+    bad = defects.where("record_key LIKE '%:BAD%' AND expected_rule <> 'A01'")
+    flags = e.store.read("silver_dq_failures").withColumnRenamed("rule_id", "expected_rule")
+    assert bad.join(flags, ["record_key", "expected_rule"], "left_anti").count() == 0  # all of them are found
+    assert landing.remove_bad_batch(e) and not landing.remove_bad_batch(e)
+    e.run()
+    assert state() == first
