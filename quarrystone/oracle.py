@@ -307,6 +307,23 @@ scores AS MATERIALIZED (SELECT record_key, round(pow(2, -depth / greatest(1e-9,
 SELECT record_key, outlier_score, outlier_score > (SELECT quantile_cont(outlier_score, 0.98) FROM scores) AS is_outlier FROM scores"""
 
 
+#: Each component's edges one after the other; the state is the cluster (its first node's number) of every node.
+_CANNOT = _with(
+    _BASE,
+    _PAIRS,
+    """ed AS MATERIALIZED (SELECT left_key, right_key, score, left(md5(left_key), 1) IN ('0', '1') AS bar FROM scored WHERE band <> 'LOW'),
+sym AS (SELECT left_key AS a, right_key AS b FROM ed UNION ALL SELECT right_key, left_key FROM ed),
+reach(a, b) AS (SELECT record_key, record_key FROM v UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.b),
+of AS MATERIALIZED (SELECT a AS record_key, min(b) AS comp, row_number() OVER (PARTITION BY min(b) ORDER BY a) AS pos FROM reach GROUP BY a),
+en AS MATERIALIZED (SELECT l.comp AS comp, l.pos AS a, r.pos AS b, bar, row_number() OVER (PARTITION BY l.comp ORDER BY score DESC, left_key, right_key) AS i FROM ed JOIN of l ON l.record_key = left_key JOIN of r ON r.record_key = right_key),
+bars AS (SELECT comp, list({'x': a, 'y': b}) AS bars FROM en WHERE bar GROUP BY comp),
+start AS MATERIALIZED (SELECT comp, list(record_key ORDER BY pos) AS names, coalesce(any_value(bars), []) AS bars, max(pos) AS n FROM of LEFT JOIN bars USING (comp) GROUP BY comp),
+steps AS (SELECT comp, 0 AS i, bars, range(1, n + 1) AS part FROM start
+  UNION ALL SELECT comp, en.i, bars, CASE WHEN part[a] = part[b] OR len(list_filter(bars, lambda z: least(part[z.x], part[z.y]) = least(part[a], part[b]) AND greatest(part[z.x], part[z.y]) = greatest(part[a], part[b]))) > 0 THEN part
+    ELSE list_transform(part, lambda l: CASE WHEN l = greatest(part[a], part[b]) THEN least(part[a], part[b]) ELSE l END) END FROM steps JOIN en USING (comp) WHERE en.i = steps.i + 1),
+ends AS (SELECT comp, arg_max(part, i) AS part FROM steps GROUP BY comp)""",
+)
+ORACLE["cannot_link_clusters"] = _CANNOT + "SELECT record_key, names[part[pos]] AS cluster FROM of JOIN ends USING (comp) JOIN start USING (comp)"
 ORACLE["train_matcher"], ORACLE["isolation_forest"] = _train_matcher(), _isolation_forest()
 #: A stream's result is that of the whole history.
 ORACLE["stream_alerts"] = ORACLE["run_delta_alerts"]
