@@ -126,8 +126,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     held = written(prefix.select("doc").distinct().join(sets, "doc"), "held")
     texts = set_hashes(docs.join(held.select("id").distinct(), "id", "left_semi"), size)
     full = written(held.join(texts, ["id", "h1", "h2"]).select("doc", "n", "sig", "shingles").dropDuplicates(["doc"]), "full")
-    links = written(_links(prefix, full).unionByName(_same_id(some, sets)), "links")
-    discard(prefix, held, full)
+    found = _links(prefix, full)
+    links = written(found.unionByName(_same_id(some, sets)), "links")
+    discard(prefix, held, full, found)
     of = components(links, "doc", "other")
     first = of.join(sets.select(F.col("doc").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("first"))
     first = of.join(first, "component").select(F.col("node").alias("doc"), "first")
@@ -150,14 +151,16 @@ def _links(prefix: DataFrame, full: DataFrame) -> DataFrame:
     hubs = prefix.groupBy("list").agg(F.max(F.struct("fame", "doc"))["doc"].alias("hub"))
     stars = prefix.join(hubs, "list").where("doc <> hub").select("doc", F.col("hub").alias("other")).distinct()
     near = written(_compared(stars, full, NEAR), "near")
-    pools = components(near, "doc", "other").withColumnRenamed("component", "pool")
+    near_to = components(near, "doc", "other")
+    pools = near_to.withColumnRenamed("component", "pool")
     linked = near.where(_similar(F.col("common"), F.col("na"), F.col("nb"))).select("doc", "other")
     inside = _inside_pools(pools, linked, full)
     of = prefix.join(pools.withColumnRenamed("node", "doc"), "doc", "left").select("list", "doc", F.coalesce("pool", "doc").alias("pool"))
     several = of.groupBy("list").agg(F.min("pool").alias("lo"), F.max("pool").alias("hi")).where("lo <> hi").select("list")
     apart = written(of.join(several, "list", "left_semi").select("doc", "pool").distinct().join(full, "doc"), "apart")
-    across = _compared(_across(apart), apart, SIMILARITY).select("doc", "other")
-    return linked.unionByName(inside).unionByName(across)
+    likely = _across(apart)
+    across = _compared(likely, apart, SIMILARITY).select("doc", "other")
+    return on(linked.unionByName(inside).unionByName(across), near, near_to, inside, apart, likely)
 
 
 def _across(apart: DataFrame) -> DataFrame:
@@ -174,7 +177,8 @@ def _across(apart: DataFrame) -> DataFrame:
     two = ranked.select("s", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)).alias("class"), *(F.col(c).alias(f"{c}_b") for c in ("doc", "pool", "n", "need", "rest")))
     fits = F.least("rest_a", "rest_b") >= F.greatest("need_a", "need_b")
     likely = (F.col("doc_a") < F.col("doc_b")) & (F.col("pool_a") != F.col("pool_b")) & _similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")) & fits
-    return one.join(two, (one["s"] == two["s"]) & (one["class"] == two["class"]) & likely).select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other")).distinct()
+    found = one.join(two, (one["s"] == two["s"]) & (one["class"] == two["class"]) & likely).select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other")).distinct()
+    return on(found, ranked)
 
 
 def _similar(common: Column, na: Column, nb: Column, percent: int = SIMILARITY) -> Column:
@@ -244,7 +248,8 @@ def _inside_pools(pools: DataFrame, linked: DataFrame, full: DataFrame) -> DataF
     """Links (doc, other) inside pools of several parts.  The members of a pool's largest part are dealt into
     blocks, and so are the others.  Each block of others meets every block, itself too, in a group of its own;
     blocks of the largest part don't meet each other."""
-    parts = components(linked, "doc", "other").select(F.col("node"), F.col("component").alias("part"))
+    linked_to = components(linked, "doc", "other")
+    parts = linked_to.select(F.col("node"), F.col("component").alias("part"))
     members = pools.withColumnRenamed("node", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
     members = written(members.join(full.select("doc", "n"), "doc"), "members")
     sizes = members.groupBy("pool", "part").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
@@ -267,7 +272,9 @@ def _inside_pools(pools: DataFrame, linked: DataFrame, full: DataFrame) -> DataF
         return pa.table({"doc": pa.array([ids[i] for i, _ in found], pa.int64()), "other": pa.array([ids[j] for _, j in found], pa.int64())})
 
     with_sets = rows.join(full.select("doc", "shingles"), "doc")
-    return written(with_sets.groupBy("pool", "b1", "b2").applyInArrow(compare, "doc long, other long"), "inside")
+    out = written(with_sets.groupBy("pool", "b1", "b2").applyInArrow(compare, "doc long, other long"), "inside")
+    discard(members, linked_to)
+    return out
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
