@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.config import Mappings
 from quarrystone.operators.matching import latest
+from quarrystone.sources.scratch import written
+
+#: Mappings that go into an expression, which looks through them for each value.
+LITERAL_MAPPINGS = 500
 
 SCHEMA = "library_version long, item_id string, kind string, definition string, status string, source string, confidence double, approved_by string, approved_at timestamp, affected_records long, note string, run_id string"
 DECISIONS = "left_key string, right_key string, decision string, reviewer string, note string, decided_at timestamp"
@@ -51,9 +57,14 @@ def next_rule_id(history: DataFrame) -> str:
     return f"C{top + 1:02d}"
 
 
-def mappings(history: DataFrame, base: Mappings) -> Mappings:
+def mappings(history: DataFrame, base: Mappings, literals: int = LITERAL_MAPPINGS) -> Mappings:
+    """The base with the library's active mappings.  Up to so many go into expressions; more stay a table."""
     rows = active(history, "value_mapping").select("library_version", field("domain").alias("d"), field("raw_value").alias("r"), field("canonical").alias("c")).where("c IS NOT NULL AND d IN ('city', 'currency', 'token')")
-    return base.with_items([(x["d"], x["r"], x["c"]) for x in sorted(rows.collect(), key=lambda x: (x["library_version"], x["r"]))])  # approved by hand: few
+    few = rows.limit(literals + 1).collect()
+    if len(few) <= literals:
+        return base.with_items([(x["d"], x["r"], x["c"]) for x in sorted(few, key=lambda x: (x["library_version"], x["r"]))])
+    table = latest(rows, ["d", "r"], ["library_version", "c"]).select(F.col("d").alias("domain"), F.col("r").alias("raw"), F.col("c").alias("canonical"))
+    return replace(base, table=written(table, "mappings"))
 
 
 def match_rules(history: DataFrame) -> DataFrame:

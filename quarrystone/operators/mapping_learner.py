@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarrystone import config
 from quarrystone.config import Mappings
 from quarrystone.functions.similarity import token_sort_ratio
+from quarrystone.operators.mapped import without_known
 from quarrystone.operators.nearest import nearest_words
 from quarrystone.operators.profiling import valid_canonical, vocabulary
 from quarrystone.sources.scratch import written
@@ -31,9 +32,7 @@ def unknown(values: DataFrame, column: str, domain: str, mappings: Mappings) ->
     """(domain, raw, affected): trimmed capital values of a column that have no mapping."""
     raw = F.upper(F.trim(F.col(column)))
     out = values.select(F.lit(domain).alias("domain"), raw.alias("raw")).where("raw <> ''")
-    known = sorted(mappings.known(domain))
-    out = out.where(~F.col("raw").isin(known)) if known else out
-    return out.groupBy("domain", "raw").agg(F.count("*").alias("affected"))
+    return without_known(out, "raw", domain, mappings).groupBy("domain", "raw").agg(F.count("*").alias("affected"))
 
 
 def _literals(open_: DataFrame, domain: str, canonical: list[str]) -> DataFrame:
@@ -45,12 +44,10 @@ def _literals(open_: DataFrame, domain: str, canonical: list[str]) -> DataFrame:
 def learn(vendors: DataFrame, invoices: DataFrame, mappings: Mappings, answers: DataFrame | None = None) -> DataFrame:
     """vendors: vendor_name, city_raw; invoices: currency_raw; answers: domain, raw, canonical, confidence.  Gives
     domain, raw, canonical, confidence, affected, source (assistant, rule or none), options, reason, approved."""
-    vocab = written(vocabulary(vendors, "vendor_name", mappings.known("token")), "vocabulary")
+    vocab = written(vocabulary(vendors, "vendor_name", mappings), "vocabulary")
     core = vocab.where("kind = 'core'")
     open_ = unknown(vendors, "city_raw", "city", mappings).unionByName(unknown(invoices, "currency_raw", "currency", mappings))
     open_ = open_.unionByName(vocab.where("kind = 'rare'").select(F.lit("token").alias("domain"), F.col("token").alias("raw"), F.col("names").alias("affected")))
-    if known := sorted(mappings.known("token")):
-        open_ = open_.where(~((F.col("domain") == "token") & F.col("raw").isin(known)))
     open_ = written(open_, "open")  # read by each of the joins below
     pairs = _literals(open_, "city", list(config.CITIES)).unionByName(_literals(open_, "currency", list(config.VALID_CURRENCIES)))
     legal = open_.where((F.col("domain") == "token") & (F.length("raw") > 2)).select("raw", F.explode(F.lit(list(config.LEGAL_TOKENS))).alias("canonical"))

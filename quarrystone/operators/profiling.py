@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarrystone import config
 from quarrystone.config import Mappings
+from quarrystone.operators.mapped import without_known
 from quarrystone.functions import text
 from quarrystone.operators.matching import fuzzy_best
 
@@ -32,14 +33,15 @@ def token_counts(names: DataFrame, column: str) -> DataFrame:
     return names.select(F.explode(F.array_distinct(text.name_tokens(F.col(column)))).alias("token")).groupBy("token").agg(F.count("*").alias("names"))
 
 
-def vocabulary(names: DataFrame, column: str, mapped: set[str] = frozenset()) -> DataFrame:
+def vocabulary(names: DataFrame, column: str, mappings: Mappings | None = None) -> DataFrame:
     """(token, names, kind): core tokens are in max(3, min(20, N // 300)) names or more, the other ones rare unless
     they are digits or mapped."""
     total = names.agg(F.count("*").alias("N"))
     least = F.greatest(F.lit(3), F.least(F.lit(20), F.floor(F.col("N") / 300)))
     df = token_counts(names, column).join(F.broadcast(total))  # one row
-    rare = ~F.col("token").rlike("^[0-9]+$") & (~F.col("token").isin(sorted(mapped)) if mapped else F.lit(True))
-    return df.withColumn("kind", F.when(F.col("names") >= least, "core").when(rare, "rare")).where("kind IS NOT NULL").select("token", "names", "kind")
+    df = df.withColumn("kind", F.when(F.col("names") >= least, "core").when(~F.col("token").rlike("^[0-9]+$"), "rare")).select("token", "names", "kind")
+    core, rare = (df.where(F.col("kind") == kind) for kind in ("core", "rare"))
+    return core.unionByName(rare if mappings is None else without_known(rare, "token", "token", mappings).select(df.columns))
 
 
 def valid_canonical(domain: str, raw: Column, canonical: Column, core: Column | None = None) -> Column:
@@ -54,7 +56,7 @@ def valid_canonical(domain: str, raw: Column, canonical: Column, core: Column |
 
 def learn_tokens(names: DataFrame, column: str, mappings: Mappings) -> DataFrame:
     """(raw, canonical, similarity, affected): rare name tokens that are a spelling of a core token."""
-    vocab = vocabulary(names, column, mappings.known("token"))
+    vocab = vocabulary(names, column, mappings)
     rare = vocab.where("kind = 'rare'").select(F.col("token").alias("value"), "names")
     best = fuzzy_best(rare.select("value"), vocab.where("kind = 'core'").select(F.col("token").alias("word")))
     return best.join(rare, "value").select(F.col("value").alias("raw"), F.col("best").alias("canonical"), "similarity", F.col("names").alias("affected"))
@@ -62,8 +64,7 @@ def learn_tokens(names: DataFrame, column: str, mappings: Mappings) -> DataFrame
 
 def unmapped(values: DataFrame, column: str, mappings: Mappings, domain: str, decided: list[str] = ()) -> DataFrame:
     """(value, affected): values of a domain that nothing maps yet."""
-    known = sorted(mappings.known(domain) | set(decided))
     bare = text.blank_to_null(F.col(column))
-    out = values.select(bare.alias("value")).where("value IS NOT NULL")
-    out = out.where(~F.upper("value").isin(known)) if known else out
+    out = without_known(values.select(bare.alias("value"), F.upper(bare).alias("_value")).where("value IS NOT NULL"), "_value", domain, mappings)
+    out = out.where(~F.col("_value").isin(sorted(decided))) if decided else out
     return out.groupBy("value").agg(F.count("*").alias("affected"))

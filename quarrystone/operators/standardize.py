@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.config import COUNTRIES, SOURCES, Mappings
 from quarrystone.functions import privacy, text
+from quarrystone.operators import mapped
 from quarrystone.sources.extract import DATE_PATTERNS
 
 # Canonical field, and the column of it in each source.
@@ -53,19 +54,20 @@ def raw_field(frames: dict[str, DataFrame], entity: str, field: str) -> DataFram
 
 
 def vendors(raw: DataFrame, mappings: Mappings, protect: bool = True) -> DataFrame:
-    """Canonical extract rows to silver_vendor, in one projection."""
+    """Canonical extract rows to silver_vendor, in one projection, besides joins with many mappings."""
     phone, email, bank = text.phone(F.col("phone_raw")), text.email(F.col("email_raw")), text.bank_account(F.col("bank_raw"))
     masked = {"phone": privacy.mask_phone(phone), "email": privacy.mask_email(text.blank_to_null(F.col("email_raw"))), "bank_account": privacy.mask_bank(bank)}
     plain = {"phone": phone, "email": email, "bank_account": bank}
     shown = masked if protect else plain
+    raw = mapped.with_value(mapped.with_names(raw, mappings), mappings, "city", "city_raw", "_city")
     return raw.select(
         "record_key",
         F.col("source").alias("source_system"),
         "source_vendor_id",
         text.display_name(F.col("vendor_name")).alias("vendor_name"),
-        text.normalised_name(F.col("vendor_name"), mappings.token).alias("vendor_name_norm"),
+        F.col("_norm").alias("vendor_name_norm"),
         text.blank_to_null(F.col("street")).alias("street"),
-        text.city(F.col("city_raw"), mappings.city).alias("city"),
+        F.coalesce("_city", text.city(F.col("city_raw"), mappings.city)).alias("city"),
         text.blank_to_null(F.col("country_raw")).alias("country_raw"),
         text.country_iso2(F.col("country_raw")).alias("country_iso2"),
         text.tax_id(F.col("tax_id_raw")).alias("tax_id"),
@@ -88,7 +90,8 @@ def invoice_date() -> Column:
 
 
 def invoices(raw: DataFrame, mappings: Mappings) -> DataFrame:
-    """Canonical extract rows to silver_invoice, in one projection."""
+    """Canonical extract rows to silver_invoice, in one projection, besides joins with many mappings."""
+    raw = mapped.with_value(raw, mappings, "currency", "currency_raw", "_currency")
     return raw.select(
         "record_key",
         F.col("source").alias("source_system"),
@@ -99,7 +102,7 @@ def invoices(raw: DataFrame, mappings: Mappings) -> DataFrame:
         invoice_date().alias("invoice_date"),
         text.amount(F.col("amount_raw")).alias("amount"),
         text.blank_to_null(F.col("currency_raw")).alias("currency_raw"),
-        text.currency(F.col("currency_raw"), mappings.currency).alias("currency"),
+        F.coalesce("_currency", text.currency(F.col("currency_raw"), mappings.currency)).alias("currency"),
         F.lit(None).cast("string").alias("fixed_by"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import urllib.request
 import uuid
+from collections.abc import Sequence
 from dataclasses import asdict
 from datetime import date, datetime, timezone
 
@@ -16,7 +17,8 @@ from quarrystone import config
 from quarrystone.config import LAKEHOUSE, Profile
 from quarrystone.operators import components, evaluate, golden, learning, library, mapping_learner, matching, patterns, profiling, rules, sentinel, spend, standardize
 from quarrystone.operators.rules import ANOMALY, RULES, Rule
-from quarrystone.plans.llm_client import Budgeted, ask_cause, ask_mappings, ask_pairs
+from quarrystone.plans.llm_client import Budgeted, ask_cause, ask_mappings, ask_pairs, ask_recommendation, ask_rule
+from quarrystone.sources.files import decisions, export, json_safe, report
 from quarrystone.sources.store import Store, read_csv, union_all
 
 PATTERN_DECISIONS = "pattern_id string, item_id string, kind string, decision string, affected_records long, reviewer string, note string, library_version long, decided_at timestamp"
@@ -37,7 +39,9 @@ EVENTS = "run_id string, stage string, action string, detail string, records lon
 class Engine:
     """All state is in the store; one engine at a time writes to it."""
 
-    def __init__(self, spark: SparkSession, root: str, profile: Profile = LAKEHOUSE, assistant=None, webhook: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, profile: Profile = LAKEHOUSE, assistant=None, webhook: str | None = None, catalogue: Sequence[Rule] = RULES, alerts: Sequence[sentinel.AlertRule] = sentinel.ALERTS):
+        """catalogue and alerts may come from files (`sources.files`)."""
+        self.catalogue, self.alert_rules = tuple(catalogue), tuple(alerts)
         self.spark, self.profile, self.root = spark, profile, root.rstrip("/")
         self.store = Store(spark, f"{self.root}/tables")
         self.assistant, self.webhook = Budgeted(assistant), webhook
@@ -77,7 +81,7 @@ class Engine:
         """The catalogue, the rules of the library with their mode, and the anomaly check."""
         rows = library.active(self.history(), "dq_rule").select("item_id", "definition").collect()
         own = [Rule(**{**json.loads(r["definition"]), "id": r["item_id"], "values": tuple(json.loads(r["definition"]).get("values") or ())}) for r in rows]
-        return [*RULES, *sorted(own, key=lambda r: r.id), ANOMALY]
+        return [*self.catalogue, *sorted(own, key=lambda r: r.id), ANOMALY]
 
     def mappings(self) -> config.Mappings:
         return library.mappings(self.history(), self.profile.mappings)
@@ -145,7 +149,7 @@ class Engine:
         put("gold_merge_edges", edges.withColumn("run_id", F.lit(run_id)))
         put("gold_cluster_alerts", golden.cluster_alerts(vendors, xref).withColumn("run_id", F.lit(run_id)))
         blocking = [r for r in rules.of_entity(every, "invoice") if r.mode == "enforce"]
-        blocking = blocking if self.profile.library_rules else [r for r in blocking if r in RULES or r is ANOMALY]
+        blocking = blocking if self.profile.library_rules else [r for r in blocking if r in self.catalogue or r is ANOMALY]
         put("gold_spend_fact", spend.fact(rules.valid_invoices(context, blocking, as_of, invoices.columns), xref))
         put("quarantine_invoice", rules.quarantine(context, blocking, as_of, invoices.columns))
         found = self.triage(flags, vendors, invoices, every, pairs, proposals)
@@ -155,9 +159,27 @@ class Engine:
         out = {"run_id": run_id, **metrics, "patterns": found.count(), "golden_vendors": gold.count(), "alerts": alerts, "assistant_calls": self.assistant.calls}
         if truth is not None:
             out |= evaluate.pairwise(xref, truth).first().asDict()
-        self._log(run_id, "run", "finished", json.dumps(out, default=str), metrics["records"])
+        self._log(run_id, "run", "finished", json.dumps(json_safe(out)), metrics["records"])
         return out
 
+    def export(self, folder: str | None = None) -> list[str]:
+        """The tables of each layer as CSV folders and the last run's metrics as JSON; gives the paths."""
+        folder = folder or f"{self.root}/export"
+        out = export(self.store, folder)
+        last = self.store.read("agent_events", EVENTS).where("stage = 'run' AND action = 'finished'").orderBy(F.desc("at")).first()
+        if last is not None:
+            out.append(f"{folder}/reports/metrics.json")
+            report(self.store, out[-1], json.loads(last["detail"]))
+        return out
+
+    def read_decisions(self, path: str) -> int:
+        """Add the stewards' decisions of a CSV file that aren't in the table yet; gives their number."""
+        told = self.store.read("steward_decisions", library.DECISIONS)
+        new = decisions(self.store, path).join(told, ["left_key", "right_key", "decision", "reviewer"], "left_anti").select(told.columns)
+        if n := new.count():
+            self.store.append("steward_decisions", new)
+        return n
+
     def _match(self, vendors: DataFrame) -> DataFrame:
         scored = matching.score_pairs(vendors, matching.candidate_pairs(vendors))
         told = self.store.read("llm_pair_cache", OPINIONS)
@@ -207,11 +229,11 @@ class Engine:
         by_source = keys.join(bad, "record_key", "left").groupBy(F.split_part("record_key", F.lit(":"), F.lit(1)).alias("s")).agg(F.round(1 - F.count("_bad") / F.count("*"), 4).alias("v"))
         rows += [(run_id, at, r["s"], "source_dq_score", float(r["v"])) for r in by_source.collect()]  # one for each source
         self.store.append("dq_run_metrics", self.spark.createDataFrame(rows, schema))
-        raised = sentinel.history_alerts(self.store.read("dq_run_metrics")).where(F.col("run_at") == F.lit(at)).collect()
+        raised = sentinel.history_alerts(self.store.read("dq_run_metrics"), self.alert_rules).where(F.col("run_at") == F.lit(at)).collect()
         last = before.agg(F.max_by("run_id", "run_id")).first()[0]
         grown = ", ".join(f"{r['rule_id']} +{r['delta']}" for r in sentinel.rule_deltas(card, before.where(F.col("run_id") == last)).collect()) if last else ""
         cause = f"Largest increases in failures: {grown}." if grown else f"Weakest rule this run: {metrics['worst_rule']}."
-        by_id, out = {r.id: r for r in sentinel.ALERTS}, []
+        by_id, out = {r.id: r for r in self.alert_rules}, []
         for r in raised:
             rule = by_id[r["alert_id"]]
             why, action = ask_cause(self.assistant, f"{rule.name} ({rule.condition} {rule.threshold}), value {r['value']}", metrics, grown) or (cause, sentinel.ACTIONS[rule.metric])
@@ -275,7 +297,7 @@ class Engine:
         core word of the vendors' names, whatever was offered."""
         row = own.first()
         if row["domain"] == "token":
-            words = profiling.vocabulary(self.store.read("bronze_vendors"), "vendor_name", self.mappings().known("token"))
+            words = profiling.vocabulary(self.store.read("bronze_vendors"), "vendor_name", self.mappings())
             ok = canonical == config.LEGAL_MARK or canonical is not None and not words.where((F.col("kind") == "core") & (F.col("token") == canonical)).isEmpty()
             allowed = [*row["options"], config.LEGAL_MARK]
         else:
@@ -286,12 +308,12 @@ class Engine:
         return own.withColumn("canonical", F.lit(canonical)).withColumn("confidence", F.lit(1.0))
 
     def recommend_pair(self, left: str, right: str) -> dict:
-        """What the rules advise for a pair, with its scores."""
+        """What the rules advise for a pair, with its scores, or the assistant, with its reasons."""
         a, b = sorted((left, right))
         found = library.recommend(self.store.read("silver_match_pairs").where((F.col("left_key") == a) & (F.col("right_key") == b))).first()
         if found is None:
             raise KeyError((a, b))
-        return found.asDict()
+        return {**found.asDict(), **(ask_recommendation(self.assistant, found.asDict()) or {})}
 
     def decide_pair(self, left: str, right: str, decision: str, reviewer: str, note: str = "") -> None:
         if decision not in ("match", "no_match", "unsure"):
@@ -323,7 +345,8 @@ class Engine:
     def draft_rule(self, sentence: str, accept: bool = False, override: bool = False, reviewer: str = "steward", as_of: date = config.AS_OF, note: str = "") -> dict:
         """A rule from a sentence: tried on silver, blocked if too many records fail, accepted in shadow mode."""
         tables = {"vendor": self.store.read("silver_vendor"), "invoice": self.store.read("invoice_context")}
-        found = rules.heuristic_rule(sentence, {e: [c for c in df.columns if c[0] != "_"] for e, df in tables.items()})
+        columns = {e: [c for c in df.columns if c[0] != "_"] for e, df in tables.items()}
+        found = ask_rule(self.assistant, sentence, columns) or rules.heuristic_rule(sentence, columns)
         if found is None:
             return {"status": "not understood"}
         rule = Rule(library.next_rule_id(self.history()), mode="shadow", **found)
@@ -444,4 +467,6 @@ def ablation(spark: SparkSession, root: str, extracts: tuple[DataFrame, DataFram
         result = engine.run(extracts=extracts, truth=truth)
         out.append({"step": step, **evaluate.resolution(engine.store.read("gold_vendor_xref"), truth).first().asDict(), "precision": result["match_precision"], "recall": result["match_recall"]})
     pairs = engine.store.read("silver_match_pairs").count()
-    return [*out, {"step": "D", "assistant_calls": extracts[0].count() + extracts[1].count() + pairs}]
+    out.append({"step": "D", "assistant_calls": extracts[0].count() + extracts[1].count() + pairs})
+    report(engine.store, f"{engine.root}/reports/ablation.json", out)
+    return out

@@ -9,7 +9,7 @@ from quarrystone.config import SOURCES
 from quarrystone.operators import standardize
 from quarrystone.plans.engine import Engine
 from quarrystone.sources import synth
-from quarrystone.sources.store import write_csv
+from quarrystone.sources.store import Store, write_csv
 
 BAD_BATCH = "invoices_bad_batch"
 #: A seeded defect, and a vendor record with its true vendor.
@@ -37,6 +37,14 @@ def generate(engine: Engine, vendors: int = 3000, invoices: int = 45000, seed: i
     return {"true_vendors": vendors, "vendor_records": v.count(), "invoice_records": i.count(), **{f"{r['entity']}_records_with_defect": r["n"] for r in counts}}
 
 
+def reset(engine: Engine, vendors: int = 3000, invoices: int = 45000, seed: int = 42) -> dict[str, int]:
+    """Drop the landing zone and all tables, and generate anew."""
+    engine.store.drop(f"{engine.root}/landing")
+    engine.store.drop_all()
+    engine.store = Store(engine.spark, engine.store.root)
+    return generate(engine, vendors, invoices, seed)
+
+
 def inject_bad_batch(engine: Engine, rows: int = 800, seed: int = 99) -> int:
     """Land invoices that are each wrong in one way, of the vendors that are there, and add their defects to the truth.
     A bad batch that is there already is replaced."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from quarrystone.operators.rules import CUSTOM_TYPES
+
 # JSON shapes of the answers.
 _NUMBER, _TEXT = {"type": "number"}, {"type": "string"}
 
@@ -18,6 +20,14 @@ PAIR_SCHEMA = _object(decisions={"type": "array", "items": _object(pair={"type":
 CAUSE_SCHEMA = _object(cause=_TEXT, action=_TEXT)
 
 
+_PATTERN, _BOUND = {"type": ["string", "null"]}, {"type": ["number", "null"]}
+RULE_SCHEMA = _object(
+    name=_TEXT, entity={"enum": ["vendor", "invoice"]}, column=_TEXT, type={"enum": list(CUSTOM_TYPES)}, pattern=_PATTERN, values={"type": ["array", "null"], "items": _TEXT}, min=_BOUND, max=_BOUND,
+    dimension={"enum": ["completeness", "validity", "uniqueness", "timeliness", "consistency"]}, severity={"enum": ["low", "medium", "high"]},
+)
+RECOMMENDATION_SCHEMA = _object(recommendation={"enum": ["match", "no_match", "unsure"]}, rationale=_TEXT, what_to_check=_TEXT)
+
+
 class Assistant(Protocol):
     def complete_json(self, system: str, prompt: str, schema: dict) -> dict | None: ...
 
@@ -74,3 +84,31 @@ def ask_pairs(client: Budgeted, pairs: list[dict], per_call: int = 10) -> list[d
             if isinstance(d.get("pair"), int) and 0 <= d["pair"] < len(part):
                 out.append({"fingerprint": part[d["pair"]]["fingerprint"], "decision": d.get("decision"), "confidence": min(1.0, max(0.0, float(d.get("confidence", 0)))), "explanation": d.get("explanation", "")})
     return out
+
+
+def ask_rule(client: Budgeted, sentence: str, columns: dict[str, list[str]]) -> dict | None:
+    """Fields of a rule for a sentence, or None if the answer isn't one that may be used: an entity and a column that
+    are there, a type open to custom rules, and what that type needs."""
+    got = client.complete_json("Write one data quality rule for this sentence, with the columns that there are.", f"columns: {columns}\nsentence: {sentence}", RULE_SCHEMA) or {}
+    entity, kind, column = got.get("entity"), got.get("type"), got.get("column")
+    if entity not in columns or column not in columns[entity] or kind not in CUSTOM_TYPES or not got.get("name"):
+        return None
+    number = lambda x: float(x) if isinstance(x, int | float) and not isinstance(x, bool) else None
+    out = {"name": str(got["name"])[:120], "entity": entity, "type": kind, "column": column}
+    out |= {k: got[k] for k, of in (("dimension", RULE_SCHEMA), ("severity", RULE_SCHEMA)) if got.get(k) in of["properties"][k]["enum"]}
+    if kind == "regex":
+        out["pattern"] = got.get("pattern") or ""
+    if kind == "range":
+        out |= {"low": number(got.get("min")), "high": number(got.get("max"))}
+    if kind == "allowed_values":
+        out["values"] = tuple(map(str, got.get("values") or ()))
+    return out
+
+
+def ask_recommendation(client: Budgeted, pair: dict) -> dict | None:
+    """What to answer for a pair under review, why, and what to check."""
+    shown = {k: pair.get(k) for k in ("left_name", "right_name", "score", "band", "explanation")}
+    got = client.complete_json("Advise a data steward whether both records are the same company.", str(shown), RECOMMENDATION_SCHEMA) or {}
+    if got.get("recommendation") not in RECOMMENDATION_SCHEMA["properties"]["recommendation"]["enum"] or not got.get("rationale"):
+        return None
+    return {k: str(got.get(k, "")) for k in ("recommendation", "rationale", "what_to_check")}

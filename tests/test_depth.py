@@ -1,6 +1,7 @@
 """Searches, clusters, commits and streams of the engine at their bounds, against plain models."""
 
 import datetime
+import json
 import math
 import random
 from collections import Counter
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from quarrystone import config
 from quarrystone.operators import components, golden, learning, library, mapping_learner, matching, nearest, rules, sentinel, standardize
-from quarrystone.plans import interval, landing
+from quarrystone.plans import interval, landing, llm_client
 from quarrystone.plans.engine import Engine
-from quarrystone.sources import store, synth
+from quarrystone.sources import files, store, synth
 from quarrystone.sources.scratch import written
 from quarrystone.streaming import jobs
 
@@ -407,3 +408,101 @@ def test_a_bad_batch_comes_and_goes(spark, tmp_path):
     assert landing.remove_bad_batch(e) and not landing.remove_bad_batch(e)
     e.run()
     assert state() == first
+
+
+# --- many mappings ------------------------------------------------------------------------------------------------
+def test_mappings_by_join_equal_those_in_expressions(spark):
+    r = random.Random(6)
+    names = ["Apex STEL Works Ltd", "Apex Steel", "MAYBE Lmtd", "LMTD", None, "", "a.b.c w7 W7", "W12 w999 none"] + [f"W{r.randrange(900)} Works {k}" for k in range(40)]
+    cities = ["bombay", " Bombay ", "C7", "c8", None, "", "unknown town", "Mumbai"]
+    raw, _ = synth.vendors(spark, 30, 4)
+    raw = raw.drop("true_vendor").withColumn("_n", F.pmod(F.xxhash64("record_key"), F.lit(len(names))).cast("int"))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.pmod(F.col("_n"), F.lit(len(values))).cast("int"))
+    raw = raw.withColumns({"vendor_name": pick(names), "city_raw": pick(cities)}).drop("_n")
+    inv = spark.createDataFrame([(f"i{k}", "ERP_A", "1", "2", "ERP_A:2", "20250101", "5", c) for k, c in enumerate(["usd", "K3", " k4", "", None, "XXX"])], "record_key string, source string, invoice_no string, source_vendor_id string, vendor_record_key string, invoice_date_raw string, amount_raw string, currency_raw string")
+    items = [("token", f"W{k}", f"WORD{k % 30}") for k in range(900)] + [("token", "STEL", "STEEL"), ("token", "LMTD", config.LEGAL_MARK), ("city", "BOMBAY", "Mumbai")]
+    items += [("city", f"C{k}", "London") for k in range(50)] + [("currency", f"K{k}", "EUR") for k in range(10)]
+    rows = [(2, f"MAP:{d}:{x}", "value_mapping", f'{{"canonical":"{c}","domain":"{d}","raw_value":"{x}"}}', "active", "s", 1.0, "me", datetime.datetime(2026, 1, 1), 1, "", "") for d, x, c in items]
+    rows += [(1, "MAP:token:W7", "value_mapping", '{"canonical":"OLD","domain":"token","raw_value":"W7"}', "active", "s", 1.0, "me", datetime.datetime(2026, 1, 1), 1, "", "")]
+    history = spark.createDataFrame(rows, library.SCHEMA)
+    for base in (config.Mappings.seed(), config.Mappings.curated()):
+        few, many = library.mappings(history, base, 10_000), library.mappings(history, base, 100)
+        assert few.table is None and many.table is not None
+        got = [(standardize.vendors(raw, m), standardize.invoices(inv, m), mapping_learner.learn(raw, inv, m)) for m in (few, many)]
+        for a, b in zip(*got, strict=True):
+            assert a.columns == b.columns and Counter(map(str, a.collect())) == Counter(map(str, b.collect()))
+    names = {x["vendor_name_norm"] for x in got[1][0].collect()}
+    assert {"APEX STEEL WORKS", "MAYBE", None, "ABC WORD7 WORD7"} <= names
+
+
+# --- files --------------------------------------------------------------------------------------------------------
+def test_catalogues_come_from_files(spark, tmp_path):
+    (tmp_path / "r.yaml").write_text("rules:\n  - id: R01\n    name: Tax\n    entity: vendor\n    type: regex\n    column: tax_id\n    pattern: '^A'\n    skip_null: true\n    elsewhere: x\n  - {id: R02, name: N, entity: invoice, type: range, column: amount, min: 1, max: 5}\n")
+    (tmp_path / "a.json").write_text('{"rules": [{"id": "AL1", "name": "n", "metric": "pass_rate", "condition": "below", "threshold": 0.5, "severity": "low"}]}')
+    found = files.rules(spark, str(tmp_path / "r.yaml"))
+    assert found == (rules.Rule("R01", "Tax", "vendor", "regex", "tax_id", pattern="^A", skip_null=True), rules.Rule("R02", "N", "invoice", "range", "amount", low=1, high=5))
+    alerts = files.alert_rules(spark, str(tmp_path / "a.json"))
+    assert alerts == (sentinel.AlertRule("AL1", "n", "pass_rate", "below", 0.5, "low"),)
+    e = Engine(spark, str(tmp_path / "lake"), catalogue=found, alerts=alerts)
+    assert [r.id for r in e.rules()] == ["R01", "R02", "A01"]
+    for text in ("rules: {}", "- 1", "rules:\n  - {id: R01}", "rules:\n  - &a {id: R, name: n, entity: e, type: t, column: c}\n  - *a"):
+        (tmp_path / "bad.yaml").write_text(text)
+        with pytest.raises(ValueError):
+            files.rules(spark, str(tmp_path / "bad.yaml"))
+
+
+def test_decisions_exports_and_reports(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "lake"))
+    assert e.read_decisions(str(tmp_path / "none.csv")) == 0 and e.export() == []
+    (tmp_path / "d.csv").write_text("left_key,right_key,decision,reviewer,decided_at\nB:2,A:1,match,me,2026-01-02T03:04:05\nA:1,C:3,no_match,,\n")
+    assert e.read_decisions(str(tmp_path / "d.csv")) == 2 and e.read_decisions(str(tmp_path / "d.csv")) == 0
+    told = {(r["left_key"], r["right_key"]): (r["decision"], r["reviewer"], r["decided_at"]) for r in e.store.read("steward_decisions").collect()}
+    assert told == {("A:1", "B:2"): ("match", "me", datetime.datetime(2026, 1, 2, 3, 4, 5)), ("A:1", "C:3"): ("no_match", "", None)}
+    e.store.write("gold_vendor", spark.createDataFrame([("G1", ["a", "b"], None), ("G2", [], "x,y")], "master_key string, list array<string>, name string"))
+    e._log("r", "run", "finished", '{"records": 3}', 3)
+    paths = e.export(str(tmp_path / "out"))
+    assert [p.rsplit("/", 2)[1:] for p in paths] == [["gold", "gold_vendor.csv"], ["reports", "metrics.json"]]
+    rows = store.read_csv(spark, paths[0]).orderBy("master_key").collect()
+    assert [r["list"] for r in rows] == ['["a","b"]', "[]"] and rows[1]["name"] == "x,y"
+    assert json.loads((tmp_path / "out/reports/metrics.json").read_text()) == {"records": 3}
+    odd = {1: (np.float64("nan"), np.int64(4), datetime.date(2026, 1, 2)), "t": datetime.datetime(2026, 1, 2, 3), "n": None, "d": {"x": {1}}, "p": float("inf")}
+    assert files.json_safe(odd) == {"1": [None, 4, "2026-01-02"], "t": "2026-01-02T03:00:00", "n": None, "d": {"x": [1]}, "p": None}
+    files.report(e.store, str(tmp_path / "r.json"), odd)
+    files.report(e.store, str(tmp_path / "r.json"), [1])  # replaced
+    assert json.loads((tmp_path / "r.json").read_text()) == [1]
+
+
+def test_the_assistant_may_write_rules_and_advise(spark, tmp_path):
+    answers = {}
+
+    class Scripted:
+        def complete_json(self, system, prompt, schema):
+            return answers.get("rule" if schema is llm_client.RULE_SCHEMA else "advice")
+
+    e = Engine(spark, str(tmp_path), assistant=Scripted())
+    e.store.write("silver_vendor", spark.createDataFrame([("v1", "IN")], "record_key string, country_iso2 string"))
+    e.store.write("invoice_context", spark.createDataFrame([(f"i{k}", "S", float(k)) for k in range(40)], "record_key string, source_system string, amount double"))
+    say = lambda **more: {"name": "n", "entity": "invoice", "column": "amount", "type": "range", "pattern": None, "values": None, "min": 1, "max": None, "dimension": "validity", "severity": "high"} | more
+    answers["rule"] = say()
+    got = e.draft_rule("Amounts should be one or more")
+    assert got["status"] == "previewed" and got["rule"]["low"] == 1.0 and got["rule"]["high"] is None and got["rule"]["severity"] == "high"
+    for bad in (say(column="nope"), say(type="reference"), say(entity="x"), None, {}):  # then the sentence is read by the rules
+        answers["rule"] = bad
+        assert e.draft_rule("Good morning")["status"] == "not understood" and e.draft_rule("Invoice amount must be at least 1")["rule"]["low"] == 1.0
+    pair = [("a", "b", "A", "B", 0.75, "MEDIUM", "x", False)]
+    e.store.write("silver_match_pairs", spark.createDataFrame(pair, "left_key string, right_key string, left_name string, right_name string, score double, band string, explanation string, tax_conflict boolean"))
+    assert e.recommend_pair("b", "a")["recommendation"] == "unsure"
+    answers["advice"] = {"recommendation": "match", "rationale": "same name", "what_to_check": "tax id"}
+    assert {k: e.recommend_pair("a", "b")[k] for k in answers["advice"]} == answers["advice"]
+    answers["advice"] = {"recommendation": "maybe", "rationale": "?"}
+    assert e.recommend_pair("a", "b")["recommendation"] == "unsure"
+
+
+def test_reset_drops_what_was_there(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.store.write("old", spark.range(1).toDF("a"))
+    landing.generate(e, 6, 20, 1)
+    landing.inject_bad_batch(e, 5)
+    made = landing.reset(e, 4, 10, 2)
+    assert made["invoice_records"] == 10 and e.store.tables() == ["seeded_defects", "vendor_truth"]
+    assert e.ingest()[1].count() == 10 and not landing.remove_bad_batch(e)
