@@ -324,6 +324,8 @@ steps AS (SELECT comp, 0 AS i, bars, range(1, n + 1) AS part FROM start
 ends AS (SELECT comp, arg_max(part, i) AS part FROM steps GROUP BY comp)""",
 )
 ORACLE["cannot_link_clusters"] = _CANNOT + "SELECT record_key, names[part[pos]] AS cluster FROM of JOIN ends USING (comp) JOIN start USING (comp)"
+ORACLE["std_many_mappings"] = _B.replace(f"vr AS MATERIALIZED ({VENDORS_SQL})", f"vr AS MATERIALIZED (SELECT * REPLACE (vendor_name || ' W' || source_vendor_id AS vendor_name) FROM ({VENDORS_SQL}) z)") + f""", ws AS (SELECT record_key, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM v1),
+  ns AS (SELECT record_key, string_agg(coalesce('GROUP' || (p_partkey % 100), {_case("w", NAME_ABBREVIATIONS, "w")}), ' ' ORDER BY pos) AS vendor_name_norm FROM ws LEFT JOIN part ON w = 'W' || p_partkey GROUP BY 1) SELECT record_key, ns.vendor_name_norm AS vendor_name_norm, city FROM ns JOIN v USING (record_key)"""
 ORACLE["train_matcher"], ORACLE["isolation_forest"] = _train_matcher(), _isolation_forest()
 #: A stream's result is that of the whole history.
 ORACLE["stream_alerts"] = ORACLE["run_delta_alerts"]

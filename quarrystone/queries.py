@@ -113,6 +113,15 @@ def std_vendor_seed_mappings(lake: Lake) -> DataFrame:
     return seed.select("record_key", "vendor_name_norm", "city", "phone", "email", "bank_account")
 
 
+@query
+def std_many_mappings(lake: Lake) -> DataFrame:
+    """Names with a token of each vendor's own, and as many mappings as there are parts: a join if that's many."""
+    item = {"domain": F.lit("token"), "raw": F.concat(F.lit("W"), F.col("p_partkey").cast("string")), "canonical": F.concat(F.lit("GROUP"), (F.col("p_partkey") % 100).cast("string"))}
+    known = replace(config.Mappings.curated(), table=lake.table("part").select(*(c.alias(n) for n, c in item.items())))
+    named = lake.raw_vendors.withColumn("vendor_name", F.concat("vendor_name", F.lit(" W"), "source_vendor_id"))
+    return standardize.vendors(named, known).select("record_key", "vendor_name_norm", "city")
+
+
 @query
 def std_invoice(lake: Lake) -> DataFrame:
     return lake.invoices.withColumn("invoice_date", F.col("invoice_date").cast("string"))
