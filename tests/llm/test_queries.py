@@ -96,20 +96,25 @@ def toxicity_by_force(texts, labels):
     for k, y in labels:
         ws = [w for w in toxicity.restored_words(texts[k] or "", decoder, {}) if w]
         for pair in {(w, b, y) for b, w in zip(["", *ws], ws, strict=False) if len(w) >= 3}:
-            seen[pair] = 1
-    of = {}
-    for w, _, y in seen:
-        of.setdefault(w, [0, 0])[y] += 1
-    all_c, all_t = (sum(v[y] for v in of.values()) for y in (0, 1))
-    p, weights = all_t / (all_t + all_c), {}
-    for w, (c, t) in of.items():
-        m, q = t + c, t / (t + c)
-        log = lambda x: math.log(max(x, 1e-12))
-        g = 2 * m * (q * (log(q) - log(p)) + (1 - q) * (log(1 - q) - log(1 - p)))
-        weight = math.log((t + 0.5) / all_t * all_c / (c + 0.5))
-        if q > p and g >= toxicity.SIGNIFICANCE and weight > math.log(4):
-            weights[w] = weight
-    return weights
+            seen[pair] |= 1 + zlib.crc32((texts[k] or "").encode()) % 2
+
+    def toxic_in(half, least):
+        of = {}
+        for (w, _, y), halves in seen.items():
+            of.setdefault(w, [0, 0])[y] += bool(halves & half)
+        all_c, all_t = (sum(v[y] for v in of.values()) for y in (0, 1))
+        p, out = all_t / (all_t + all_c), {}
+        for w, (c, t) in of.items():
+            m, q = t + c, t / max(1, t + c)
+            log = lambda x: math.log(max(x, 1e-12))
+            g = 2 * m * (q * (log(q) - log(p)) + (1 - q) * (log(1 - q) - log(1 - p)))
+            weight = math.log((t + 0.5) / all_t * all_c / (c + 0.5))
+            if q > p and g >= least and weight > math.log(4):
+                out[w] = weight
+        return out
+
+    halves = [toxic_in(half, toxicity.HALF_SIGNIFICANCE) for half in (1, 2)]
+    return {w: v for w, v in toxic_in(3, toxicity.SIGNIFICANCE).items() if all(w in h for h in halves)}
 
 
 def test_toxicity_query(spark, lake):
@@ -123,11 +128,24 @@ def test_toxicity_query(spark, lake):
     rows = {r["doc_id"]: r for r in queries.queries()["op1_toxicity"](spark, lake[0]).collect()}
     assert len(rows) == len(texts)
     for k, r in rows.items():
-        plain = {w for w in (texts[k] or "").lower().split() if w in weights}
+        said = (texts[k] or "").lower().split()
+        stem = lambda w: max((s for s in model.stems if w.startswith(s) and w != s and w.isalpha()), key=len, default=None)
+        each = {w: weights.get(w) or model.stems[stem(w)] for w in said if w in weights or stem(w)}
+        total, by_chance = sum(each.values()), sum(v for w, v in each.items() if stem(w))
+        want = model.slope * total + model.tilt * (math.log1p(len(said)) * by_chance / total if total else 0) + model.base
         assert r["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7)
-        want = model.slope * sum(weights[w] for w in plain) + model.base
-        assert r["score"] >= 1 / (1 + math.exp(-max(-30, min(30, want)))) - 1e-9  # readings only add
+        assert k >= 160 or abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, want))))) < 1e-9  # nothing is disguised there
         assert k >= 160 or r["predicted"] == toxic[k]
+    letters = dict(zip("oieas", "01345", strict=True))
+    ways = [
+        lambda w: w.upper(), lambda w: "".join(letters.get(c, c) for c in w), lambda w: ".".join(w), lambda w: " ".join(w), lambda w: "  ".join(w), lambda w: "\t".join(w), lambda w: "\n".join(w), lambda w: "\u00a0".join(w),
+        lambda w: w[:2] + w[2] * 4 + w[3:], lambda w: "".join(c * 2 for c in w), lambda w: w[:2] + " " + w[2:], lambda w: f"({w})!", lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w),
+        lambda w: w.translate(str.maketrans("oaecpi", "\u043e\u0430\u0435\u0441\u0440\u0456")), lambda w: w.translate(str.maketrans("oaeiu", "\u00f3\u00e1\u00e9\u00ed\u00fa")), lambda w: " ".join(letters.get(c, c) for c in w),
+    ]
+    for n, way in enumerate(ways):
+        missed = [w for w in BAD if model.evidence(f"{texts[1]} {way(w)} {texts[6]}") < weights[w] - 1e-9]
+        assert not missed, (n, missed)
+    assert not any(model.evidence(texts[k]) for k in range(160) if not toxic[k])
 
 
 def packed_as_they_should(rows, texts):
