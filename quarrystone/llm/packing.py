@@ -7,7 +7,7 @@ empty and goes.  Bins that stay open are packed once more, together with those o
 
 Defined cases: null or empty text is a document of one token (the end id); only documents longer than the
 capacity are cut; equal documents are packed each; the result is the same for any order of the rows; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; rows with null or equal ids are documents of their own; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ split; no group beyond a block's size is gathered in one task.
 
 Defined cases: null text counts as empty; texts shorter than 100 bytes lose nothing; copies lose everything but
 in the first; rows with the same id are one document read again, so neither removes from the other; null ids
-count as one id before all others; an empty table gives an empty result.
+count as one id before all others; very long texts are read whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ the exact count of every prefix of a word; texts are the sum of their words, sin
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); special strings inside a text are one token, as in
 the library's default; texts with code points whose Unicode class the two regular-expression engines may see
-differently are split by the library itself.  Repeated rows are counted each; other columns are ignored.
+differently are split by the library itself.  Repeated rows are counted each; very long texts are read
+whole; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
