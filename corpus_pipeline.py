@@ -2,7 +2,12 @@
 
 Texts without letters or in no learned language go; one document of each near-duplicate group stays; documents
 contaminated by the benchmark go; personal data and the terms that give it away are replaced; what is left is
-tokenised and packed.  The last stage returns the packed pieces, the others documents.
+tokenised and packed.  The last stage returns the packed pieces, the others documents with all their columns.
+
+Defined cases: null, empty and letterless texts go at the first stage, so later stages see none; rows with null ids are
+judged by their texts and never taken for copies; rows with one id are one document to the near duplicates, which go
+together, and documents of their own to the other stages; very long texts are read whole; a benchmark without
+items takes nothing out; empty tables give empty results; columns of any other names are carried along.
 """
 
 from __future__ import annotations
