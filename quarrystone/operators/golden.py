@@ -19,16 +19,17 @@ DISSIMILAR, FEW_NAMES, NAMES_BLOCK = 0.6, 64, 512
 GOLD_COLUMNS = ("master_key", "vendor_name", "vendor_name_norm", "tax_id", "country_iso2", "city", "street", "phone", "email", "bank_account", "phone_token", "email_token", "bank_token", "source_systems", "member_count")
 
 
-def assign_master_keys(clusters: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+def assign_master_keys(clusters: DataFrame, previous: DataFrame | None = None, issued: DataFrame | None = None) -> DataFrame:
     """(cluster, master_key).  Clusters, largest first and then by name, each take the key that most of their
     records had and that no earlier cluster took (ties: the smaller key); the others get new numbers in that order.
-    previous: record_key, master_key of all runs, so that no number is given out twice."""
+    previous: record_key, master_key as they were last; issued: master_key of all runs (else previous), so that no number
+    is given out twice."""
     size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     base = 0
     taken = None
     if previous is not None:
         number = F.regexp_extract("master_key", "([0-9]+)$", 1).cast("long")
-        base = previous.agg(F.coalesce(F.max(number), F.lit(0).cast("long"))).first()[0]
+        base = (previous if issued is None else issued).agg(F.coalesce(F.max(number), F.lit(0).cast("long"))).first()[0]
         votes = clusters.join(previous.dropDuplicates(["record_key"]), "record_key").groupBy("cluster", "master_key").agg(F.count("*").alias("votes"))
         votes = written(votes.join(size, "cluster"), "votes")
         taken = settled_keys(votes)
@@ -91,9 +92,9 @@ def most_frequent(members: DataFrame, fields: dict[str, Column | None]) -> DataF
     return counts.groupBy("master_key").agg(*[F.min(F.when((F.col("field") == c) & F.col("value").isNotNull(), best))["value"].alias(c) for c in fields])
 
 
-def build(vendors: DataFrame, clusters: DataFrame, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build(vendors: DataFrame, clusters: DataFrame, previous: DataFrame | None = None, issued: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """gold_vendor and gold_vendor_xref."""
-    keys = clusters.join(assign_master_keys(clusters, previous), "cluster").select("record_key", "master_key")
+    keys = clusters.join(assign_master_keys(clusters, previous, issued), "cluster").select("record_key", "master_key")
     members = written(ranked_members(vendors, keys), "members")
     modes = most_frequent(members, {"vendor_name_norm": None, "tax_id": valid_tax(F.col("tax_id")), **dict.fromkeys(("country_iso2", "city", "phone_token", "email_token", "bank_token"))})
     email_ok = F.col("email").rlike(config.EMAIL_PATTERN)

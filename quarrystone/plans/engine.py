@@ -140,7 +140,7 @@ class Engine:
             clusters = components.clusters(vendors, edges)
         past = self.store.read("gold_vendor_xref_history", "master_key string, record_key string, run_no long")
         previous = matching.latest(past, ["record_key"], ["run_no", "master_key"]) if self.store.exists("gold_vendor_xref_history") else None
-        gold, xref = golden.build(vendors, clusters, previous)
+        gold, xref = golden.build(vendors, clusters, previous, past)
         put("gold_vendor", gold)
         put("gold_vendor_xref", xref)
         gold, xref = self.store.read("gold_vendor"), self.store.read("gold_vendor_xref")

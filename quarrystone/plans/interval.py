@@ -136,7 +136,7 @@ def _match_batch(engine: Engine, raw: DataFrame, number: int, stream: str, max_b
         clusters, _ = components.constrained_clusters(fresh.select("record_key"), inner, library.cannot_links(engine.history()))
     past = store.read("gold_vendor_xref_history", HISTORY)
     previous = matching.latest(past, ["record_key"], ["run_no", "master_key"]) if store.exists("gold_vendor_xref_history") else None
-    gold, xref = golden.build(vendors.join(fresh.select("record_key"), "record_key", "left_semi").select(vendors.columns), clusters, previous)
+    gold, xref = golden.build(vendors.join(fresh.select("record_key"), "record_key", "left_semi").select(vendors.columns), clusters, previous, past)
     gold, xref = keep(gold, "gold"), keep(xref, "xref")
     golds, xrefs = old("gold_vendor", gold.schema), old("gold_vendor_xref", xref.schema)
     rebuilt = keep(xrefs.join(fresh.select("record_key"), "record_key", "left_semi").select("master_key").distinct(), "rebuilt")

@@ -180,6 +180,8 @@ def test_master_keys_stay_with_most_records(spark):
     now = spark.createDataFrame([(f"r{i}", "c1" if i < 4 else "c2") for i in range(7)], "record_key string, cluster string")
     past = spark.createDataFrame([("r0", "GRV-000005"), ("r1", "GRV-000005"), ("r4", "GRV-000005"), ("r5", "GRV-000005"), ("r2", "GRV-000002")], "record_key string, master_key string")
     assert {r["cluster"]: r["master_key"] for r in golden.assign_master_keys(now, past).collect()} == {"c1": "GRV-000005", "c2": "GRV-000006"}
+    issued = past.select("master_key").unionByName(spark.createDataFrame([("GRV-000031",)], "master_key string"))  # nobody has it any more
+    assert {r["cluster"]: r["master_key"] for r in golden.assign_master_keys(now, past, issued).collect()} == {"c1": "GRV-000005", "c2": "GRV-000032"}
 
 
 def test_survivors(spark):
