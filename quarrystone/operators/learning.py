@@ -130,15 +130,15 @@ def _depth(tree, x: np.ndarray) -> np.ndarray:
 
 def isolation_scores(df: DataFrame, features: list[str], keys: list[str], trees: int = TREES, sample: int = TREE_ROWS, contamination: float = 0.02) -> DataFrame:
     """keys, outlier_score (six decimals), is_outlier.  The trees * sample rows whose keys' MD5 sums are smallest are dealt
-    to the trees in turn, which grow on the driver from this bounded sample and go to the tasks, where all rows
+    to the trees, sample after sample and from the start again, which grow on the driver from this bounded sample and go to the tasks, where all rows
     are scored in Arrow batches.  Outliers are above the exact quantile of the scores, of which there are at most
     a million different ones.  Nulls count as 0."""
     clean = df.select(*keys, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     rows = clean.orderBy(_digest(*keys), *keys, *features).select(features).limit(trees * sample).collect()
     x = np.array([tuple(r) for r in rows], float).reshape(-1, len(features))
-    size = len(x) // trees or len(x)  # of each tree; a small table is all in the first one
+    size = min(sample, len(x))  # of each tree; those of a small table overlap
     limit = max(1, math.ceil(math.log2(max(2, size))))
-    forest = [_grow(x[t :: trees][:size] if len(x) >= trees else x, t, 1, 0, limit) for t in range(trees if len(x) >= trees else min(1, len(x)))]
+    forest = [_grow(x[(t * sample + np.arange(size)) % len(x)], t, 1, 0, limit) for t in range(trees if size else 0)]
     shared, norm = df.sparkSession.sparkContext.broadcast(forest), max(1e-9, _expected(size))
 
     def run(batches):

@@ -292,9 +292,9 @@ def _isolation_forest() -> str:
     parts = [f"""med AS (SELECT vendor_record_key, quantile_cont(amount, 0.5) AS median FROM i WHERE amount > 0 AND vendor_record_key IS NOT NULL GROUP BY 1),
 every AS MATERIALIZED (SELECT row_number() OVER () AS r, record_key, ln(1 + amount) AS a, coalesce(amount / median, 1.0) AS b FROM i LEFT JOIN med USING (vendor_record_key) WHERE amount > 0),
 pool AS (SELECT a, b, row_number() OVER (ORDER BY md5(record_key), record_key, a, b) - 1 AS p FROM every QUALIFY p < {TREES * TREE_ROWS}),
-size AS MATERIALIZED (SELECT CASE WHEN count(*) >= {TREES} THEN count(*) // {TREES} ELSE count(*) END AS size, CASE WHEN count(*) >= {TREES} THEN {TREES} ELSE 1 END AS trees, greatest(1, ceil(log2(greatest(2, size)))) AS lim FROM pool),
-l0 AS MATERIALIZED (SELECT p % trees AS tree, 1 AS node, a, b FROM pool, size WHERE p // trees < size),
-p0 AS MATERIALIZED (SELECT r, tree, 1 AS node, a, b, 0 AS depth, FALSE AS ended FROM every, (SELECT unnest(range(trees)) AS tree FROM size))"""]
+size AS MATERIALIZED (SELECT count(*) AS n, least({TREE_ROWS}, n) AS size, greatest(1, ceil(log2(greatest(2, size)))) AS lim FROM pool),
+l0 AS MATERIALIZED (SELECT tree, 1 AS node, a, b FROM pool, size, (SELECT unnest(range({TREES})) AS tree) WHERE ((p - tree * {TREE_ROWS}) % n + n) % n < size),
+p0 AS MATERIALIZED (SELECT r, tree, 1 AS node, a, b, 0 AS depth, FALSE AS ended FROM every, (SELECT unnest(range({TREES})) AS tree))"""]
     for d in range(levels):
         parts.append(f"""s{d} AS MATERIALIZED (SELECT tree, node, f, CASE WHEN f = 0 THEN a0 + {draw(1)} / 4294967296 * (a1 - a0) ELSE b0 + {draw(1)} / 4294967296 * (b1 - b0) END AS cut FROM (
   SELECT *, CASE WHEN a0 = a1 THEN 1 WHEN b0 = b1 THEN 0 ELSE {draw(9)} % 2 END AS f FROM (SELECT tree, node, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM l{d} GROUP BY tree, node) WHERE a0 < a1 OR b0 < b1), size WHERE {d} < lim),
